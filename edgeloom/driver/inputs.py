@@ -22,6 +22,7 @@ from edgeloom.operators.evidence import evidence_by_node, fold_hits, physical_ed
 from edgeloom.operators.graph import induced_edges
 from edgeloom.operators.pairs import candidate_pairs, dedupe_edges
 from edgeloom.plans.atlas import build_atlas
+from edgeloom.session import spread
 from edgeloom.sources.catalogs import parse_catalog_a, parse_catalog_b
 
 SECTION = 250
@@ -138,6 +139,11 @@ class Inputs:
                                   normalize_score("raw_score").alias("combined"), *scores)
 
     # --- catalogs ---
+    @cached_property
+    def _spread_lines(self) -> DataFrame:
+        slim = self._lines.select("l_orderkey", "l_partkey", "l_linenumber", "l_tax", "l_returnflag", "l_linestatus", "far")
+        return spread(slim)
+
     @cached_property
     def catalog_a_lines(self) -> DataFrame:
         n = F.col("l_linenumber")
@@ -154,7 +160,7 @@ class Inputs:
             F.when(F.col("l_linestatus") == "O", F.concat(F.lit("uniprotkb:"), far, F.lit("-2"))).otherwise(far),
             F.lit("-"),
         ]
-        return self._lines.select(F.concat_ws("\t", *cells).alias("value"))
+        return self._spread_lines.select(F.concat_ws("\t", *cells).alias("value"))
 
     @cached_property
     def catalog_b_lines(self) -> DataFrame:
@@ -173,7 +179,7 @@ class Inputs:
             F.when(tax == 0, F.lit("taxid:9606(human)")).otherwise(F.lit("taxid:10090(mouse)")), F.lit("-"), kind,
             F.lit("psi-mi:intact"), F.lit("-"), F.lit("-"),
         ]
-        return self._lines.select(F.concat_ws("\t", *cells).alias("value"))
+        return self._spread_lines.select(F.concat_ws("\t", *cells).alias("value"))
 
     @cached_property
     def hits_a(self) -> DataFrame:

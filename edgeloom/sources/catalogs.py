@@ -89,16 +89,16 @@ def parse_catalog_b(lines: DataFrame, wanted: DataFrame) -> DataFrame:
     """
     rows, p = _cells(lines), F.col("p")
     cell = lambda i: _cell(p, i)                             # noqa: E731
-    taxa = [taxon(cell(i)) for i in (9, 10)]
+    rows = rows.select("p", taxon(cell(9)).alias("taxon_a"), taxon(cell(10)).alias("taxon_b"))
     full = _usable(p, 12)
-    for t in taxa:
-        full = full & F.coalesce(t.isin(*K.ALLOWED_TAXA), F.lit(True))
+    for t in ("taxon_a", "taxon_b"):
+        full = full & F.coalesce(F.col(t).isin(*K.ALLOWED_TAXA), F.lit(True))
     records = rows.select(
         F.when(full, F.array_union(accessions(cell(0)), accessions(cell(2)))).alias("ids_a"),
         F.when(full, F.array_union(accessions(cell(1)), accessions(cell(3)))).alias("ids_b"),
         F.lit("b").alias("source"), F.lit("").alias("system"), F.lit("").alias("system_type"),
         cell(11).alias("interaction_type"), cell(6).alias("detection_method"), cell(8).alias("publication"),
-        F.lit("").alias("throughput"), taxa[0].alias("taxon_a"), taxa[1].alias("taxon_b"),
+        F.lit("").alias("throughput"), "taxon_a", "taxon_b",
     )
     return _inside_pairs(records, wanted)
 
