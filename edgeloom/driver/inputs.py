@@ -22,7 +22,7 @@ from edgeloom.operators.evidence import evidence_by_node, fold_hits, physical_ed
 from edgeloom.operators.graph import induced_edges
 from edgeloom.operators.pairs import candidate_pairs, dedupe_edges
 from edgeloom.plans.atlas import build_atlas
-from edgeloom.session import spread
+from edgeloom.session import materialize, spread
 from edgeloom.sources.catalogs import parse_catalog_a, parse_catalog_b
 
 SECTION = 250
@@ -203,11 +203,14 @@ class Inputs:
 
     @cached_property
     def physical_pairs(self) -> DataFrame:
-        """Physical node pairs only: ``a, b, group_id`` straight from the flags, without text folding."""
+        """Physical node pairs only: ``a, b, group_id`` straight from the flags, without text folding.
+
+        Written once, because splits and negatives read it several times.
+        """
         kind = F.lower(F.trim("system_type"))
         strong = self.hits.filter((F.col("source") == "b") | (kind == "physical")).select("acc_a", "acc_b").distinct()
-        return (evidence_by_node(strong, self.nodes.select("node_id", "accession", "group_id"))
-                .select("a", "b", "group_id").distinct())
+        return materialize(evidence_by_node(strong, self.nodes.select("node_id", "accession", "group_id"))
+                           .select("a", "b", "group_id").distinct())
 
     # --- locations, features, scores ---
     @cached_property

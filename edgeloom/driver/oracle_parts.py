@@ -86,7 +86,7 @@ def take_sql(pool: str, wanted: str, keys: list[str]) -> str:
   FROM {pool}) p JOIN {wanted} w ON {on} WHERE rk <= n"""
 
 
-SEEDS20 = "(SELECT unnest(range(20)) AS seed)"
+SEEDS20 = "(SELECT CAST(unnest(range(20)) AS INTEGER) AS seed)"
 PK = ["protocol", "seed", "split"]
 RUN = ["protocol", "seed"]
 
@@ -219,7 +219,7 @@ CTES: dict[str, tuple[list[str], str]] = {
  JOIN node_part x ON x.node_id = p.a JOIN node_part y ON y.node_id = p.b AND y.seed = x.seed AND y.part = x.part"""),
     "pos": (["random_pos", "disjoint_pos"], "SELECT * FROM random_pos UNION ALL SELECT * FROM disjoint_pos"),
     "wanted": (["pos"], f"SELECT {', '.join(PK)}, group_id, count(*) AS n FROM pos GROUP BY ALL"),
-    "pool": (["pos", "node_index", "forbidden", "nodes"], draws_sql("pos", PK, 8)),
+    "pool": (["pos", "node_index", "forbidden", "nodes"], draws_sql("pos", PK, 4)),
     "run_deg": (["pos", "context", "nodes"], """
  SELECT r.protocol, r.seed, n.node_id, coalesce(d.d, 0) - coalesce(t.r, 0) AS degree
  FROM (SELECT DISTINCT protocol, seed FROM pos) r CROSS JOIN nodes n
@@ -267,7 +267,7 @@ CTES: dict[str, tuple[list[str], str]] = {
     "test_pairs": (["split"], "SELECT DISTINCT protocol, seed, a, b, label FROM split WHERE split = 'test'"),
     "test_distinct": (["test_pairs"], "SELECT DISTINCT protocol, seed, a, b FROM test_pairs"),
     "run_shared": (["test_distinct", "run_adj", "run_degree"], """
- SELECT t.protocol, t.seed, t.a, t.b, count(*) AS shared, sum(CASE WHEN d.d > 1 THEN 1.0 / ln(d.d) ELSE 0 END) AS aa
+ SELECT t.protocol, t.seed, t.a, t.b, count(*) AS shared, round(sum(CASE WHEN d.d > 1 THEN 1.0 / ln(d.d) ELSE 0 END), 10) AS aa
  FROM test_distinct t JOIN run_adj p ON p.protocol = t.protocol AND p.seed = t.seed AND p.u = t.a
  JOIN run_adj q ON q.protocol = t.protocol AND q.seed = t.seed AND q.u = t.b AND q.v = p.v
  JOIN run_degree d ON d.protocol = t.protocol AND d.seed = t.seed AND d.u = p.v GROUP BY ALL"""),

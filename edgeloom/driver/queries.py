@@ -327,9 +327,7 @@ def _(x):
     return G.expand_partners(N.role_nodes(x.nodes), x.slim_edges)
 
 
-@query("ingest_summary", sql(["nodes", "context", "adj"], """
-SELECT CAST(NULL AS BIGINT) AS group_id, 0 AS n_nodes, 0 AS n_edges, 0 AS n_components, 0 AS n_isolates WHERE false""")
-       if False else None)
+@query("ingest_summary")
 def _(x):
     network = P.dedupe_edges(x.raw_edges)
     names = x.nodes.select("node_id", "name", "group_id", "group_name")
@@ -359,10 +357,11 @@ def _(x):
     return G.shared_counts(P.candidate_pairs(slim), P.both_ways(x.context), degree_a="degree_a", degree_b="degree_b")
 
 
-@query("components", sql(["adj", "nodes"], """
-SELECT node_id, min(r) AS component FROM reach GROUP BY 1""").replace("WITH nodes", "WITH RECURSIVE nodes", 1).replace(
-    "\nSELECT node_id, min(r)", """, reach AS (SELECT node_id, node_id AS r FROM nodes UNION SELECT reach.node_id, adj.v FROM reach JOIN adj ON adj.u = reach.r)
-SELECT node_id, min(r)"""))
+_REACH = "reach AS (SELECT node_id, node_id AS r FROM nodes UNION SELECT reach.node_id, adj.v FROM reach JOIN adj ON adj.u = reach.r)"
+
+
+@query("components", sql(["adj", "nodes"], "SELECT node_id, min(r) AS component FROM reach GROUP BY 1", _REACH).replace(
+    "WITH ", "WITH RECURSIVE ", 1))
 def _(x):
     return G.connected_components(x.nodes, x.context)
 
@@ -438,12 +437,11 @@ def _(x):
 SELECT group_id, group_name, na AS name_a, nb AS name_b, a, b, aa AS accession_a, ab AS accession_b, ra AS role_a, rb AS role_b,
  dega AS degree_a, degb AS degree_b, dp AS degree_product, shared AS shared_neighbors, comb AS string_combined,
  in_graph AS string_in_graph, dom AS dominant_channel, phys AS catalog_a_physical, gen AS catalog_a_genetic, cb AS catalog_b,
- gen_only AS genetic_only, n_pub AS n_publications, ov AS localization_overlap, round(p, 6) AS probability,
+ gen_only AS genetic_only, n_pub AS n_publications, ov AS localization_overlap, p AS probability,
  cutoff AS degree_product_cutoff, cls AS evidence_class, absent AS string_absent, assays, pubs AS publications, throughput,
  array_to_string(bka, ';') AS location_a, array_to_string(bkb, ';') AS location_b FROM graded"""))
 def _(x):
-    return x.atlas.drop(*K.CHANNELS, "model_rank", "methods", "interaction_types").withColumn(
-        "probability", round_metric("probability")).withColumn("n_publications", F.col("n_publications").cast("bigint"))
+    return x.atlas.drop(*K.CHANNELS, "model_rank", "methods", "interaction_types").withColumn("n_publications", F.col("n_publications").cast("bigint"))
 
 
 def _counts(x: Inputs) -> DataFrame:
@@ -518,30 +516,30 @@ def _(x):
 
 
 @query("rank_absent", sql(["graded"], """
-SELECT a, b, round(p, 6) AS probability, row_number() OVER (ORDER BY p DESC NULLS LAST, a, b) AS rank_among_absent FROM graded WHERE absent"""))
+SELECT a, b, p AS probability, row_number() OVER (ORDER BY p DESC NULLS LAST, a, b) AS rank_among_absent FROM graded WHERE absent"""))
 def _(x):
     pairs = _absent_scored(x).select("a", "b", "probability").withColumn("string_absent", F.lit(True))
-    return A.rank_absent(pairs).select("a", "b", round_metric("probability").alias("probability"), "rank_among_absent")
+    return A.rank_absent(pairs).select("a", "b", "probability", "rank_among_absent")
 
 
 @query("top_absent", sql(["graded"], """
-SELECT a, b, cls AS evidence_class, round(p, 6) AS probability, comb AS string_combined, dom AS dominant_channel, n_pub AS n_publications,
+SELECT a, b, cls AS evidence_class, p AS probability, comb AS string_combined, dom AS dominant_channel, n_pub AS n_publications,
  assays, ov AS localization_overlap, dp AS degree_product, shared AS shared_neighbors
 FROM graded WHERE absent ORDER BY p DESC, a, b LIMIT 10"""))
 def _(x):
     return A.top_absent(x.atlas).select(
-        "a", "b", "evidence_class", round_metric("probability").alias("probability"), "string_combined", "dominant_channel",
+        "a", "b", "evidence_class", "probability", "string_combined", "dominant_channel",
         F.col("n_publications").cast("bigint").alias("n_publications"), "assays", "localization_overlap", "degree_product", "shared_neighbors")
 
 
 @query("top_per_group", sql(["scores"], """
-SELECT group_id, a, b, round(p, 6) AS probability, rank FROM (
+SELECT group_id, a, b, p AS probability, rank FROM (
  SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY p DESC, a, b) AS rank FROM scores) WHERE rank <= 15"""))
 def _(x):
     scored = P.candidate_pairs(x.nodes.select("node_id", "group_id", "role")).select("group_id", "a", "b").join(
         x.candidate_scores, ["a", "b"])
     return H.top_per_group(scored).select(
-        "group_id", "a", "b", round_metric("probability").alias("probability"), F.col("rank").cast("bigint").alias("rank"))
+        "group_id", "a", "b", "probability", F.col("rank").cast("bigint").alias("rank"))
 
 
 _HITS = """top AS (SELECT *, row_number() OVER (ORDER BY p DESC, a, b) AS rank FROM scores ANTI JOIN context USING (a, b)
@@ -553,18 +551,18 @@ def _hits(x: Inputs) -> DataFrame:
     return H.top_hits(novel.join(x.candidate_scores, ["a", "b"]))
 
 
-@query("hit_list", sql(["scores", "context"], "SELECT rank, a, b, group_id, round(p, 6) AS probability FROM top", _HITS))
+@query("hit_list", sql(["scores", "context"], "SELECT rank, a, b, group_id, p AS probability FROM top", _HITS))
 def _(x):
-    return _hits(x).select(F.col("rank").cast("bigint").alias("rank"), "a", "b", "group_id", round_metric("probability").alias("probability"))
+    return _hits(x).select(F.col("rank").cast("bigint").alias("rank"), "a", "b", "group_id", "probability")
 
 
 @query("display_subgraph", sql(["scores", "context", "slim"], """
-SELECT a, b, 'predicted' AS kind, round(p, 6) AS probability FROM top UNION ALL
-SELECT a, b, 'known', round(score, 6) FROM slim ANTI JOIN top USING (a, b)
+SELECT a, b, 'predicted' AS kind, p AS probability FROM top UNION ALL
+SELECT a, b, 'known', score FROM slim ANTI JOIN top USING (a, b)
 WHERE a IN (SELECT a FROM top UNION SELECT b FROM top) AND b IN (SELECT a FROM top UNION SELECT b FROM top)""", _HITS))
 def _(x):
     _, edges = G.display_subgraph(_hits(x), x.slim_edges, x.nodes)
-    return edges.withColumn("probability", round_metric("probability"))
+    return edges
 
 
 @query("display_nodes", sql(["scores", "context", "nodes"], """
@@ -684,7 +682,7 @@ link_neg AS ({}), link_split AS (SELECT seed, split, 1 AS label, a, b FROM link_
 
 def _link_sql() -> str:
     from edgeloom.driver.oracle_parts import draws_sql, take_sql
-    pool = draws_sql("link_pos", ["seed", "split"], 8).replace("forbidden f", "context f")
+    pool = draws_sql("link_pos", ["seed", "split"], 4).replace("forbidden f", "context f")
     return sql(["link_pos", "node_index", "context"], checksum_sql("link_split", "seed, split, label"),
                _LINK_NEG.format(pool, take_sql("pool2", "wanted2", ["seed", "split"])))
 
@@ -770,12 +768,14 @@ def _letter_encoder(sequences: list[str]):
 
 
 @query("batch_embed", f"""
-SELECT doc_id AS node_id, {', '.join(f"round(CASE WHEN n > 0 THEN (n - length(replace(s, '{c}', ''))) / n ELSE 0 END, 4) AS share_{c.lower()}" for c in 'AEIOU')}
-FROM (SELECT doc_id, s, length(s) AS n FROM (SELECT doc_id, substr({_LETTERS}, 1, {K.MAX_RESIDUES}) AS s FROM documents))""")
+SELECT doc_id AS node_id, {', '.join(f"length(s) - length(replace(s, '{c}', '')) AS n_{c.lower()}" for c in 'AEIOU')}
+FROM (SELECT doc_id, substr({_LETTERS}, 1, {K.MAX_RESIDUES}) AS s FROM documents)""")
 def _(x):
     seq = N.truncate_sequences(_sequences(x).select("node_id", "sequence"))
-    out = FE.embed_sequences(seq, _letter_encoder, special_ids=[0, 1, 2], id_type="bigint")
-    return out.select("node_id", *[F.round(F.col("vector")[i].cast("double"), 4).alias(f"share_{c}") for i, c in enumerate("aeiou")])
+    out = FE.embed_sequences(seq, _letter_encoder, special_ids=[0, 1, 2], id_type="bigint").join(
+        seq.select("node_id", F.length("sequence").alias("n")), "node_id")
+    share = lambda i: F.col("vector")[i].cast("double")                     # noqa: E731
+    return out.select("node_id", *[F.round(share(i) * F.col("n")).cast("bigint").alias(f"n_{c}") for i, c in enumerate("aeiou")])
 
 
 # --- benchmark ------------------------------------------------------------------------------------------

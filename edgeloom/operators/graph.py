@@ -98,7 +98,7 @@ def link_scores(pairs: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFra
     weights = deg.select(F.col("node_id").alias("via"), F.when(
         F.col("degree") > 1, 1.0 / F.log(F.col("degree").cast("double"))).otherwise(0.0).alias("w"))
     sums = via.join(weights, "via").groupBy("a", "b").agg(
-        F.count(F.lit(1)).alias("shared"), F.sum("w").alias("adamic_adar"))
+        F.count(F.lit(1)).alias("shared"), F.round(F.sum("w"), 10).alias("adamic_adar"))
     out = ends.join(sums, ["a", "b"], "left").fillna(0, ["shared"]).fillna(0.0, ["adamic_adar"])
     union = F.col("degree_a") + F.col("degree_b") - F.col("shared")
     return out.withColumn("jaccard", F.when(union > 0, F.col("shared") / union).otherwise(0.0)).withColumn(

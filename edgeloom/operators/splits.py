@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from edgeloom import constants as K
 from edgeloom.functions.identifiers import pair_high, pair_low
 from edgeloom.operators.ranking import hash_rank, key_hash
+from edgeloom.session import materialize
 
 SPLIT_KEYS = ["protocol", "seed"]
 
@@ -127,21 +128,22 @@ def wanted_negatives(positives: DataFrame, keys: list[str], ratio: float = 1.0)
 
 
 def uniform_negatives(positives: DataFrame, keys: list[str], nodes: DataFrame, forbidden: DataFrame, *,
-                      ratio: float = 1.0, draws: int = 8) -> DataFrame:
+                      ratio: float = 1.0, draws: int = 4) -> DataFrame:
     """As many distinct allowed pairs per key and group as there are positives (times ratio)."""
-    pool = drawn_pairs(positives, keys, nodes, forbidden, draws=draws)
+    pool = materialize(drawn_pairs(positives, keys, nodes, forbidden, draws=draws))
     return _take(pool, keys, wanted_negatives(positives, keys, ratio))
 
 
 def degree_matched_negatives(positives: DataFrame, keys: list[str], nodes: DataFrame, forbidden: DataFrame,
-                             degree: DataFrame, *, draws: int = 8) -> DataFrame:
+                             degree: DataFrame, *, draws: int = 4) -> DataFrame:
     """One negative per positive with a degree product in the same log band of width 0.35.
 
     Positives and drawn pairs of a band are numbered in hash order and matched number by number, which
     is one to one without a sequential memory.  Positives whose band runs dry are filled from the
-    drawn pairs that are left.  ``degree`` holds ``protocol, seed, node_id, degree``.
+    drawn pairs that are left.  ``degree`` holds ``protocol, seed, node_id, degree``.  The pool and the
+    matches are read several times, so they are written once instead of being recomputed.
     """
-    pool = drawn_pairs(positives, keys, nodes, forbidden, draws=draws)
+    pool = materialize(drawn_pairs(positives, keys, nodes, forbidden, draws=draws))
 
     def banded(pairs):
         def of(end):
@@ -150,10 +152,11 @@ def degree_matched_negatives(positives: DataFrame, keys: list[str], nodes: DataF
         product = F.coalesce("_da", F.lit(0)) * F.coalesce("_db", F.lit(0))
         band = F.floor(F.log(product.cast("double") + 1.0) / F.lit(K.LOG_DEGREE_TOLERANCE))
         tagged = met.withColumn("band", band).withColumn("_h", key_hash(*keys, "a", "b")).drop("_da", "_db")
-        return hash_rank(tagged, [*keys, "group_id", "band"], "_h", ["a", "b"])
+        return hash_rank(materialize(tagged), [*keys, "group_id", "band"], "_h", ["a", "b"])
 
     slots = banded(positives.select(*keys, "a", "b", "group_id")).select(*keys, "group_id", "band", "rank")
-    matched = banded(pool).join(slots, [*keys, "group_id", "band", "rank"]).select(*keys, "a", "b", "group_id")
+    matched = materialize(
+        banded(pool).join(slots, [*keys, "group_id", "band", "rank"]).select(*keys, "a", "b", "group_id"))
     got = matched.groupBy(*keys, "group_id").agg(F.count(F.lit(1)).alias("got"))
     missing = (wanted_negatives(positives, keys).join(got, [*keys, "group_id"], "left")
                .select(*keys, "group_id", (F.col("n") - F.coalesce("got", F.lit(0))).alias("n")).filter("n > 0"))
@@ -182,7 +185,7 @@ def link_split(edges: DataFrame, nodes: DataFrame, seeds) -> DataFrame:
 
     Returns ``seed, split, label, a, b, group_id``.
     """
-    pos = split_edges_by_group(edges, seeds)
+    pos = materialize(split_edges_by_group(edges, seeds))
     neg = uniform_negatives(pos, ["seed", "split"], nodes, edges)
     return labelled(pos, neg)
 
@@ -202,7 +205,8 @@ def holdout_degrees(nodes: DataFrame, context: DataFrame, positives: DataFrame)
              .join(context.select("a", "b"), ["a", "b"], "left_semi")
              .select(*SPLIT_KEYS, F.explode(F.array("a", "b")).alias("node_id"))
              .groupBy(*SPLIT_KEYS, "node_id").agg(F.count(F.lit(1)).alias("r")))
-    packed = runs.agg(F.collect_set(F.struct(*SPLIT_KEYS)).alias("runs")).scalar()      # one entry per run
+    listed = [(r[0], r[1]) for r in runs.collect()]                       # one entry per run, tens at most
+    packed = F.array(*[F.struct(F.lit(p).alias("protocol"), F.lit(s).alias("seed")) for p, s in listed])
     full = (nodes.select("node_id").join(base, "node_id", "left")
             .select("node_id", F.coalesce("d", F.lit(0)).alias("d"), F.explode(packed).alias("r"))
             .select("node_id", "d", "r.*"))
@@ -224,13 +228,13 @@ def protocol_positives(pairs: DataFrame, nodes: DataFrame, seeds, protocols) ->
 
 
 def protocol_split(pairs: DataFrame, nodes: DataFrame, context: DataFrame, seeds,
-                   protocols=("edge_random", "node_disjoint", "degree_matched"), *, draws: int = 8) -> DataFrame:
+                   protocols=("edge_random", "node_disjoint", "degree_matched"), *, draws: int = 4) -> DataFrame:
     """All protocols and seeds at once: ``protocol, seed, split, label, a, b, group_id``.
 
     Negatives avoid the positives only, so a context edge may serve as a negative.
     """
     keys = [*SPLIT_KEYS, "split"]
-    pos = protocol_positives(pairs, nodes, seeds, protocols)
+    pos = materialize(protocol_positives(pairs, nodes, seeds, protocols))
     matched = F.col("protocol") == "degree_matched"
     negs = []
     if set(protocols) - {"degree_matched"}:
