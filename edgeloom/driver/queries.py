@@ -327,7 +327,25 @@ def _(x):
     return G.expand_partners(N.role_nodes(x.nodes), x.slim_edges)
 
 
-@query("ingest_summary")
+_INGEST = """net AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, max(score) AS score FROM raw_edges WHERE src <> dst
+ GROUP BY 1, 2 HAVING max(score) >= 0.7),
+picked AS (SELECT node_id FROM nodes WHERE role <> 'partner' UNION SELECT v FROM (
+ SELECT u, v, row_number() OVER (PARTITION BY u ORDER BY score DESC, v) AS rn FROM (
+  SELECT a AS u, b AS v, score FROM net UNION ALL SELECT b, a, score FROM net)
+ WHERE u IN (SELECT node_id FROM nodes WHERE role <> 'partner')) WHERE rn <= 20),
+kept AS (SELECT node_id, group_id FROM nodes SEMI JOIN picked USING (node_id)),
+links AS (SELECT a, b, x.group_id FROM net JOIN kept x ON x.node_id = a JOIN kept y ON y.node_id = b AND y.group_id = x.group_id),
+ends AS (SELECT a AS u, b AS v FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT node_id, node_id AS r FROM kept UNION SELECT reach.node_id, v FROM reach JOIN ends ON u = r),
+comp AS (SELECT node_id, min(r) AS c FROM reach GROUP BY 1)"""
+
+
+@query("ingest_summary", sql(["raw_edges", "nodes"], """
+SELECT group_id, CAST(sum(n) AS BIGINT) AS n_nodes, CAST(sum(e) AS BIGINT) AS n_edges, CAST(sum(c) AS BIGINT) AS n_components,
+ CAST(sum(i) AS BIGINT) AS n_isolates FROM (
+ SELECT group_id, 1 AS n, 0 AS e, CASE WHEN node_id = c THEN 1 ELSE 0 END AS c,
+  CASE WHEN node_id IN (SELECT u FROM ends) THEN 0 ELSE 1 END AS i FROM kept JOIN comp USING (node_id)
+ UNION ALL SELECT group_id, 0, 1, 0, 0 FROM links) GROUP BY ROLLUP (group_id)""", _INGEST).replace("WITH ", "WITH RECURSIVE ", 1))
 def _(x):
     network = P.dedupe_edges(x.raw_edges)
     names = x.nodes.select("node_id", "name", "group_id", "group_name")

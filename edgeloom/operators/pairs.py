@@ -53,30 +53,20 @@ def best_channels(channels: DataFrame) -> DataFrame:
     return ordered.groupBy("a", "b").agg(F.max("r").alias("r")).select("a", "b", "r.*")
 
 
-def tiled_sides(nodes: DataFrame, tile_rows: int = TILE_ROWS) -> tuple[DataFrame, DataFrame]:
-    """Split every group's A x B block into tiles of at most about tile_rows x tile_rows.
+def tiled_join(left: DataFrame, right: DataFrame, sizes: DataFrame, key: str, left_id: list[str],
+               right_id: list[str]) -> DataFrame:
+    """Equi-join on ``key`` cut into tiles, so that no single task pairs up a whole key.
 
-    A node is copied once per tile of the other side, so a group that holds a third of all
-    nodes is worked on by many tasks, and every task gets a block of bounded size.
+    ``sizes`` holds ``key, _ta, _tb``: the number of tiles of each side.  A row falls into one tile of its
+    own side by hash and is copied to every tile of the other side; each pair of rows meets exactly once.
     """
-    is_a, is_b = F.col("role").isin(*K.A_LIKE), F.col("role").isin(*K.B_LIKE)
-    eligible = nodes.filter(is_a | is_b)
-    counts = eligible.groupBy("group_id").agg(
-        F.ceil(F.count_if(is_a) / tile_rows).alias("_ta"), F.ceil(F.count_if(is_b) / tile_rows).alias("_tb"),
-    ).filter((F.col("_ta") > 0) & (F.col("_tb") > 0))
-    sized = eligible.join(counts, "group_id")
-    place = F.xxhash64("node_id")
-
-    def side(flag, own, other, prefix):
-        picked = sized.filter(flag).withColumn(own, F.pmod(place, F.col("_" + own))).withColumn(
-            other, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_" + other) - 1))).drop("_ta", "_tb")
-        keep = {"group_id", "group_name", "ta", "tb"}
-        renamed = [F.col(c) if c in keep else F.col(c).alias(f"{prefix}_{c}") for c in picked.columns]
-        return picked.select(*renamed)
-
-    left = side(is_a, "ta", "tb", "l")
-    right = side(is_b, "tb", "ta", "r")
-    return left, right.drop("group_name")
+    def placed(df, ids, own, other):
+        at = F.pmod(F.xxhash64(*ids), F.col("_" + own))
+        return (df.join(sizes, key).withColumn(own, at)
+                .withColumn(other, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_" + other) - 1)))
+                .drop("_ta", "_tb"))
+    met = placed(left, left_id, "ta", "tb").join(placed(right, right_id, "tb", "ta"), [key, "ta", "tb"])
+    return met.drop("ta", "tb")
 
 
 def candidate_pairs(nodes: DataFrame, *, tile_rows: int = TILE_ROWS) -> DataFrame:
@@ -86,8 +76,17 @@ def candidate_pairs(nodes: DataFrame, *, tile_rows: int = TILE_ROWS) -> DataFram
     Two ``both`` nodes meet twice in the join; only the ordered meeting is kept, so the result is
     unique without a distinct over the pairs.
     """
-    left, right = tiled_sides(nodes, tile_rows)
-    met = left.join(right, ["group_id", "ta", "tb"])
+    is_a, is_b = F.col("role").isin(*K.A_LIKE), F.col("role").isin(*K.B_LIKE)
+    sizes = nodes.groupBy("group_id").agg(
+        F.ceil(F.count_if(is_a) / tile_rows).alias("_ta"), F.ceil(F.count_if(is_b) / tile_rows).alias("_tb"),
+    ).filter((F.col("_ta") > 0) & (F.col("_tb") > 0))
+
+    def side(flag, prefix, *shared):
+        names = [F.col(c) if c in shared else F.col(c).alias(prefix + c) for c in nodes.columns
+                 if c in shared or c != "group_name"]
+        return nodes.filter(flag).select(*names)
+    met = tiled_join(side(is_a, "l_", "group_id", "group_name"), side(is_b, "r_", "group_id"), sizes, "group_id",
+                     ["l_node_id"], ["r_node_id"])
     twice = (F.col("l_role") == K.ROLE_BOTH) & (F.col("r_role") == K.ROLE_BOTH)
     met = met.filter((F.col("l_node_id") != F.col("r_node_id"))
                      & (~twice | (F.col("l_node_id") < F.col("r_node_id"))))

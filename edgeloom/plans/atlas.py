@@ -13,9 +13,11 @@ from edgeloom.operators.evidence import evidence_by_node, location_map
 from edgeloom.operators.graph import induced_edges, shared_counts, with_degree
 from edgeloom.operators.nodes import role_nodes
 from edgeloom.operators.pairs import (attach_ends, best_channels, both_ways, candidate_pairs, canonical_pairs,
-                                      is_candidate)
+                                      is_candidate, tiled_join)
 from edgeloom.operators.ranking import average_ranks, global_rank, weighted_quantile
+from edgeloom.session import materialize
 
+PROFILE_TILE = 2048
 _NODE_COLUMNS = ["node_id", "name", "group_id", "group_name", "role", "accession", "degree", "buckets"]
 
 
@@ -31,6 +33,12 @@ def atlas_nodes(nodes: DataFrame, context: DataFrame, locations: DataFrame) -> D
     return placed.withColumn("buckets", F.coalesce("buckets", F.array().cast("array<string>"))).select(*_NODE_COLUMNS)
 
 
+def prepare(nodes: DataFrame, edges: DataFrame, locations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Context pairs and annotated role nodes, written once because every later step reads them."""
+    context = materialize(context_pairs(edges, nodes))
+    return context, materialize(atlas_nodes(nodes, context, locations))
+
+
 # --- degree-product cut-off without listing pairs -------------------------------
 
 def _profiles(annotated: DataFrame, *columns: str) -> DataFrame:
@@ -45,16 +53,20 @@ def profile_pairs(annotated: DataFrame, *columns: str) -> DataFrame:
 
     Nodes with equal (degree, buckets) behave alike, so only their counts are paired.  The number of
     distinct degrees in a group is at most 2 * sqrt(edges), hence the profile pairs stay linear in the
-    edges, while the candidate pairs themselves are quadratic in the nodes.
+    edges, while the candidate pairs themselves are quadratic in the nodes.  The profile pairs of a
+    large group are spread over tiles.
     """
     prof = _profiles(annotated, *columns)
     left = prof.select("group_id", *[F.col(c).alias("l_" + c) for c in [*columns, "n_a", "n_ab"]])
     right = prof.select("group_id", *[F.col(c).alias("r_" + c) for c in [*columns, "n_b", "n_ab"]])
     same = reduce(lambda x, y: x & y, [F.col("l_" + c) == F.col("r_" + c) for c in columns])
+    tiles = F.ceil(F.count(F.lit(1)) / PROFILE_TILE)
+    sizes = prof.groupBy("group_id").agg(tiles.alias("_ta"), tiles.alias("_tb"))
+    met = tiled_join(left, right, sizes, "group_id", ["l_" + c for c in columns], ["r_" + c for c in columns])
     # ordered A x B meetings counted twice; a pair of two 'both' nodes meets twice, a node meets itself
     twice = (2 * F.col("l_n_a") * F.col("r_n_b") - F.col("l_n_ab") * F.col("r_n_ab")
              - F.when(same, F.col("l_n_ab")).otherwise(0))
-    return left.join(right, "group_id").withColumn("twice_pairs", twice).filter(F.col("twice_pairs") != 0)
+    return met.withColumn("twice_pairs", twice).filter(F.col("twice_pairs") != 0)
 
 
 def degree_product_cutoff(annotated: DataFrame, q: float = K.DEGREE_PRODUCT_QUANTILE) -> DataFrame:
@@ -106,8 +118,7 @@ def build_atlas(nodes: DataFrame, edges: DataFrame, evidence: DataFrame, channel
     Node attributes travel through the tile join; the pairs are shuffled once on (a, b) and every
     further source is joined on that same key.
     """
-    context = context_pairs(edges, nodes)
-    annotated = atlas_nodes(nodes, context, locations)
+    context, annotated = prepare(nodes, edges, locations)
     found, best, known = _pair_sources(annotated, context, evidence, channels)
     cutoff = degree_product_cutoff(annotated, quantile).scalar()
     pairs = candidate_pairs(annotated)
@@ -158,11 +169,9 @@ def rank_absent(atlas: DataFrame) -> DataFrame:
 
 # --- statistics ---------------------------------------------------------------------
 
-def sparse_grades(nodes: DataFrame, edges: DataFrame, evidence: DataFrame, channels: DataFrame,
-                  locations: DataFrame, *, quantile: float = K.DEGREE_PRODUCT_QUANTILE) -> DataFrame:
+def sparse_grades(context: DataFrame, annotated: DataFrame, evidence: DataFrame, channels: DataFrame, *,
+                  quantile: float = K.DEGREE_PRODUCT_QUANTILE) -> DataFrame:
     """Grades of just the candidate pairs that any source mentions (linear in the sources)."""
-    context = context_pairs(edges, nodes)
-    annotated = atlas_nodes(nodes, context, locations)
     found, best, known = _pair_sources(annotated, context, evidence, channels)
     cutoff = degree_product_cutoff(annotated, quantile).scalar()
     flags = found.select("a", "b", "catalog_a_physical", "catalog_a_genetic", "catalog_b")
@@ -180,8 +189,7 @@ def class_counts(nodes: DataFrame, edges: DataFrame, evidence: DataFrame, channe
     Exact, yet no list of all pairs is made: every pair gets the class of its node profiles, then the
     pairs that a source mentions are moved from that class to their own.
     """
-    context = context_pairs(edges, nodes)
-    annotated = atlas_nodes(nodes, context, locations)
+    context, annotated = prepare(nodes, edges, locations)
     cutoff = degree_product_cutoff(annotated, quantile).scalar()
 
     def unmentioned(overlap, product):
@@ -191,7 +199,7 @@ def class_counts(nodes: DataFrame, edges: DataFrame, evidence: DataFrame, channe
         "group_id", unmentioned(location_overlap("l_buckets", "r_buckets"),
                                 F.col("l_degree") * F.col("r_degree")).alias("evidence_class"),
         F.lit(True).alias("string_absent"), F.col("twice_pairs").alias("t"), F.lit(0).alias("p"), F.lit(0).alias("g"))
-    sparse = sparse_grades(nodes, edges, evidence, channels, locations, quantile=quantile)
+    sparse = sparse_grades(context, annotated, evidence, channels, quantile=quantile)
     default = sparse.withColumn("_cut", F.col("degree_product_cutoff")).withColumn(
         "_default", unmentioned("localization_overlap", "degree_product"))
     moves = default.select("group_id", F.explode(F.array(
@@ -240,13 +248,13 @@ def spearman(df: DataFrame, x: str, y: str, *, min_rows: int = 5, name: str = "r
     Equal (x, y) rows are merged first, ranks come from the value histograms, and the sums are
     centred on the mean rank (n + 1) / 2.
     """
-    joint = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(
-        F.col(x).alias("_x"), F.col(y).alias("_y")).agg(F.count(F.lit(1)).alias("w"))
+    joint = materialize(df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(
+        F.col(x).alias("_x"), F.col(y).alias("_y")).agg(F.count(F.lit(1)).alias("w")))      # read four times below
 
     def ranks(col, out):
         return average_ranks(joint.groupBy(col).agg(F.sum("w").alias("w")), [], col, "w", name=out)
     ranked = joint.join(ranks("_x", "rx"), "_x").join(ranks("_y", "ry"), "_y")
-    mid = (ranked.agg(F.sum("w").alias("n")).select(((F.col("n") + 1) / 2.0).alias("m"))).scalar()
+    mid = (joint.agg(F.sum("w").alias("n")).select(((F.col("n") + 1) / 2.0).alias("m"))).scalar()
     dx, dy = F.col("rx") - F.col("_m"), F.col("ry") - F.col("_m")
     sums = ranked.withColumn("_m", mid).agg(
         F.sum("w").alias("n"), F.sum(F.col("w") * dx * dy).alias("xy"),
