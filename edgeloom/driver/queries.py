@@ -293,11 +293,11 @@ def _(x):
 
 @query("attach_sequences", """
 WITH best AS (SELECT source, doc_id, length(text) AS n FROM (
- SELECT *, row_number() OVER (PARTITION BY source ORDER BY length(text) DESC, doc_id) AS rn FROM documents WHERE lang <> 'en') WHERE rn = 1)
+ SELECT *, row_number() OVER (PARTITION BY source ORDER BY length(text) DESC, doc_id) AS rn FROM documents) WHERE rn = 1)
 SELECT d.doc_id AS node_id, 'D' || b.doc_id AS accession, b.n AS sequence_length FROM documents d JOIN best b ON b.source = d.source""")
 def _(x):
     docs = x.table("documents")
-    seq = N.longest_sequences(docs.filter("lang <> 'en'").select(
+    seq = N.longest_sequences(docs.select(
         F.col("source").alias("gene"), F.concat(F.lit("D"), F.col("doc_id").cast("string")).alias("accession"),
         F.col("text").alias("sequence"), F.col("doc_id").alias("pos")))
     return N.attach_sequences(docs.select(F.col("doc_id").alias("node_id"), F.col("source").alias("name")), seq).select(
@@ -732,11 +732,15 @@ def _(x):
                       round_metric(F.col("vector")[63].cast("double")).alias("last"))
 
 
-@query("masked_mean_pool", """
-SELECT label AS node_id, count(*) FILTER (vec_id % 7 <> 0) AS n_tokens, i AS slot, round(avg(CAST(x AS DOUBLE)) FILTER (vec_id % 7 <> 0), 5) AS value
-FROM (SELECT label, vec_id, unnest(embedding) AS x, unnest(range(64)) AS i FROM embeddings) GROUP BY label, i""")
+_TOKEN = "CAST(floor(abs(CAST(embedding[1] AS DOUBLE)) * 10) AS BIGINT)"
+
+
+@query("masked_mean_pool", f"""
+SELECT label AS node_id, count(*) FILTER (t <> 0) AS n_tokens, i AS slot, round(coalesce(avg(CAST(x AS DOUBLE)) FILTER (t <> 0), 0), 5) AS value
+FROM (SELECT label, {_TOKEN} AS t, unnest(embedding) AS x, unnest(range(64)) AS i FROM embeddings) GROUP BY label, i""")
 def _(x):
-    tokens = x.table("embeddings").select(F.col("label").alias("node_id"), (F.col("vec_id") % 7).alias("token_id"), F.col("embedding").alias("vector"))
+    token = F.floor(F.abs(F.col("embedding")[0].cast("double")) * 10)
+    tokens = x.table("embeddings").select(F.col("label").alias("node_id"), token.alias("token_id"), F.col("embedding").alias("vector"))
     return FE.masked_mean(tokens, [0], DIM).select("node_id", "n_tokens", F.posexplode("pooled").alias("slot", "v")).select(
         "node_id", "n_tokens", F.col("slot").cast("bigint").alias("slot"), F.round("v", 5).alias("value"))
 

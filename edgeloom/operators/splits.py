@@ -248,14 +248,22 @@ def protocol_split(pairs: DataFrame, nodes: DataFrame, context: DataFrame, seeds
 
 
 def usable_runs(split: DataFrame) -> DataFrame:
-    """Runs with at least two test positives and any test negative; others are reported with a reason."""
-    test = F.col("split") == "test"
-    counts = split.groupBy(*SPLIT_KEYS).agg(
-        *[F.count_if((F.col("split") == s) & (F.col("label") == 1)).alias(f"n_{s}_pos") for s in ("train", "val", "test")],
-        F.count_if(test & (F.col("label") == 0)).alias("n_test_neg"))
-    ok = (F.col("n_test_pos") >= K.MIN_TEST_POSITIVES) & (F.col("n_test_neg") > 0)
-    return counts.withColumn("usable", ok).withColumn(
-        "reason", F.when(ok, F.lit("")).otherwise(F.lit("too few test pairs")))
+    """Counts per run, whether it can be evaluated, and the reason if not.
+
+    A run needs its full number of negatives, two test positives and a test negative.
+    """
+    per = split.groupBy(*SPLIT_KEYS, "split", "group_id").agg(
+        F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") == 0).alias("n"))
+
+    def total(what, part):
+        return F.sum(F.when(F.col("split") == part, F.col(what)).otherwise(0))
+    counts = per.groupBy(*SPLIT_KEYS).agg(
+        *[total("p", part).alias(f"n_{part}_pos") for part in ("train", "val", "test")],
+        total("n", "test").alias("n_test_neg"), F.bool_or(F.col("n") < F.col("p")).alias("_short"))
+    few = (F.col("n_test_pos") < K.MIN_TEST_POSITIVES) | (F.col("n_test_neg") == 0)
+    reason = (F.when(F.col("_short"), F.lit("too few possible negatives"))
+              .when(few, F.lit("too few test pairs")).otherwise(F.lit("")))
+    return counts.withColumn("usable", ~(F.col("_short") | few)).withColumn("reason", reason).drop("_short")
 
 
 def permuted_features(features: DataFrame, seed: int) -> DataFrame:

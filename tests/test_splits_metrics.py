@@ -130,10 +130,36 @@ def test_run_context_against_brute_force(graph):
 
 
 def test_usable_runs(spark):
-    rows = [("p", 0, "test", 1, 1, 2), ("p", 0, "test", 1, 1, 3), ("p", 0, "test", 0, 1, 4), ("q", 0, "test", 1, 1, 2)]
-    df = spark.createDataFrame(rows, "protocol string, seed int, split string, label int, a bigint, b bigint")
+    rows = [("p", 0, "test", 1, 1, 2), ("p", 0, "test", 1, 1, 3), ("p", 0, "test", 0, 1, 4), ("p", 0, "test", 0, 2, 4),
+            ("q", 0, "test", 1, 1, 2), ("q", 0, "test", 0, 1, 4), ("r", 0, "train", 1, 1, 2)]
+    df = spark.createDataFrame(rows, "protocol string, seed int, split string, label int, a bigint, b bigint").withColumn("group_id", F.lit(1))
     got = {r.protocol: (r.usable, r.reason) for r in S.usable_runs(df).collect()}
-    assert got == {"p": (True, ""), "q": (False, "too few test pairs")}
+    assert got == {"p": (True, ""), "q": (False, "too few test pairs"), "r": (False, "too few possible negatives")}
+
+
+def test_whole_benchmark(spark, graph):
+    nodes, pos, ctx = graph
+    split = S.protocol_split(pos, nodes, ctx, [0], ("edge_random", "degree_matched"), draws=12)
+    flags = nodes.select("node_id", F.lit(1).alias("flag"))
+    vectors = nodes.select("node_id", F.array(F.col("node_id") / 30.0, F.lit(1.0)).alias("vector"))
+    out = B.run_benchmark(pos, nodes, ctx, flags, split, features=vectors, dim=2, seeds=[0], protocols=("edge_random",),
+                          neural=B.NEURAL, max_iter=3).collect()
+    got = {(r.protocol, r.model) for r in out}
+    assert got == ({(p, m) for p in ("edge_random", "degree_matched") for m in B.TOPOLOGY}
+                   | {("edge_random", m) for m in ("logreg", *B.NEURAL)})
+    assert all(r.auroc is None or 0 <= r.auroc <= 1 for r in out)
+    with pytest.raises(ValueError, match="too few"):
+        B.require_positives(pos.limit(3))
+
+
+def test_hot_group_is_ranked_and_paired_like_any_other(spark):
+    from edgeloom.operators.pairs import candidate_pairs
+    role = F.when(F.col("id") % 3 == 0, "both").when(F.col("id") % 3 == 1, "a").otherwise("b")
+    nodes = spark.range(400).select(F.col("id").alias("node_id"), F.when(F.col("id") < 300, 0).otherwise(F.col("id")).alias("group_id"), role.alias("role"))
+    want = sum(1 for i, j in itertools.combinations(range(300), 2)
+               if (i % 3 in (0, 1) and j % 3 in (0, 2)) or (j % 3 in (0, 1) and i % 3 in (0, 2)))
+    pairs = candidate_pairs(nodes, tile_rows=16)
+    assert pairs.count() == pairs.select("a", "b").distinct().count() == want
 
 
 # --- ranks ------------------------------------------------------------------
