@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from edgeloom import constants as K
-from edgeloom.functions.identifiers import normalize_score
+from edgeloom.functions.identifiers import normalize_score, pair_high, pair_low
 from edgeloom.functions.vectors import dot, sigmoid
 from edgeloom.operators.evidence import evidence_by_node, fold_hits, physical_edges
 from edgeloom.operators.graph import induced_edges
@@ -112,7 +112,6 @@ class Inputs:
     @cached_property
     def slim_edges(self) -> DataFrame:
         """Scored same-group pairs without names: ``src < dst, score``."""
-        from edgeloom.functions.identifiers import pair_high, pair_low
         best = (self.raw_edges.filter(F.col("src") != F.col("dst"))
                 .groupBy(pair_low("src", "dst").alias("src"), pair_high("src", "dst").alias("dst"))
                 .agg(F.max("score").alias("score")))

@@ -10,14 +10,13 @@ from pyspark.sql import functions as F
 from edgeloom import constants as K
 from edgeloom import schema as S
 from edgeloom.driver.inputs import Inputs
-from edgeloom.driver.oracle_parts import CTES, PK, RUN, acc, metric_ctes, overlap, sql
+from edgeloom.driver.oracle_parts import PK, acc, metric_ctes, overlap, sql
 from edgeloom.functions.evidence import dominant_channel, is_tier1, location_overlap
-from edgeloom.functions.identifiers import accessions, digits_sorted, method_ids, pair_high, pair_low, publication_ids, taxon
-from edgeloom.functions.vectors import pair_encoding, round_metric
+from edgeloom.functions.identifiers import accessions, digits_sorted, method_ids, publication_ids, taxon
+from edgeloom.functions.vectors import round_metric
 from edgeloom.operators import evidence as E
 from edgeloom.operators import features as FE
 from edgeloom.operators import graph as G
-from edgeloom.operators import learners as L
 from edgeloom.operators import metrics as M
 from edgeloom.operators import nodes as N
 from edgeloom.operators import pairs as P
