@@ -4,7 +4,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edgeloom.llm import fingerprints, line_dedup, pii, quality, simhash_vptree
+import public_tokenizers
+from edgeloom.llm import bpe_fst, fingerprints, line_dedup, packing, pii, quality, simhash_vptree, vafile
 from edgeloom.llm.common import table
 
 
@@ -31,8 +32,21 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op6_bpe(spark: SparkSession, sf_dir: str, ranks: str = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")) -> DataFrame:
+    return bpe_fst.round_trip(table(spark, sf_dir, "documents"), ranks)
+
+
+def op7_vafile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return vafile.top_k(vectors, vectors.filter(F.col("vec_id") % 50 == 0), 5)
+
+
+def op10_packing(spark: SparkSession, sf_dir: str, tokenizer: str = public_tokenizers.path("word_bpe_49k.json")) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer)
+
+
 QUERIES = {"op1_quality": op1_quality, "op2_pii": op2_pii, "op3_simhash_vptree": op3_simhash_vptree, "op4_line_dedup": op4_line_dedup,
-           "op5_fingerprints": op5_fingerprints}
+           "op5_fingerprints": op5_fingerprints, "op6_bpe": op6_bpe, "op7_vafile": op7_vafile, "op10_packing": op10_packing}
 
 _LINE_SQL = r"""
 WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
@@ -44,4 +58,12 @@ judged AS (SELECT l.doc_id, l.line, l.pos, h.first IS NOT NULL AND h.first <> l.
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256 FROM judged GROUP BY doc_id
 """
-ORACLES = {"op4_line_dedup": _LINE_SQL}
+_SEARCH_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e, len(embedding) AS d FROM embeddings
+ WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND list_count(embedding) = len(embedding) AND len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0),
+q AS (SELECT vec_id, min(e) AS e, any_value(d) AS d FROM v WHERE vec_id % 50 = 0 GROUP BY vec_id),
+s AS (SELECT q.vec_id AS query_id, v.vec_id, list_dot_product(q.e, v.e)::BIGINT AS score FROM q JOIN v ON v.vec_id <> q.vec_id AND v.d = q.d),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5
+"""
+ORACLES = {"op7_vafile": _SEARCH_SQL, "op4_line_dedup": _LINE_SQL}
