@@ -19,38 +19,65 @@ from edgeloom.llm.common import chunks, column_of, id_text, shuffle_width, texts
 
 WINDOW, END_ID = 4096, 2
 SHARD_DOCS = 1500           # wanted documents of a shard
-MAX_WORDS = 300_000         # cached words; beyond that the cache starts anew
+MAX_WORDS = 500_000         # words of the young cache; results do not depend on it
 
 
 class WordTokens:
-    """Ids of whole texts by a tokenizer that drops white space, word by word with a cache.
+    """Ids of whole texts by a tokenizer that drops white space and case, word by word with a cache.
 
     No piece of such a tokenizer spans white space, and ASCII white space composes with nothing, so the ids of a text are
-    those of its words in turn.
+    those of its words in turn.  A piece also ends between an ASCII letter or digit and a mark such as a comma, so a new word may be
+    a known one with other case or marks.
     """
 
+    MARKS = b".,!?;:"
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
-        self.words: dict[bytes, bytes] = {}
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}               # forgotten with the next change, but for what was asked for again
+
+    def _parts(self, word: bytes) -> tuple[bytes, bytes]:
+        low = word.lower() if word.isascii() and b"<|" not in word else word
+        core = low.rstrip(self.MARKS)
+        return (core, low[len(core):]) if core[-1:].isalnum() else (low, b"")
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Ids of new words: many in one line, told apart by where their tokens stand."""
+        for i in range(0, len(words), 500):
+            part = words[i:i + 500]
+            texts = [w.decode("utf-8", "replace") for w in part]
+            starts = np.cumsum([0] + [len(t) + 1 for t in texts])
+            e = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
+            data = np.array(e.ids, "<u4").tobytes()
+            cuts = (np.searchsorted(np.array([a for a, _ in e.offsets], np.int64), starts) * 4).tolist()
+            for k, word in enumerate(part):
+                self.young[word] = data[cuts[k]:cuts[k + 1]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        if len(self.words) > MAX_WORDS:
-            self.words.clear()
+        if len(self.young) > MAX_WORDS:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
         split = [t.encode("utf-8", "surrogatepass").split() for t in texts]
-        new = list(set().union(*split).difference(self.words)) if split else []
-        for i in range(0, len(new), 500):              # words in one line, told apart by where their tokens stand
-            part = [w.decode("utf-8", "replace") for w in new[i:i + 500]]
-            starts = np.cumsum([0] + [len(w) + 1 for w in part])
-            e = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            ids, at = np.array(e.ids, "<u4"), np.array([a for a, _ in e.offsets], np.int64)
-            cuts = np.searchsorted(at, starts)
-            for k, word in enumerate(new[i:i + 500]):
-                self.words[word] = ids[cuts[k]:cuts[k + 1]].tobytes()
-        get = self.words.__getitem__
+        new = set().union(*split).difference(young) if split else set()
+        made = {}
+        for word in new:
+            if word in old:
+                young[word] = old[word]
+            else:
+                made[word] = self._parts(word)
+        needed = {p for parts in made.values() for p in parts}.difference(young)
+        for part in needed & old.keys():
+            young[part] = old[part]
+        young[b""] = b""
+        self._learn([p for p in needed if p not in young])
+        for word, (core, marks) in made.items():
+            young[word] = young[core] + young[marks]
+        get = young.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
 
