@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from edgeloom.llm import bpe_fst, fingerprints, line_dedup, packing, pii, quality, simhash_vptree, vafile
+from edgeloom.llm import bpe_fst, fingerprints, line_dedup, lm_scoring, packing, pii, quality, simhash_vptree, substring, vafile
 from edgeloom.llm.common import table
 
 
@@ -41,12 +41,24 @@ def op7_vafile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vafile.top_k(vectors, vectors.filter(F.col("vec_id") % 50 == 0), 5)
 
 
+def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages that a document of smaller id holds already; one row a passage, with the documents it is first found in."""
+    return substring.repeated_runs(table(spark, sf_dir, "documents")).drop("row")
+
+
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target: the documents labelled as good; background: all documents."""
+    docs = table(spark, sf_dir, "documents")
+    good = table(spark, sf_dir, "labels").filter(F.col("quality") == 1).select("doc_id")
+    return lm_scoring.score(docs, lm_scoring.fit(docs, good))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str, tokenizer: str = public_tokenizers.path("word_bpe_49k.json")) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer)
 
 
 QUERIES = {"op1_quality": op1_quality, "op2_pii": op2_pii, "op3_simhash_vptree": op3_simhash_vptree, "op4_line_dedup": op4_line_dedup,
-           "op5_fingerprints": op5_fingerprints, "op6_bpe": op6_bpe, "op7_vafile": op7_vafile, "op10_packing": op10_packing}
+           "op5_fingerprints": op5_fingerprints, "op6_bpe": op6_bpe, "op7_vafile": op7_vafile, "op8_substring": op8_substring, "op9_lm_scoring": op9_lm_scoring, "op10_packing": op10_packing}
 
 _LINE_SQL = r"""
 WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
