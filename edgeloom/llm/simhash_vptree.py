@@ -6,6 +6,9 @@ levels of one tree, built from a bounded sample, are a routing table: a node goe
 nodes near a boundary go to both.  A shard goes on splitting the same way inside its task, compares leaves exactly, and returns a
 spanning forest of its links, never all pairs.  Components of the forests are the classes.
 
+That holds for small radii.  A similarity of 0.8 or more is up to 12 of 64 bits, where nearly all fingerprints are "near a boundary" and bounds prune
+nothing; ``keep_first`` therefore deals fingerprints to shards by bands of min-hashes of the same shingles instead, and links inside a shard as above.
+
 A shard's work is bounded by distinct fingerprints: however many copies a document has, at most 679,121 (1 + C(64,1) + ... + C(64,4))
 fingerprints lie within distance 4 of any one.
 """
@@ -17,10 +20,10 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from edgeloom.llm.common import chunks, column_of, id_text, texts_of
+from edgeloom.llm.common import chunks, column_of, id_text, shuffle_width, texts_of
 from edgeloom.operators.graph import connected_components
 from edgeloom.session import materialize
 
@@ -191,3 +194,79 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, n: int = SHINGLE) ->
     named = linked.join(named, "component").select("fp", "component_low")
     whole = nodes.join(named, "fp", "left").select("fp", F.coalesce("component_low", "low").alias("component_id"))
     return prints.join(whole, "fp").select("doc_id", "fp", "component_id")
+
+
+# ---------------------------------------------------------------- similarity 0.8 and more
+BANDS, ROWS = 8, 3          # pairs of Jaccard similarity 0.8 meet in a band with probability 1 - (1 - 0.8^3)^8 = 0.997
+TILE = 4096                 # fingerprints of a shard's tile; a larger shard is worked on tile against tile
+_SEEDS = np.random.default_rng(17).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
+
+
+def banded(docs: DataFrame, n: int) -> DataFrame:
+    """``doc_id, row, fp, bands`` of every row: fingerprint, and one key a band of min-hashes (none without words)."""
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for part in chunks(batches, limit=2 << 20):
+            texts = texts_of(part)
+            digests = [b"".join(map(xxhash.xxh64_digest, shingles(t, n), repeat(42))) for t in texts]
+            total = np.array([len(d) // 8 for d in digests], np.int64)
+            h = np.frombuffer(b"".join(digests), ">u8").astype(np.uint64)
+            some = np.flatnonzero(total)
+            keys = np.zeros((len(some), BANDS), np.uint64)
+            if len(some):
+                starts = (np.cumsum(total) - total)[some]
+                for k, seed in enumerate(_SEEDS):
+                    mixed = (h ^ seed) * seed
+                    mixed ^= mixed >> np.uint64(32)
+                    low = np.minimum.reduceat(mixed * np.uint64(0x9E3779B97F4A7C15), starts)
+                    keys[:, k // ROWS] = (keys[:, k // ROWS] ^ low) * np.uint64(0xD6E8FEB86659FD93)
+            lists = [None] * len(texts)
+            for i, own in zip(some, keys.view(np.int64).tolist()):
+                lists[i] = own
+            yield pa.RecordBatch.from_arrays([column_of(part, "doc_id"), column_of(part, "row"), pa.array(fingerprints_of(texts, n).view(np.int64)),
+                                              pa.array([b or [] for b in lists], pa.list_(pa.int64()))], ["doc_id", "row", "fp", "bands"])
+
+    return id_text(docs).withColumn("row", F.xxhash64("text")).mapInArrow(run, "doc_id bigint, row bigint, fp bigint, bands array<bigint>")
+
+
+def banded_links(prints: DataFrame, radius: int) -> DataFrame:
+    """Spanning forests ``src, dst`` of the fingerprints that share a band and lie within ``radius``."""
+    members = materialize(prints.select(F.posexplode("bands").alias("band", "key"), "fp").distinct())
+    sizes = members.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > 1)
+    tiles = F.ceil(F.col("size") / TILE).cast("int")
+    own = F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int")
+    dealt = (members.join(sizes.withColumn("tiles", tiles), ["band", "key"]).withColumn("own", own)
+             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+             .select("band", "key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "fp"))
+    bins = shuffle_width(prints.sparkSession, 4)
+    dealt = dealt.select(F.pmod(F.xxhash64("band", "key", "low", "high"), F.lit(bins)).cast("int").alias("bin"), F.xxhash64("band", "key", "low", "high").alias("shard"), "fp")
+
+    def inside(group: pa.Table) -> pa.Table:
+        shard, fp = group.column("shard").combine_chunks().to_numpy(), _unsigned(group.column("fp").combine_chunks())
+        order = np.argsort(shard, kind="stable")
+        found = [link(own, radius) for own in np.split(fp[order], np.flatnonzero(np.diff(shard[order])) + 1)] if len(fp) else []
+        a, b = (np.concatenate([f[i] for f in found]) if found else np.empty(0, np.uint64) for i in (0, 1))
+        return pa.table({"src": pa.array(a.view(np.int64)), "dst": pa.array(b.view(np.int64))})
+
+    return dealt.groupBy("bin").applyInArrow(inside, "src bigint, dst bigint").distinct()
+
+
+def keep_first(docs: DataFrame, n: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, without those that a near-duplicate of smaller id makes superfluous.
+
+    Near-duplicates share a band of min-hashes and ``similarity`` of the fingerprint's bits, directly or over others.  Of each group the row with the smallest
+    id stays (no id: last; one id: by text hash; equal rows: one).  Texts without words are one group.
+    """
+    radius = int(64 * (1 - similarity))
+    prints = materialize(banded(docs, n))
+    links = materialize(banded_links(prints, radius))
+    ends = links.select(F.col("src").alias("node_id")).union(links.select(F.col("dst").alias("node_id"))).distinct()
+    named = connected_components(ends, links).select(F.col("node_id").alias("fp"), "component")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    nodes = prints.groupBy("fp").agg(F.min(order).alias("low"))
+    stay = (nodes.join(named, "fp", "left").groupBy(F.coalesce("component", "fp").alias("component"))
+            .agg(F.min("low").alias("low")).select(F.col("low.doc_id").alias("__id"), F.col("low.row").alias("__row")))
+    stay = materialize(stay)
+    keyed = docs.withColumns({"__own_id": docs["doc_id"].cast("bigint"), "__own_row": F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))})
+    kept = keyed.join(stay, keyed["__own_id"].eqNullSafe(stay["__id"]) & (keyed["__own_row"] == stay["__row"]), "left_semi")
+    once = Window.partitionBy("__own_id", "__own_row").orderBy(F.lit(0))
+    return kept.withColumn("__n", F.row_number().over(once)).filter(F.col("__n") == 1).select(*docs.columns)
