@@ -4,8 +4,8 @@ Tokens are the bytes of the text after a start mark, so both models share one cl
 documents, the target model the documents of the target set.  Probabilities are interpolated from order 1 to ``ORDER``; a score is the mean over a
 document's tokens of (loss under the target - loss under the background): below zero, the text looks more like the target.
 
-Orders 1 to 3 have a counter for every n-gram.  Higher orders are counted in tables of 2^22 slots by hash: the n-grams that occur in text are far
-fewer and stop growing, so the tables have a proven size whatever the corpus.  Each task counts all its text before anything is shuffled.
+Orders 1 and 2 have a counter for every n-gram.  Higher orders are counted by hash in tables of 2^20 to 2^22 slots: short byte n-grams that occur in
+text are mostly fewer and stop growing, and the tables have a proven size whatever the corpus.  Each task counts all its text before anything is shuffled.
 """
 from __future__ import annotations
 
@@ -56,9 +56,9 @@ def _pages(counts: np.ndarray, order: int) -> Iterator[tuple[int, int, bytes]]:
 
 
 def count_pages(docs: DataFrame) -> DataFrame:
-    """``order, page, target, background``: summed counters of all texts; ``docs`` is ``text, is_target``."""
+    """``side, order, page, counts``: summed counters (side 0 background, 1 target) of all texts; ``docs`` is ``text, is_target``."""
     def count(batches) -> Iterator[pa.RecordBatch]:
-        sums = {(side, n): np.zeros(1 << SLOT_BITS[n - 1], np.int64) for n in range(1, ORDER + 1) for side in (0, 1)}
+        sums = {(side, n): np.zeros(1 << SLOT_BITS[n - 1], np.uint32) for n in range(1, ORDER + 1) for side in (0, 1)}
         for part in chunks(batches, limit=2 << 20):
             data, owner, token = _joined(texts_of(part))
             wanted = np.array([bool(v) for v in column_of(part, "is_target").to_pylist()], bool)
@@ -66,7 +66,8 @@ def count_pages(docs: DataFrame) -> DataFrame:
             for n in range(1, ORDER + 1):
                 slot = _grams(data, n)[token]
                 for side, own in ((0, slot), (1, slot[chosen])):
-                    np.add.at(sums[side, n], *np.unique(own, return_counts=True))
+                    at, seen = np.unique(own, return_counts=True)
+                    sums[side, n][at] += seen.astype(np.uint32)
         for n in range(1, ORDER + 1):
             for side in (0, 1):
                 rows = list(_pages(sums[side, n], n))
@@ -116,12 +117,13 @@ class Model:
 def fit(docs: DataFrame, target_ids: DataFrame) -> Model:
     """Both models from all rows of ``docs``; rows whose id is in ``target_ids`` (column ``doc_id``) also count for the target.
 
-    The driver receives summed pages only: at most 3,613 of 32 KB, for each side, however large the corpus is.
+    The driver receives summed pages only: at most 1,809 of 32 KB for each side, however large the corpus is.
     """
     wanted = target_ids.select(F.col("doc_id").cast("bigint").alias("doc_id")).dropna().distinct().withColumn("is_target", F.lit(True))
-    marked = id_text(docs).join(wanted, "doc_id", "left").select("text", F.coalesce("is_target", F.lit(False)).alias("is_target"))
+    # the same join whatever the sizes: the target set grows with the corpus and is not sent to every task
+    marked = id_text(docs).join(wanted.hint("merge"), "doc_id", "left").select("text", F.coalesce("is_target", F.lit(False)).alias("is_target"))
     tables = {(side, n): np.zeros(1 << SLOT_BITS[n - 1], np.int64) for n in range(1, ORDER + 1) for side in (0, 1)}
-    for row in count_pages(marked).toLocalIterator():
+    for row in count_pages(marked).coalesce(4).toLocalIterator():
         own = np.frombuffer(row["counts"], "<i8")
         tables[row["side"], row["order"]][row["page"] * len(own):(row["page"] + 1) * len(own)] = own
     return Model(tables)
