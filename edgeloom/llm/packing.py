@@ -19,7 +19,7 @@ from edgeloom.llm.common import chunks, column_of, id_text, shuffle_width, texts
 
 WINDOW, END_ID = 4096, 2
 SHARD_DOCS = 1500           # wanted documents of a shard
-MAX_WORDS = 500_000         # words of the young cache; results do not depend on it
+MAX_WORDS = 400_000         # words of the young cache; results do not depend on it
 
 
 class WordTokens:

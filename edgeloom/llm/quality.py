@@ -123,7 +123,7 @@ def train(docs: DataFrame, labels: DataFrame, *, label_col: str = "quality", tra
              .orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows))
 
     def examples(batches) -> Iterator[pa.RecordBatch]:
-        for part in chunks(batches):
+        for part in chunks(batches, limit=1 << 20):
             row, slot, value = features(texts_of(part), bits)
             cut = np.searchsorted(row, np.arange(1, part.num_rows))
             yield pa.RecordBatch.from_arrays([
@@ -147,7 +147,7 @@ def score(docs: DataFrame, weights: np.ndarray, *, threshold: float = THRESHOLD)
     bits = int(len(weights)).bit_length() - 1
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        for part in chunks(batches):
+        for part in chunks(batches, limit=1 << 20):
             row, slot, value = features(texts_of(part), bits)
             dot = np.bincount(row, weights[slot] * value, part.num_rows)
             yield pa.RecordBatch.from_arrays([column_of(part, "doc_id"), pa.array(1.0 / (1.0 + np.exp(-np.clip(dot, -35, 35))))],
@@ -162,7 +162,7 @@ def keep_good(docs: DataFrame, weights: np.ndarray, *, threshold: float = THRESH
     bits = int(len(weights)).bit_length() - 1
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        for part in chunks(batches):
+        for part in chunks(batches, limit=1 << 20):
             row, slot, value = features(texts_of(part), bits)
             dot = np.bincount(row, weights[slot] * value, part.num_rows)
             yield part.filter(pa.array(1.0 / (1.0 + np.exp(-np.clip(dot, -35, 35))) >= threshold))
