@@ -8,7 +8,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHUNK_BYTES = 6 << 20       # text handled at once inside a task; a single longer text is its own chunk
+CHUNK_BYTES = 2 << 20       # text handled at once inside a task; a single longer text is its own chunk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

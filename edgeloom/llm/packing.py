@@ -19,7 +19,7 @@ from edgeloom.llm.common import chunks, column_of, id_text, shuffle_width, texts
 
 WINDOW, END_ID = 4096, 2
 SHARD_DOCS = 1500           # wanted documents of a shard
-MAX_WORDS = 400_000         # words of the young cache; results do not depend on it
+MAX_WORDS = 200_000         # words of the young cache; results do not depend on it
 
 
 class WordTokens:
@@ -173,6 +173,7 @@ def tokenized(docs: DataFrame, path: str, *, end_id: int = END_ID) -> DataFrame:
             blobs = [np.append(i, np.uint32(end_id)).astype("<u4" if wide else "<u2").tobytes() for i in ids]
             yield pa.RecordBatch.from_arrays([column_of(part, "doc_id"), pa.array([len(i) + 1 for i in ids], pa.int64()), pa.array([wide] * len(ids)),
                                               pa.array(blobs, pa.binary())], ["doc_id", "n", "wide", "ids"])
+        own.old = {}                                    # an idle worker keeps half
 
     return id_text(docs).mapInArrow(run, "doc_id bigint, n bigint, wide boolean, ids binary")
 
