@@ -9,6 +9,7 @@ text are mostly fewer and stop growing, and the tables have a proven size whatev
 """
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -56,7 +57,7 @@ def _pages(counts: np.ndarray, order: int) -> Iterator[tuple[int, int, bytes]]:
 
 
 def count_pages(docs: DataFrame) -> DataFrame:
-    """``side, order, page, counts``: summed counters (side 0 background, 1 target) of all texts; ``docs`` is ``text, is_target``."""
+    """``side, order, page, counts``: summed counters (side 0 background, 1 target), compressed of all texts; ``docs`` is ``text, is_target``."""
     def count(batches) -> Iterator[pa.RecordBatch]:
         sums = {(side, n): np.zeros(1 << SLOT_BITS[n - 1], np.uint32) for n in range(1, ORDER + 1) for side in (0, 1)}
         for part in chunks(batches, limit=2 << 20):
@@ -86,7 +87,7 @@ def count_pages(docs: DataFrame) -> DataFrame:
         if sums:
             side, order, page = zip(*sums)
             yield pa.RecordBatch.from_arrays([pa.array(side, pa.int32()), pa.array(order, pa.int32()), pa.array(page, pa.int32()),
-                                              pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["side", "order", "page", "counts"])
+                                              pa.array([zlib.compress(v.tobytes(), 1) for v in sums.values()], pa.binary())], ["side", "order", "page", "counts"])
 
     schema = "side int, order int, page int, counts binary"
     return docs.mapInArrow(count, schema).repartition("side", "order", "page").mapInArrow(add, schema)
@@ -123,8 +124,8 @@ def fit(docs: DataFrame, target_ids: DataFrame) -> Model:
     # the same join whatever the sizes: the target set grows with the corpus and is not sent to every task
     marked = id_text(docs).join(wanted.hint("merge"), "doc_id", "left").select("text", F.coalesce("is_target", F.lit(False)).alias("is_target"))
     tables = {(side, n): np.zeros(1 << SLOT_BITS[n - 1], np.int64) for n in range(1, ORDER + 1) for side in (0, 1)}
-    for row in count_pages(marked).coalesce(4).toLocalIterator():
-        own = np.frombuffer(row["counts"], "<i8")
+    for row in count_pages(marked).collect():
+        own = np.frombuffer(zlib.decompress(row["counts"]), "<i8")
         tables[row["side"], row["order"]][row["page"] * len(own):(row["page"] + 1) * len(own)] = own
     return Model(tables)
 
