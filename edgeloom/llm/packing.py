@@ -19,7 +19,7 @@ from edgeloom.llm.common import chunks, column_of, id_text, shuffle_width, texts
 
 WINDOW, END_ID = 4096, 2
 SHARD_DOCS = 1500           # wanted documents of a shard
-MAX_WORDS = 200_000         # words of the young cache; results do not depend on it
+CACHED_WORDS = 200_000      # words of a worker's young cache, about 200 bytes each; results do not depend on it
 
 
 class WordTokens:
@@ -32,9 +32,10 @@ class WordTokens:
 
     MARKS = b".,!?;:"
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cached_words: int = CACHED_WORDS):
         from tokenizers import Tokenizer
 
+        self.cached_words = cached_words
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.young: dict[bytes, bytes] = {}
@@ -59,7 +60,7 @@ class WordTokens:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        if len(self.young) > MAX_WORDS:
+        if len(self.young) > self.cached_words:
             self.old, self.young = self.young, {}
         young, old = self.young, self.old
         split = [t.encode("utf-8", "surrogatepass").split() for t in texts]
@@ -84,9 +85,10 @@ class WordTokens:
 _TOKENS: dict[str, WordTokens] = {}
 
 
-def _tokens(path: str) -> WordTokens:
+def _tokens(path: str, cached_words: int = CACHED_WORDS) -> WordTokens:
     if path not in _TOKENS:
         _TOKENS[path] = WordTokens(path)
+    _TOKENS[path].cached_words = cached_words
     return _TOKENS[path]
 
 
@@ -163,10 +165,10 @@ def pack_lengths(lengths: list[int], window: int = WINDOW) -> list[tuple[int, in
     return pieces
 
 
-def tokenized(docs: DataFrame, path: str, *, end_id: int = END_ID) -> DataFrame:
+def tokenized(docs: DataFrame, path: str, *, end_id: int = END_ID, cached_words: int = CACHED_WORDS) -> DataFrame:
     """``doc_id, n, ids`` of every row: ids with the end mark, as little-endian 16- or 32-bit numbers."""
     def run(batches) -> Iterator[pa.RecordBatch]:
-        own = _tokens(path)
+        own = _tokens(path, cached_words)
         wide = own.tokenizer.get_vocab_size(True) > 1 << 16 or end_id >= 1 << 16
         for part in chunks(batches):
             ids = [np.frombuffer(b, "<u4") for b in own.encode(texts_of(part))]
@@ -178,14 +180,15 @@ def tokenized(docs: DataFrame, path: str, *, end_id: int = END_ID) -> DataFrame:
     return id_text(docs).mapInArrow(run, "doc_id bigint, n bigint, wide boolean, ids binary")
 
 
-def pack(docs: DataFrame, path: str, *, window: int = WINDOW, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, path: str, *, window: int = WINDOW, end_id: int = END_ID, with_ids: bool = False,
+         cached_words: int = CACHED_WORDS) -> DataFrame:
     """Pieces of all documents: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset`` and, if wanted, ``ids``.
 
     A null or empty text is its end mark alone.  Rows with one id are documents each, as are rows without an id.  Each id of each document lies in one
     piece; a sequence is full, or its length is a power of two.  An empty table gives no pieces.
     """
     shards = max(shuffle_width(docs.sparkSession), -(-docs.count() // SHARD_DOCS))
-    rows = tokenized(docs, path, end_id=end_id).withColumn("shard", F.pmod(F.xxhash64("doc_id", "n"), F.lit(shards)).cast("bigint"))
+    rows = tokenized(docs, path, end_id=end_id, cached_words=cached_words).withColumn("shard", F.pmod(F.xxhash64("doc_id", "n"), F.lit(shards)).cast("bigint"))
 
     def fill(group: pa.Table) -> pa.Table:
         lengths = group.column("n").to_pylist()
