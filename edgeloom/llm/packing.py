@@ -170,7 +170,7 @@ def tokenized(docs: DataFrame, path: str, *, end_id: int = END_ID, cached_words:
     def run(batches) -> Iterator[pa.RecordBatch]:
         own = _tokens(path, cached_words)
         wide = own.tokenizer.get_vocab_size(True) > 1 << 16 or end_id >= 1 << 16
-        for part in chunks(batches):
+        for part in chunks(batches, limit=6 << 20):      # larger chunks ask the cache for fewer words
             ids = [np.frombuffer(b, "<u4") for b in own.encode(texts_of(part))]
             blobs = [np.append(i, np.uint32(end_id)).astype("<u4" if wide else "<u2").tobytes() for i in ids]
             yield pa.RecordBatch.from_arrays([column_of(part, "doc_id"), pa.array([len(i) + 1 for i in ids], pa.int64()), pa.array([wide] * len(ids)),

@@ -54,7 +54,7 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_packing(spark: SparkSession, sf_dir: str, tokenizer: str = public_tokenizers.path("word_bpe_49k.json")) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), tokenizer, cached_words=500_000)
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer, cached_words=800_000)
 
 
 QUERIES = {"op1_quality": op1_quality, "op2_pii": op2_pii, "op3_simhash_vptree": op3_simhash_vptree, "op4_line_dedup": op4_line_dedup,
