@@ -88,3 +88,14 @@ CLASS_PHYSICAL = "physical_curated"
 CLASS_ARTIFACT = "artifact_risk"
 CLASS_FUNCTIONAL = "string_functional_only"
 CLASS_UNREPORTED = "unreported"
+
+# --- fixed values: headers of landed files ---
+CHANNEL_HEADERS = {
+    "src": ("stringId_A", "src"), "dst": ("stringId_B", "dst"), "combined": ("score", "combined_score", "combined"),
+}
+CATALOG_A_HEADERS = {
+    "sa": ("SWISS-PROT Accessions Interactor A",), "sb": ("SWISS-PROT Accessions Interactor B",),
+    "system": ("Experimental System",), "type": ("Experimental System Type",), "pub": ("Publication Source",),
+    "ta": ("TREMBL Accessions Interactor A",), "tb": ("TREMBL Accessions Interactor B",),
+    "through": ("Throughput",), "oa": ("Organism ID Interactor A",), "ob": ("Organism ID Interactor B",),
+}

@@ -22,7 +22,7 @@ from edgeloom.operators.evidence import evidence_by_node, fold_hits, physical_ed
 from edgeloom.operators.graph import induced_edges
 from edgeloom.operators.pairs import candidate_pairs, dedupe_edges
 from edgeloom.plans.atlas import build_atlas
-from edgeloom.session import materialize, spread
+from edgeloom.session import materialize
 from edgeloom.sources.catalogs import parse_catalog_a, parse_catalog_b
 
 SECTION = 250
@@ -119,8 +119,8 @@ class Inputs:
 
     @cached_property
     def context(self) -> DataFrame:
-        """Context graph: same-group pairs with a score of at least 0.7."""
-        return self.slim_edges.filter(F.col("score") >= K.CONTEXT_SCORE).select("src", "dst", "score", "group_id")
+        """Context graph: same-group pairs with a score of at least 0.7.  Written once, since most graph queries read it many times."""
+        return materialize(self.slim_edges.filter(F.col("score") >= K.CONTEXT_SCORE).select("src", "dst", "score", "group_id"))
 
     @cached_property
     def channels(self) -> DataFrame:
@@ -140,8 +140,9 @@ class Inputs:
     # --- catalogs ---
     @cached_property
     def _spread_lines(self) -> DataFrame:
+        """The columns that the catalogs are rendered from, dealt evenly: rendering is heavy and a file may be one split."""
         slim = self._lines.select("l_orderkey", "l_partkey", "l_linenumber", "l_tax", "l_returnflag", "l_linestatus", "far")
-        return spread(slim)
+        return slim.repartition("l_orderkey", "l_linenumber")
 
     @cached_property
     def catalog_a_lines(self) -> DataFrame:

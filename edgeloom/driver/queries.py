@@ -326,7 +326,8 @@ def _(x):
     return G.expand_partners(N.role_nodes(x.nodes), x.slim_edges)
 
 
-_INGEST = """net AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, max(score) AS score FROM raw_edges WHERE src <> dst
+_INGEST = """net AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, max(score) AS score FROM raw_edges
+ JOIN nodes x ON x.node_id = src JOIN nodes y ON y.node_id = dst AND y.group_id = x.group_id WHERE src <> dst
  GROUP BY 1, 2 HAVING max(score) >= 0.7),
 picked AS (SELECT node_id FROM nodes WHERE role <> 'partner' UNION SELECT v FROM (
  SELECT u, v, row_number() OVER (PARTITION BY u ORDER BY score DESC, v) AS rn FROM (
@@ -346,10 +347,9 @@ SELECT group_id, CAST(sum(n) AS BIGINT) AS n_nodes, CAST(sum(e) AS BIGINT) AS n_
   CASE WHEN node_id IN (SELECT u FROM ends) THEN 0 ELSE 1 END AS i FROM kept JOIN comp USING (node_id)
  UNION ALL SELECT group_id, 0, 1, 0, 0 FROM links) GROUP BY ROLLUP (group_id)""", _INGEST).replace("WITH ", "WITH RECURSIVE ", 1))
 def _(x):
-    network = P.dedupe_edges(x.raw_edges)
     names = x.nodes.select("node_id", "name", "group_id", "group_name")
-    seq = x.nodes.select(F.upper("name").alias("gene_key"), F.col("name").alias("accession"), F.col("name").alias("sequence")).distinct()
-    nodes, edges = IN.ingest_graph(names, network, x.seeds, seq)
+    seq = x.nodes.select("group_id", F.upper("name").alias("gene_key"), F.col("name").alias("accession"), F.col("name").alias("sequence")).distinct()
+    nodes, edges = IN.ingest_graph(names, x.raw_edges, x.seeds, seq)
     return IN.ingest_summary(nodes, edges)
 
 

@@ -127,8 +127,12 @@ def three_walks(pairs: DataFrame, adjacency: DataFrame) -> DataFrame:
 
 def expand_partners(seeds: DataFrame, edges: DataFrame, *, min_score: float = K.CONTEXT_SCORE,
                     limit: int = K.PARTNERS_PER_SEED) -> DataFrame:
-    """Seed ids plus up to ``limit`` best-scored partners of each, distinct ``node_id``."""
-    strong = both_ways(edges.filter(F.col("score") >= min_score), "src", "dst", "score")
+    """Seed ids plus up to ``limit`` best-scored partners of each, distinct ``node_id``.
+
+    A partner counts once however often, and in whichever direction, the pair is recorded; ``edges`` join nodes of one group.
+    """
+    strong = (both_ways(edges.filter((F.col("score") >= min_score) & (F.col("src") != F.col("dst"))), "src", "dst", "score")
+              .groupBy("src", "dst").agg(F.max("score").alias("score")))
     mine = strong.join(seeds.select(F.col("node_id").alias("src")), "src", "left_semi")
     w = Window.partitionBy("src").orderBy(F.desc("score"), "dst")
     best = mine.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= limit)

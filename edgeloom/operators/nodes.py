@@ -36,9 +36,13 @@ def with_fallback(preferred: DataFrame, second: DataFrame, key: str) -> DataFram
 
 
 def attach_sequences(nodes: DataFrame, sequences: DataFrame) -> DataFrame:
-    """Sequence and accession by upper-cased name; nodes without one drop out."""
-    seq = sequences.select(F.col("gene_key").alias("_k"), "accession", "sequence")
-    return (nodes.drop("accession", "sequence").withColumn("_k", F.upper("name")).join(seq, "_k").drop("_k")
+    """Sequence and accession by group and upper-cased name; nodes without one drop out.
+
+    ``sequences`` without ``group_id`` stand for a single group and match by name alone.
+    """
+    group = ["group_id"] if "group_id" in sequences.columns else []
+    seq = sequences.select(*group, F.col("gene_key").alias("_k"), "accession", "sequence")
+    return (nodes.drop("accession", "sequence").withColumn("_k", F.upper("name")).join(seq, [*group, "_k"]).drop("_k")
             .withColumn("sequence_length", F.length("sequence")))
 
 

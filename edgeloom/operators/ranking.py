@@ -48,8 +48,8 @@ def running_totals(hist: DataFrame, keys: list[str], value: str, measures: list[
                    descending: bool = False) -> DataFrame:
     """Add inclusive ``cum_<measure>`` and ``all_<measure>``; ``hist`` has one row per key and value.
 
-    A cell number that grows with the value splits every key into bounded pieces, so no
-    window partition holds more than a few million rows however large the key is.
+    A cell number that grows with the value splits every key into pieces: at most a few million distinct
+    values each for values of about one and more.  Near zero a cell is 3e-5 wide, so distinct values crowded there share one.
     """
     v = F.col(value).cast("double")
     cell = F.floor(F.signum(v) * F.log1p(F.abs(v)) * F.lit(_CELL_SCALE))

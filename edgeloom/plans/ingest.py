@@ -8,6 +8,7 @@ from edgeloom import constants as K
 from edgeloom.operators.graph import connected_components, expand_partners, induced_edges
 from edgeloom.operators.nodes import attach_sequences, label_roles
 from edgeloom.operators.pairs import dedupe_edges
+from edgeloom.session import materialize
 
 
 def ingest_graph(names: DataFrame, network: DataFrame, seeds: DataFrame, sequences: DataFrame, *,
@@ -15,15 +16,15 @@ def ingest_graph(names: DataFrame, network: DataFrame, seeds: DataFrame, sequenc
     """Nodes and edges of the neighbourhood of the seeds.
 
     ``names``: node_id, name, group_id, group_name; ``network``: edge records; ``seeds``: group_id, symbol,
-    role; ``sequences``: gene_key, accession, sequence.
+    role; ``sequences``: group_id, gene_key, accession, sequence.  Groups never mix: only edges inside a group count as partners.
     """
+    same = materialize(induced_edges(dedupe_edges(network.filter(F.col("score") >= min_score)), names))
     seed_ids = (names.withColumn("_k", F.upper("name"))
                 .join(seeds.select("group_id", F.upper("symbol").alias("_k")).distinct(), ["group_id", "_k"], "left_semi")
                 .select("node_id"))
-    wanted = expand_partners(seed_ids, network, min_score=min_score, limit=partners)
+    wanted = expand_partners(seed_ids, same, min_score=min_score, limit=partners)
     nodes = label_roles(attach_sequences(names.join(wanted, "node_id", "left_semi"), sequences), seeds)
-    strong = dedupe_edges(network.filter(F.col("score") >= min_score))
-    return nodes, induced_edges(strong, nodes)
+    return nodes, induced_edges(same, nodes)
 
 
 def ingest_summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cores: int | str = "*", memory: str = "20g") -> SparkSession:
+def local_session(cores: int | str = "*", memory: str = "8g") -> SparkSession:
     """Session for tests and the benchmark; a cluster brings its own settings."""
     n = 8 if cores == "*" else int(cores)
     return (
@@ -23,13 +23,23 @@ def local_session(cores: int | str = "*", memory: str = "20g") -> SparkSession:
     )
 
 
+def _qualified(spark: SparkSession, folder: str) -> str:
+    """The folder as Spark names it, with scheme and authority."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """Folder that survives a lost executor: the one the cluster names, a temp folder only in local mode."""
+    """Folder that survives a lost executor: the one the cluster names, a temp folder only in local mode.
+
+    One folder a session: calling again gives the same one.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     current = context.getCheckpointDir()
-    if named and (current is None or not current.startswith(named)):
-        context.setCheckpointDir(named)
+    if named:
+        if current is None or not current.startswith(_qualified(spark, named) + "/"):
+            context.setCheckpointDir(named)
     elif current is None:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder")
@@ -47,9 +57,3 @@ def materialize(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Re-balance an input that came as fewer splits than there are cores; large splittable inputs pass through."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

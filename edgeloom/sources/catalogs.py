@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from edgeloom import constants as K
-from edgeloom.functions.identifiers import accessions, header_index, pair_high, pair_low, taxon
+from edgeloom.functions.identifiers import accessions, pair_high, pair_low, resolve_headers, taxon
 from edgeloom.schema import HIT_COLUMNS
 
 
@@ -46,19 +46,7 @@ def _usable(p: Column, needed: int) -> Column:
 
 def parse_catalog_a(lines: DataFrame, header: list[str], wanted: DataFrame) -> DataFrame:
     """Catalog A: tab-separated with a header; short rows are dropped, some columns are optional."""
-    at = {
-        "sa": header_index(header, "SWISS-PROT Accessions Interactor A"),
-        "sb": header_index(header, "SWISS-PROT Accessions Interactor B"),
-        "system": header_index(header, "Experimental System"),
-        "type": header_index(header, "Experimental System Type"),
-        "pub": header_index(header, "Publication Source"),
-    }
-    optional = {
-        "ta": "TREMBL Accessions Interactor A", "tb": "TREMBL Accessions Interactor B",
-        "through": "Throughput", "oa": "Organism ID Interactor A", "ob": "Organism ID Interactor B",
-    }
-    for key, name in optional.items():
-        at[key] = header_index(header, name, required=False)
+    at = resolve_headers(header, K.CATALOG_A_HEADERS, optional=("ta", "tb", "through", "oa", "ob"))
     for one, other in (("ta", "tb"), ("oa", "ob")):     # a pair of columns counts only when complete
         if at[one] is None or at[other] is None:
             at[one] = at[other] = None

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from edgeloom import constants as K
 from edgeloom import schema as S
-from edgeloom.functions.identifiers import first_present, normalize_score
+from edgeloom.functions.identifiers import normalize_score, resolve_headers
 from edgeloom.operators.ranking import first_per_key
 
 
@@ -17,9 +17,8 @@ def channel_rows(frame: DataFrame) -> DataFrame:
 
     A channel that is absent or not a number counts 0.
     """
-    a = first_present(frame.columns, "stringId_A", "stringId_a", "src")
-    b = first_present(frame.columns, "stringId_B", "stringId_b", "dst")
-    score = first_present(frame.columns, "score", "combined_score", "combined")
+    at = resolve_headers(frame.columns, K.CHANNEL_HEADERS)
+    a, b, score = (frame.columns[at[field]] for field in ("src", "dst", "combined"))
 
     def channel(c):
         if c not in frame.columns:

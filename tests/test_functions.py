@@ -41,11 +41,16 @@ def test_normalize_score(spark, raw, want):
 def test_alias_and_names(spark):
     assert one(spark, I.canonical_taxon("x"), x=559292) == 4932
     assert one(spark, I.short_group_name("x"), x="Homo sapiens") == "H. sapiens"
-    assert I.header_index(["#Interaction ID", " Throughput "], "throughput") == 1
-    with pytest.raises(KeyError):
-        I.header_index(["a"], "b")
-    with pytest.raises(KeyError):
-        I.first_present(["a"], "b", "c")
+
+
+def test_headers_resolve_together():
+    wanted = {"id": ("Interaction ID",), "through": ("Pace", "throughput"), "more": ("Remark",)}
+    cells = ["#Interaction ID", " Throughput ", "x"]
+    assert I.resolve_headers(cells, wanted, optional=("more",)) == {"id": 0, "through": 1, "more": None}
+    with pytest.raises(KeyError, match="more.*Remark"):
+        I.resolve_headers(cells, wanted)
+    with pytest.raises(KeyError, match="id.*more.*through"):
+        I.resolve_headers(["x"], wanted)
 
 
 def channel(spark, **values):

@@ -139,3 +139,38 @@ def test_context_pairs_ignore_unknown_ends(spark, nodes):
     from edgeloom.plans.atlas import context_pairs
     e = spark.createDataFrame([("9606.YAP1", "9606.NF2"), ("9606.NF2", "9606.YAP1"), ("9606.NF2", "Z")], "src string, dst string")
     assert context_pairs(e, nodes).agg(F.count("*")).first()[0] == 1
+
+
+def test_partners_count_once_and_stay_in_the_group(spark):
+    from edgeloom.plans.ingest import ingest_graph
+    names = spark.createDataFrame([("S", "SEED", 1, "g"), ("A", "A", 1, "g"), ("B", "B", 1, "g"), ("Z", "Z", 2, "h")],
+                                  "node_id string, name string, group_id bigint, group_name string")
+    rows = [("S", "Z", 0.99), ("S", "A", 0.95), ("A", "S", 0.94), ("S", "B", 0.8)]
+    network = spark.createDataFrame([(a, b, a, b, None, s) for a, b, s in rows],
+                                    "src string, dst string, src_name string, dst_name string, group_id bigint, score double")
+    seeds = spark.createDataFrame([(1, "seed", "a")], "group_id bigint, symbol string, role string")
+    seq = spark.createDataFrame([(g, n, "P" + n, "MK") for g, n in ((1, "SEED"), (1, "A"), (1, "B"), (2, "Z"))],
+                                "group_id bigint, gene_key string, accession string, sequence string")
+    nodes, edges = ingest_graph(names, network, seeds, seq, partners=2)
+    assert {r.node_id for r in nodes.collect()} == {"S", "A", "B"} and edges.count() == 2
+
+
+def test_sequences_are_attached_inside_the_group(spark):
+    from edgeloom.operators import nodes as N
+    both = spark.createDataFrame([("h", "CDC42", 9606), ("y", "CDC42", 4932)], "node_id string, name string, group_id bigint")
+    raw = spark.createDataFrame([(9606, "CDC42", "P60953", "MQTIK", 0), (4932, "CDC42", "P19073", "MQT", 0)],
+                                "group_id bigint, gene string, accession string, sequence string, pos int")
+    got = N.attach_sequences(both, N.longest_sequences(raw, extra_keys=("group_id",))).collect()
+    assert sorted((r.node_id, r.accession) for r in got) == [("h", "P60953"), ("y", "P19073")]
+
+
+def test_a_named_folder_is_set_once(spark, tmp_path, monkeypatch):
+    from edgeloom.session import _qualified, shared_folder
+    before, kind = spark.sparkContext.getCheckpointDir(), type(spark.conf)
+    get = kind.get
+    monkeypatch.setattr(kind, "get", lambda self, key, *rest: str(tmp_path) if key == "spark.checkpoint.dir" else get(self, key, *rest))
+    first = shared_folder(spark)
+    assert first.startswith(_qualified(spark, str(tmp_path))) and {shared_folder(spark) for _ in range(3)} == {first}
+    monkeypatch.undo()
+    if before:
+        spark.sparkContext.setCheckpointDir(before.rsplit("/", 1)[0])
