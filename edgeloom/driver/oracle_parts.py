@@ -77,12 +77,12 @@ def draws_sql(pos: str, keys: list[str], draws: int) -> str:
  WHERE NOT EXISTS (SELECT 1 FROM forbidden f WHERE f.a = least(l, r) AND f.b = greatest(l, r))"""
 
 
-def take_sql(pool: str, wanted: str, keys: list[str]) -> str:
+def take_sql(pool: str, wanted: str, keys: list[str], first: str = "") -> str:
     k = ", ".join(keys)
     on = " AND ".join(f"p.{c} = w.{c}" for c in [*keys, "group_id"])
     return f"""
  SELECT {', '.join('p.' + c for c in keys)}, p.a, p.b, p.group_id FROM (
-  SELECT *, row_number() OVER (PARTITION BY {k}, group_id ORDER BY md5(concat_ws('|', {k}, a, b)), a, b) AS rk
+  SELECT *, row_number() OVER (PARTITION BY {k}, group_id ORDER BY {first}md5(concat_ws('|', {k}, a, b)), a, b) AS rk
   FROM {pool}) p JOIN {wanted} w ON {on} WHERE rk <= n"""
 
 
@@ -244,11 +244,18 @@ CTES: dict[str, tuple[list[str], str]] = {
  SELECT {', '.join('w.' + c for c in [*PK, 'group_id'])}, w.n - coalesce(g.got, 0) AS n FROM wanted w LEFT JOIN (
   SELECT {', '.join(PK)}, group_id, count(*) AS got FROM matched GROUP BY ALL) g
  ON {' AND '.join(f'w.{c} = g.{c}' for c in [*PK, 'group_id'])} WHERE w.protocol = 'degree_matched'"""),
-    "spare": (["pool", "matched"], f"""
- SELECT p.* FROM (SELECT * FROM pool WHERE protocol = 'degree_matched') p
+    "near": (["banded"], f"""
+ SELECT {', '.join('p.' + c for c in [*PK, 'group_id'])}, p.band, min(abs(p.band - d.band)) AS far
+ FROM (SELECT DISTINCT {', '.join(PK)}, group_id, band FROM banded WHERE src = 'pool') p
+ JOIN (SELECT {', '.join(PK)}, group_id, band FROM banded GROUP BY ALL
+  HAVING count(*) FILTER (src = 'slot') > count(*) FILTER (src = 'pool')) d
+ ON {' AND '.join(f'p.{c} = d.{c}' for c in [*PK, 'group_id'])} GROUP BY ALL"""),
+    "spare": (["banded", "near", "matched"], f"""
+ SELECT p.*, n.far FROM (SELECT * FROM banded WHERE src = 'pool') p
+ JOIN near n ON n.band = p.band AND {' AND '.join(f'p.{c} = n.{c}' for c in [*PK, 'group_id'])}
  ANTI JOIN matched m ON {' AND '.join(f'p.{c} = m.{c}' for c in [*PK, 'a', 'b'])}"""),
-    "neg_matched": (["matched", "spare", "missing"],
-                    f"SELECT {', '.join(PK)}, a, b, group_id FROM matched UNION ALL SELECT * FROM (" + take_sql("spare", "missing", PK) + ")"),
+    "neg_matched": (["matched", "spare", "missing"], f"SELECT {', '.join(PK)}, a, b, group_id FROM matched UNION ALL SELECT * FROM ("
+                    + take_sql("(SELECT * EXCLUDE (rk) FROM spare)", "missing", PK, "far, ") + ")"),
     "split": (["pos", "neg_uniform", "neg_matched"], f"""
  SELECT {', '.join(PK)}, 1 AS label, a, b, group_id FROM pos
  UNION ALL SELECT {', '.join(PK)}, 0, a, b, group_id FROM neg_uniform

@@ -370,8 +370,7 @@ def _context_pairs(x: Inputs) -> DataFrame:
 
 @query("shared_neighbors", sql(["shared"], "SELECT a, b, shared FROM shared"))
 def _(x):
-    slim = G.with_degree(N.role_nodes(x.nodes).select("node_id", "group_id", "role"), x.context)
-    return G.shared_counts(P.candidate_pairs(slim), P.both_ways(x.context), degree_a="degree_a", degree_b="degree_b")
+    return G.candidate_shared(x.nodes, P.both_ways(x.context))
 
 
 _REACH = "reach AS (SELECT node_id, node_id AS r FROM nodes UNION SELECT reach.node_id, adj.v FROM reach JOIN adj ON adj.u = reach.r)"
@@ -402,8 +401,7 @@ l AS (SELECT c.a, c.b, x.degree AS da, y.degree AS db, coalesce(s.sh, 0) AS sh,
 
 
 def _links(x: Inputs) -> DataFrame:
-    pairs = P.candidate_pairs(x.nodes.select("node_id", "group_id", "role"))
-    return G.link_scores(pairs, x.nodes, x.context)
+    return G.candidate_link_scores(x.nodes, x.context)
 
 
 @query("jaccard", sql(_LINK, "SELECT a, b, round(CASE WHEN da + db - sh > 0 THEN sh / (da + db - sh) ELSE 0.0 END, 6) AS jaccard FROM l", _LINK_SUMS))

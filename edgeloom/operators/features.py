@@ -8,7 +8,9 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from edgeloom import constants as K
 from edgeloom.functions.vectors import pair_encoding
+from edgeloom.operators.graph import require_empty
 
 
 def _zeros(dim: int):
@@ -53,7 +55,7 @@ def constant_features(nodes: DataFrame, dim: int = 16) -> DataFrame:
 
 
 def encode_pairs(pairs: DataFrame, features: DataFrame) -> DataFrame:
-    """Pairs with ``encoded`` = [za, zb, |za - zb|]."""
+    """Pairs with ``encoded`` = [za, zb, |za - zb|]; see ``require_vectors`` for nodes without a vector."""
     def of(end):
         return features.select(F.col("node_id").alias(end), F.col("vector").alias("v_" + end))
     met = pairs.join(of("a"), "a").join(of("b"), "b")
@@ -71,10 +73,26 @@ def location_flags(nodes: DataFrame, atlas: DataFrame) -> DataFrame:
 
 
 def bucket_flags(nodes: DataFrame, locations: DataFrame) -> DataFrame:
-    """The same flag straight from the location map, for role nodes (the nodes an atlas can name)."""
+    """The same flag straight from the location map, for the nodes that an atlas names: role nodes with a counterpart in their group."""
     from edgeloom.operators.evidence import location_map
-    flag = F.when(F.col("role").isin("a", "b", "both") & (F.size("buckets") > 0), 1).otherwise(0)
-    return nodes.join(location_map(locations), "accession", "left").select("node_id", flag.alias("flag"))
+    per = nodes.groupBy("group_id").agg(F.count_if(F.col("role").isin(*K.A_LIKE)).alias("_a"), F.count_if(F.col("role").isin(*K.B_LIKE)).alias("_b"),
+                                        F.count_if(F.col("role").isin(K.ROLE_A, K.ROLE_B, K.ROLE_BOTH)).alias("_any"))
+    partners = (F.when(F.col("role") == K.ROLE_A, F.col("_b")).when(F.col("role") == K.ROLE_B, F.col("_a"))
+                .when(F.col("role") == K.ROLE_BOTH, F.col("_any") - 1).otherwise(0))
+    flag = F.when((partners > 0) & (F.size("buckets") > 0), 1).otherwise(0)
+    return nodes.join(per, "group_id").join(location_map(locations), "accession", "left").select("node_id", flag.alias("flag"))
+
+
+def feature_gaps(nodes: DataFrame, features: DataFrame) -> DataFrame:
+    """``node_id, kind``: nodes without a vector (no row or null) and vectors that belong to no node."""
+    have = features.filter(F.col("vector").isNotNull())
+    lack = nodes.select("node_id").join(have, "node_id", "left_anti").select("node_id", F.lit("no vector").alias("kind"))
+    return lack.unionByName(features.select("node_id").join(nodes, "node_id", "left_anti").select("node_id", F.lit("no node").alias("kind")))
+
+
+def require_vectors(nodes: DataFrame, features: DataFrame) -> None:
+    """Fail before any work when a node has no vector, so that no pair drops out of a join later."""
+    require_empty(feature_gaps(nodes, features).filter(F.col("kind") == "no vector"), "nodes without a vector")
 
 
 def pair_features(scores: DataFrame, flags: DataFrame) -> DataFrame:

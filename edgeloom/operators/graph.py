@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from edgeloom import constants as K
 from edgeloom.functions.identifiers import pair_high, pair_low
-from edgeloom.operators.pairs import both_ways, canonical_pairs
+from edgeloom.operators.pairs import both_ways, candidate_pairs, canonical_pairs
 from edgeloom.session import materialize
 
 
@@ -53,9 +53,9 @@ def _out_degree(adjacency: DataFrame) -> DataFrame:
     return adjacency.groupBy("src").agg(F.count(F.lit(1)).alias("_d"))
 
 
-def common_neighbors(pairs: DataFrame, adjacency: DataFrame, *,
+def common_neighbors(pairs: DataFrame, adjacency: DataFrame, *carry: str,
                      degree_a: str | None = None, degree_b: str | None = None) -> DataFrame:
-    """One row ``(a, b, via)`` per shared neighbour of each wanted pair.
+    """One row ``(a, b, via)`` per shared neighbour of each wanted pair, with the ``carry`` columns of the edge to it.
 
     Walks out of the end with the smaller degree and probes the other side on the full edge key,
     so a hub is looked up, never listed, unless both ends are hubs.
@@ -73,11 +73,11 @@ def common_neighbors(pairs: DataFrame, adjacency: DataFrame, *,
         F.when(small_first, F.col("a")).otherwise(F.col("b")).alias("_from"),
         F.when(small_first, F.col("b")).otherwise(F.col("a")).alias("_to"),
         small_first.alias("_fwd"))
-    hop = walk.join(adjacency.select(F.col("src").alias("_from"), F.col("dst").alias("via")), "_from")
+    hop = walk.join(adjacency.select(F.col("src").alias("_from"), F.col("dst").alias("via"), *carry), "_from")
     probe = adjacency.select(F.col("src").alias("via"), F.col("dst").alias("_to"))
     hit = hop.join(probe, ["via", "_to"], "left_semi")
     return hit.select(F.when(F.col("_fwd"), F.col("_from")).otherwise(F.col("_to")).alias("a"),
-                      F.when(F.col("_fwd"), F.col("_to")).otherwise(F.col("_from")).alias("b"), "via")
+                      F.when(F.col("_fwd"), F.col("_to")).otherwise(F.col("_from")).alias("b"), "via", *carry)
 
 
 def shared_counts(pairs: DataFrame, adjacency: DataFrame, **degree_cols) -> DataFrame:
@@ -86,23 +86,55 @@ def shared_counts(pairs: DataFrame, adjacency: DataFrame, **degree_cols) -> Data
             .groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")))
 
 
+def _hub_weights(deg: DataFrame, node: str) -> DataFrame:
+    """``1 / log(degree)`` of a shared neighbour, 0 for degree one."""
+    return deg.select(F.col("node_id").alias(node), F.when(
+        F.col("degree") > 1, 1.0 / F.log(F.col("degree").cast("double"))).otherwise(0.0).alias("w"))
+
+
+def candidate_wedges(nodes: DataFrame, adjacency: DataFrame, *carry: str) -> DataFrame:
+    """``a, b, via`` for all candidate pairs that share a neighbour, with the ``carry`` columns of the edges.
+
+    The role-A neighbours of a node meet its role-B neighbours, in tiles, so the work is the result and a hub is cut.  Cheaper than walking
+    every candidate pair when all of them are wanted.
+    """
+    ends = nodes.filter(F.col("role") != K.ROLE_PARTNER).select(F.col("node_id").alias("src"), F.col("group_id").alias("home"), "role")
+    around = adjacency.join(ends, "src").select(F.col("src").alias("node_id"), F.col("dst").alias("group_id"), "role", "home", *carry)
+    met = candidate_pairs(around).filter(F.col("home_a") == F.col("home_b"))
+    return met.select("a", "b", F.col("group_id").alias("via"), *[F.col(c + "_a").alias(c) for c in carry])
+
+
+def candidate_shared(nodes: DataFrame, adjacency: DataFrame) -> DataFrame:
+    """``a, b, shared`` of the candidate pairs with at least one shared neighbour."""
+    return candidate_wedges(nodes, adjacency).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
+
+
+def _scores_from(ends: DataFrame, via: DataFrame) -> DataFrame:
+    """The four link scores of ``a, b, degree_a, degree_b`` from weighted shared neighbours ``a, b, w``."""
+    sums = via.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.round(F.sum("w"), 10).alias("adamic_adar"))
+    out = ends.join(sums, ["a", "b"], "left").fillna(0, ["shared"]).fillna(0.0, ["adamic_adar"])
+    union = F.col("degree_a") + F.col("degree_b") - F.col("shared")
+    return out.withColumn("jaccard", F.when(union > 0, F.col("shared") / union).otherwise(0.0)).withColumn(
+        "preferential_attachment", (F.col("degree_a") * F.col("degree_b")).cast("double"))
+
+
 def link_scores(pairs: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """shared, jaccard, adamic_adar and preferential attachment for distinct pairs ``(a, b)``."""
-    adjacency = both_ways(edges)
     deg = degrees(nodes, edges)
+    adjacency = both_ways(edges).join(_hub_weights(deg, "dst"), "dst")      # on the edges, before any walk multiplies them
     ends = (pairs.select("a", "b")
             .join(deg.select(F.col("node_id").alias("a"), F.col("degree").alias("degree_a")), "a", "left")
             .join(deg.select(F.col("node_id").alias("b"), F.col("degree").alias("degree_b")), "b", "left")
             .fillna(0, ["degree_a", "degree_b"]))
-    via = common_neighbors(ends, adjacency, degree_a="degree_a", degree_b="degree_b")
-    weights = deg.select(F.col("node_id").alias("via"), F.when(
-        F.col("degree") > 1, 1.0 / F.log(F.col("degree").cast("double"))).otherwise(0.0).alias("w"))
-    sums = via.join(weights, "via").groupBy("a", "b").agg(
-        F.count(F.lit(1)).alias("shared"), F.round(F.sum("w"), 10).alias("adamic_adar"))
-    out = ends.join(sums, ["a", "b"], "left").fillna(0, ["shared"]).fillna(0.0, ["adamic_adar"])
-    union = F.col("degree_a") + F.col("degree_b") - F.col("shared")
-    return out.withColumn("jaccard", F.when(union > 0, F.col("shared") / union).otherwise(0.0)).withColumn(
-        "preferential_attachment", (F.col("degree_a") * F.col("degree_b")).cast("double"))
+    return _scores_from(ends, common_neighbors(ends, adjacency, "w", degree_a="degree_a", degree_b="degree_b"))
+
+
+def candidate_link_scores(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """The same scores for every candidate pair of the role nodes."""
+    deg = materialize(degrees(nodes, edges))
+    adjacency = both_ways(edges).join(_hub_weights(deg, "dst"), "dst")
+    ends = candidate_pairs(nodes.select("node_id", "group_id", "role").join(deg, "node_id")).select("a", "b", "degree_a", "degree_b")
+    return _scores_from(ends, candidate_wedges(nodes, adjacency, "w"))
 
 
 def three_walks(pairs: DataFrame, adjacency: DataFrame) -> DataFrame:

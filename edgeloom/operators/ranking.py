@@ -1,7 +1,7 @@
 """Ranks, running totals and quantiles that never sort one whole key inside one task.
 
 * ``hash_rank``      rank by a uniform hash: rank inside 65,536 hash cells plus a cell offset.
-* ``running_totals`` cumulative sums over distinct values: coarse value cells first, then inside a cell.
+* ``running_totals`` cumulative sums over distinct values: range sort, per-partition sums, offsets.
 * ``global_rank``    one total order over a whole table: range sort, checkpoint, per-partition offsets.
 * ``top_n``          row_number()<=n, which Spark turns into a partial limit before the shuffle.
 """
@@ -13,9 +13,6 @@ from pyspark.sql.window import Window
 
 from edgeloom.session import materialize
 
-_CELL_SCALE = 2.0 ** 36      # cells of relative width 2^-36 after the log1p squash
-_CELL_BITS = 21              # at most ~1.5M coarse cells per sign, 2M fine cells in each
-
 
 def _partition(keys: list) -> list:
     return list(keys) if keys else [F.lit(0)]
@@ -48,28 +45,26 @@ def running_totals(hist: DataFrame, keys: list[str], value: str, measures: list[
                    descending: bool = False) -> DataFrame:
     """Add inclusive ``cum_<measure>`` and ``all_<measure>``; ``hist`` has one row per key and value.
 
-    A cell number that grows with the value splits every key into pieces: at most a few million distinct
-    values each for values of about one and more.  Near zero a cell is 3e-5 wide, so distinct values crowded there share one.
+    The rows are range-sorted by key and value and written; a key with many values covers many sort partitions, each of which is summed
+    by itself and moved by the totals of those before it.  No window holds more than a sort partition, however the values
+    crowd.  Rows without a value are left out.
     """
-    v = F.col(value).cast("double")
-    cell = F.floor(F.signum(v) * F.log1p(F.abs(v)) * F.lit(_CELL_SCALE))
-    tagged = hist.withColumn("_cell", F.shiftright(cell, _CELL_BITS))
-    sums = tagged.groupBy(*keys, "_cell").agg(*[F.sum(m).alias(m) for m in measures])
     way = F.desc if descending else F.asc
-    before = (Window.partitionBy(*_partition(keys)).orderBy(way("_cell"))
-              .rowsBetween(Window.unboundedPreceding, -1))
+    placed = materialize(hist.filter(F.col(value).isNotNull()).orderBy(*keys, way(value)).withColumn("_part", F.spark_partition_id()))
+    sums = placed.groupBy(*keys, "_part").agg(*[F.sum(m).alias(m) for m in measures])
+    before = Window.partitionBy(*_partition(keys)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*_partition(keys))
     offsets = sums.select(
-        *keys, "_cell",
+        *keys, "_part",
         *[F.coalesce(F.sum(m).over(before), F.lit(0)).alias(f"_before_{m}") for m in measures],
         *[F.sum(m).over(whole).alias(f"all_{m}") for m in measures],
     )
-    inside = (Window.partitionBy(*keys, "_cell").orderBy(way(value))
+    inside = (Window.partitionBy(*keys, "_part").orderBy(way(value))
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    out = tagged.join(offsets, [*keys, "_cell"])
+    out = placed.join(offsets, [*keys, "_part"])
     for m in measures:
         out = out.withColumn(f"cum_{m}", F.col(f"_before_{m}") + F.sum(m).over(inside))
-    return out.drop("_cell", *[f"_before_{m}" for m in measures])
+    return out.drop("_part", *[f"_before_{m}" for m in measures])
 
 
 def average_ranks(hist: DataFrame, keys: list[str], value: str, weight: str, *, name: str) -> DataFrame:

@@ -8,9 +8,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from edgeloom import constants as K
 from edgeloom.functions.identifiers import pair_high, pair_low
+from edgeloom.operators.graph import require_empty
 from edgeloom.operators.ranking import hash_rank, key_hash
 from edgeloom.session import materialize
 
@@ -97,21 +99,74 @@ def index_nodes(nodes: DataFrame) -> DataFrame:
 
 
 def drawn_pairs(positives: DataFrame, keys: list[str], nodes: DataFrame, forbidden: DataFrame, *,
-                draws: int) -> DataFrame:
-    """Distinct allowed same-group pairs drawn by hash: ``draws`` per positive, spread like the positives."""
+                draws: int, first: int = 0) -> DataFrame:
+    """Distinct allowed same-group pairs drawn by hash: draws ``first`` to ``first + draws - 1`` of each positive, spread like the positives."""
     indexed = index_nodes(nodes)
     sizes = indexed.groupBy("group_id").agg(F.max("m").alias("m"))
     one = (positives.join(sizes, "group_id")
-           .withColumn("_j", F.explode(F.array(*[F.lit(j) for j in range(draws)])))
+           .withColumn("_j", F.explode(F.sequence(F.lit(first), F.lit(first + draws - 1))))
            .withColumn("_h", key_hash(*keys, "a", "b", "_j"))
            .select(*keys, "group_id", F.pmod(_hash_number(F.col("_h"), 1), F.col("m")).alias("li"),
                    F.pmod(_hash_number(F.col("_h"), 17), F.col("m")).alias("ri"))
            .filter(F.col("li") != F.col("ri")))
+    return _named_pairs(one, keys, indexed).distinct().join(forbidden.select("a", "b"), ["a", "b"], "left_anti")
+
+
+def _named_pairs(numbered: DataFrame, keys: list[str], indexed: DataFrame) -> DataFrame:
+    """Node ids of the pairs of node numbers ``li, ri``."""
     left = indexed.select("group_id", F.col("idx").alias("li"), F.col("node_id").alias("_l"))
     right = indexed.select("group_id", F.col("idx").alias("ri"), F.col("node_id").alias("_r"))
-    met = one.join(left, ["group_id", "li"]).join(right, ["group_id", "ri"])
-    return (met.select(*keys, "group_id", pair_low("_l", "_r").alias("a"), pair_high("_l", "_r").alias("b")).distinct()
-            .join(forbidden.select("a", "b"), ["a", "b"], "left_anti"))
+    met = numbered.join(left, ["group_id", "li"]).join(right, ["group_id", "ri"])
+    return met.select(*keys, "group_id", pair_low("_l", "_r").alias("a"), pair_high("_l", "_r").alias("b"))
+
+
+def _listed_pairs(short: DataFrame, keys: list[str], nodes: DataFrame, forbidden: DataFrame) -> DataFrame:
+    """All allowed pairs of the groups of ``short`` (keys, group_id, m), spread by their first node."""
+    rows = (short.select(*keys, "group_id", "m", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("m") - 2)).alias("li"))
+            .repartition(*keys, "group_id", "li")
+            .select(*keys, "group_id", "li", F.explode(F.sequence(F.col("li") + 1, F.col("m") - 1)).alias("ri")))
+    return _named_pairs(rows, keys, index_nodes(nodes)).join(forbidden.select("a", "b"), ["a", "b"], "left_anti")
+
+
+def _short(pool: DataFrame, keys: list[str], wanted: DataFrame) -> DataFrame:
+    """Keys and groups of ``wanted`` for which the pool holds fewer pairs than asked."""
+    held = pool.groupBy(*keys, "group_id").agg(F.count(F.lit(1)).alias("held"))
+    return (wanted.join(held, [*keys, "group_id"], "left").filter(F.coalesce("held", F.lit(0)) < F.col("n")).drop("held"))
+
+
+def negative_pool(positives: DataFrame, keys: list[str], nodes: DataFrame, forbidden: DataFrame, wanted: DataFrame, *,
+                  draws: int = 4) -> DataFrame:
+    """Distinct allowed pairs, for every key and group at least as many as ``wanted`` says, or all there are.
+
+    ``draws`` hash draws of each positive serve most groups.  Where they fall short and little room is left, all
+    pairs of the group are listed (never more than four times the wanted number, or twice it plus the forbidden pairs); other
+    short groups draw again, twice as often each time.  At least twice the wanted number is possible there, so this ends.
+    """
+    pool = materialize(drawn_pairs(positives, keys, nodes, forbidden, draws=draws))
+    short = materialize(_short(pool, keys, wanted))
+    if short.isEmpty():
+        return pool
+    sizes = nodes.groupBy("group_id").agg(F.count(F.lit(1)).alias("m"))
+    taken = (canonical_forbidden(forbidden).join(nodes.select(F.col("node_id").alias("a"), "group_id"), "a")
+             .join(nodes.select(F.col("node_id").alias("b"), F.col("group_id").alias("_g")), "b").filter(F.col("group_id") == F.col("_g"))
+             .groupBy("group_id").agg(F.count(F.lit(1)).alias("taken")))
+    total = F.expr("m * (m - 1) div 2")
+    sized = materialize(short.join(sizes, "group_id").join(taken, "group_id", "left").withColumn("total", total)
+                        .withColumn("dense", (F.col("total") <= 4 * F.col("n"))
+                                    | (F.col("total") - F.coalesce("taken", F.lit(0)) <= 2 * F.col("n"))))
+    listed = _listed_pairs(sized.filter("dense AND m > 1"), keys, nodes, forbidden)
+    pool = materialize(pool.unionByName(listed).distinct())
+    open_ = sized.filter("NOT dense").select(*keys, "group_id", "n")
+    while not open_.isEmpty():
+        again = positives.join(open_.select(*keys, "group_id"), [*keys, "group_id"], "left_semi")
+        pool = materialize(pool.unionByName(drawn_pairs(again, keys, nodes, forbidden, draws=draws, first=draws)).distinct())
+        draws *= 2
+        open_ = materialize(_short(pool, keys, open_))
+    return pool
+
+
+def canonical_forbidden(forbidden: DataFrame) -> DataFrame:
+    return forbidden.select(pair_low("a", "b").alias("a"), pair_high("a", "b").alias("b")).distinct()
 
 
 def _take(pairs: DataFrame, keys: list[str], wanted: DataFrame) -> DataFrame:
@@ -129,9 +184,19 @@ def wanted_negatives(positives: DataFrame, keys: list[str], ratio: float = 1.0)
 
 def uniform_negatives(positives: DataFrame, keys: list[str], nodes: DataFrame, forbidden: DataFrame, *,
                       ratio: float = 1.0, draws: int = 4) -> DataFrame:
-    """As many distinct allowed pairs per key and group as there are positives (times ratio)."""
-    pool = materialize(drawn_pairs(positives, keys, nodes, forbidden, draws=draws))
-    return _take(pool, keys, wanted_negatives(positives, keys, ratio))
+    """As many distinct allowed pairs per key and group as there are positives (times ratio); fewer only where no more exist."""
+    wanted = materialize(wanted_negatives(positives, keys, ratio))
+    return _take(negative_pool(positives, keys, nodes, forbidden, wanted, draws=draws), keys, wanted)
+
+
+def _take_nearest(pairs: DataFrame, keys: list[str], wanted: DataFrame) -> DataFrame:
+    """First ``n`` pairs of every key and group by ``far``, then in hash order."""
+    own = [*keys, "group_id"]
+    sizes = pairs.groupBy(*own, "far").agg(F.count(F.lit(1)).alias("_n"))          # one row a band distance
+    w = Window.partitionBy(*own).orderBy("far").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select(*own, "far", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_nearer"))
+    ranked = hash_rank(pairs, [*own, "far"], "_h", ["a", "b"]).join(before, [*own, "far"]).join(wanted, own)
+    return ranked.filter(F.col("_nearer") + F.col("rank") <= F.col("n")).select(*keys, "a", "b", "group_id")
 
 
 def degree_matched_negatives(positives: DataFrame, keys: list[str], nodes: DataFrame, forbidden: DataFrame,
@@ -139,11 +204,13 @@ def degree_matched_negatives(positives: DataFrame, keys: list[str], nodes: DataF
     """One negative per positive with a degree product in the same log band of width 0.35.
 
     Positives and drawn pairs of a band are numbered in hash order and matched number by number, which
-    is one to one without a sequential memory.  Positives whose band runs dry are filled from the
-    drawn pairs that are left.  ``degree`` holds ``protocol, seed, node_id, degree``.  The pool and the
+    is one to one without a sequential memory.  Where bands run dry, the drawn pairs that are left fill in, those in the band nearest to
+    a dry one first.  ``degree`` holds ``protocol, seed, node_id, degree``.  The pool and the
     matches are read several times, so they are written once instead of being recomputed.
     """
-    pool = materialize(drawn_pairs(positives, keys, nodes, forbidden, draws=draws))
+    wanted = materialize(wanted_negatives(positives, keys))
+    pool = negative_pool(positives, keys, nodes, forbidden, wanted, draws=draws)
+    own = [*keys, "group_id"]
 
     def banded(pairs):
         def of(end):
@@ -152,16 +219,21 @@ def degree_matched_negatives(positives: DataFrame, keys: list[str], nodes: DataF
         product = F.coalesce("_da", F.lit(0)) * F.coalesce("_db", F.lit(0))
         band = F.floor(F.log(product.cast("double") + 1.0) / F.lit(K.LOG_DEGREE_TOLERANCE))
         tagged = met.withColumn("band", band).withColumn("_h", key_hash(*keys, "a", "b")).drop("_da", "_db")
-        return hash_rank(materialize(tagged), [*keys, "group_id", "band"], "_h", ["a", "b"])
-
-    slots = banded(positives.select(*keys, "a", "b", "group_id")).select(*keys, "group_id", "band", "rank")
-    matched = materialize(
-        banded(pool).join(slots, [*keys, "group_id", "band", "rank"]).select(*keys, "a", "b", "group_id"))
-    got = matched.groupBy(*keys, "group_id").agg(F.count(F.lit(1)).alias("got"))
-    missing = (wanted_negatives(positives, keys).join(got, [*keys, "group_id"], "left")
-               .select(*keys, "group_id", (F.col("n") - F.coalesce("got", F.lit(0))).alias("n")).filter("n > 0"))
-    spare = pool.join(matched.select(*keys, "a", "b"), [*keys, "a", "b"], "left_anti")
-    return matched.unionByName(_take(spare, keys, missing))
+        return materialize(hash_rank(materialize(tagged), [*own, "band"], "_h", ["a", "b"]))
+
+    slots = banded(positives.select(*keys, "a", "b", "group_id")).select(*own, "band", "rank")
+    drawn = banded(pool)
+    matched = materialize(drawn.join(slots, [*own, "band", "rank"]).select(*keys, "a", "b", "group_id"))
+    got = matched.groupBy(*own).agg(F.count(F.lit(1)).alias("got"))
+    missing = (wanted.join(got, own, "left").select(*own, (F.col("n") - F.coalesce("got", F.lit(0))).alias("n")).filter("n > 0"))
+    # bands per key and group: a few dozen, whatever the number of pairs
+    size = slots.groupBy(*own, "band").agg(F.max("rank").alias("slots"))
+    held = drawn.groupBy(*own, "band").agg(F.max("rank").alias("drawn"))
+    dry = size.join(held, [*own, "band"], "left").filter(F.col("slots") > F.coalesce("drawn", F.lit(0))).select(*own, F.col("band").alias("_dry"))
+    near = (held.join(dry, own).groupBy(*own, "band").agg(F.min(F.abs(F.col("band") - F.col("_dry"))).alias("far")))
+    spare = (drawn.join(near, [*own, "band"]).join(size, [*own, "band"], "left")
+             .filter(F.col("rank") > F.coalesce("slots", F.lit(0))).select(*own, "a", "b", "_h", "far"))
+    return matched.unionByName(_take_nearest(spare, keys, missing))
 
 
 def shortfalls(positives: DataFrame, negatives: DataFrame, keys: list[str]) -> DataFrame:
@@ -183,13 +255,20 @@ def labelled(positives: DataFrame, negatives: DataFrame) -> DataFrame:
 def link_split(edges: DataFrame, nodes: DataFrame, seeds) -> DataFrame:
     """Per-group split of known edges with uniform negatives; message edges are the train positives.
 
-    Returns ``seed, split, label, a, b, group_id``.
+    Returns ``seed, split, label, a, b, group_id``.  Fails when a group has too few pairs that are no edge.
     """
+    keys = ["seed", "split"]
     pos = materialize(split_edges_by_group(edges, seeds))
-    neg = uniform_negatives(pos, ["seed", "split"], nodes, edges)
+    neg = materialize(uniform_negatives(pos, keys, nodes, edges))
+    require_empty(shortfalls(pos, neg, keys).select(F.concat_ws("/", *keys, "group_id")), "too few possible negatives (seed/split/group)")
     return labelled(pos, neg)
 
 
+def positive_edges(split: DataFrame, keys: list[str]) -> DataFrame:
+    """The whole edge set of every run again: train, validation and test positives together."""
+    return split.filter(F.col("label") == 1).select(*keys, "a", "b", "group_id")
+
+
 def message_edges(split: DataFrame) -> DataFrame:
     """Train positives of a link split, in both directions."""
     from edgeloom.operators.pairs import both_ways

@@ -10,7 +10,7 @@ from edgeloom import constants as K
 from edgeloom.functions.evidence import dominant_channel, evidence_class, gate, location_overlap
 from edgeloom.functions.identifiers import digits_sorted, joined_text, pair_high, pair_low
 from edgeloom.operators.evidence import evidence_by_node, location_map
-from edgeloom.operators.graph import induced_edges, shared_counts, with_degree
+from edgeloom.operators.graph import candidate_shared, induced_edges, with_degree
 from edgeloom.operators.nodes import role_nodes
 from edgeloom.operators.pairs import (attach_ends, best_channels, both_ways, candidate_pairs, canonical_pairs,
                                       is_candidate, tiled_join)
@@ -122,9 +122,7 @@ def build_atlas(nodes: DataFrame, edges: DataFrame, evidence: DataFrame, channel
     found, best, known = _pair_sources(annotated, context, evidence, channels)
     cutoff = degree_product_cutoff(annotated, quantile).scalar()
     pairs = candidate_pairs(annotated)
-    shared = shared_counts(
-        candidate_pairs(annotated.select("node_id", "group_id", "role", "degree")),
-        both_ways(context, "a", "b"), degree_a="degree_a", degree_b="degree_b")
+    shared = candidate_shared(annotated.select("node_id", "group_id", "role"), both_ways(context, "a", "b"))
     joined = (pairs.join(found, ["a", "b"], "left").join(best, ["a", "b"], "left")
               .join(known, ["a", "b"], "left").join(shared, ["a", "b"], "left"))
     if model_scores is not None:
@@ -159,6 +157,7 @@ def build_atlas(nodes: DataFrame, edges: DataFrame, evidence: DataFrame, channel
 
 def rank_absent(atlas: DataFrame) -> DataFrame:
     """Rank among the absent pairs, unscored last; null for present pairs and when nothing is scored."""
+    atlas = materialize(atlas)                      # read to rank and again to join the ranks
     absent = atlas.filter("string_absent").select("a", "b", "probability")
     ranked = global_rank(absent, [F.col("probability").desc_nulls_last(), F.col("a"), F.col("b")],
                          name="rank_among_absent")
@@ -273,6 +272,11 @@ def atlas_gate(summary: DataFrame, rho: DataFrame) -> DataFrame:
         run.alias("run_benchmark"), reason.alias("reason"))
 
 
+def ordered(atlas: DataFrame) -> DataFrame:
+    """The atlas in the order of its sink: group, then the names of both ends, then ids."""
+    return atlas.orderBy("group_id", "name_a", "name_b", "a", "b")
+
+
 def top_absent(atlas: DataFrame, n: int = 10) -> DataFrame:
     """Compact rows of the best-scored absent pairs."""
     return (atlas.filter(F.col("string_absent") & F.col("probability").isNotNull())
