@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from edgeloom import constants as K
 from edgeloom import schema as S
-from edgeloom.driver.inputs import Inputs
+from edgeloom.driver.inputs import HEADER_A, Inputs
 from edgeloom.driver.oracle_parts import PK, acc, metric_ctes, overlap, sql
 from edgeloom.functions.evidence import dominant_channel, is_tier1, location_overlap
 from edgeloom.functions.identifiers import accessions, digits_sorted, method_ids, publication_ids, taxon
@@ -27,6 +27,7 @@ from edgeloom.plans import benchmark as B
 from edgeloom.plans import hits as H
 from edgeloom.plans import ingest as IN
 from edgeloom.session import shared_folder
+from edgeloom.sources import catalogs as CA
 from edgeloom.sources import fasta as FA
 from edgeloom.sources import tables as TB
 
@@ -189,6 +190,117 @@ def _(x):
     return E.catalog_overlap(x.physical_pairs, x.context.select(F.col("src").alias("a"), F.col("dst").alias("b")))
 
 
+def _written(x: Inputs, name: str) -> str:
+    """A new path in the shared folder for a table that is read back."""
+    return f"{shared_folder(x.spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("catalog_files", sql(["hits_a", "hits_b"], f"""
+SELECT {acc('a')} AS acc_a, {acc('b')} AS acc_b, source, system, CASE source WHEN 'a' THEN through ELSE '' END AS throughput, count(*) AS n
+FROM (SELECT a, b, source, system, through FROM hits_a UNION ALL SELECT a, b, source, system, through FROM hits_b) GROUP BY ALL"""))
+def _(x):
+    """Both catalogs landed as files (A in two files whose columns differ in order) and read again."""
+    cells = x.catalog_a_lines.select(F.split("value", "\t", -1).alias("p")).select(*[F.col("p")[i].alias(c) for i, c in enumerate(HEADER_A)])
+    paths = []
+    for odd, columns in ((0, HEADER_A), (1, HEADER_A[:1] + HEADER_A[:0:-1])):
+        paths.append(_written(x, "catalog-a"))
+        cells.filter(F.col(HEADER_A[0]).cast("bigint") % 2 == odd).select(*[F.col(f"`{c}`") for c in columns]).write.csv(paths[-1], sep="\t", header=True)
+    other = _written(x, "catalog-b")
+    x.catalog_b_lines.write.text(other)
+    found = CA.read_catalog_a(x.spark, paths, x.nodes).unionByName(CA.read_catalog_b(x.spark, other, x.nodes))
+    return found.groupBy("acc_a", "acc_b", "source", "system", "throughput").agg(n_rows())
+
+
+@query("channel_file", sql(["channels"], "SELECT a, b, combined, " + ", ".join(K.CHANNELS) + " FROM channels"))
+def _(x):
+    path = _written(x, "channels")
+    x.channels.withColumnsRenamed({"src": "stringId_A", "dst": "stringId_B", "combined": "combined_score"}).write.csv(path, header=True)
+    rows = TB.read_channels(x.spark, path).withColumns({"src": F.col("src").cast("bigint"), "dst": F.col("dst").cast("bigint")})
+    return P.best_channels(rows).select("a", "b", "combined", *K.CHANNELS)
+
+
+@query("location_file", sql(["places"], f"""
+SELECT {acc('node_id')} AS accession, array_to_string(bk, ';') AS buckets FROM places"""))
+def _(x):
+    path = _written(x, "locations")
+    x.locations.select(F.col("accession").alias("Entry"), F.col("location").alias("Subcellular location [CC]"),
+                       F.col("component").alias("Gene Ontology (cellular component)")).write.csv(path, sep="\t", header=True)
+    return E.location_map(TB.read_locations(x.spark, path)).select("accession", F.array_join("buckets", ";").alias("buckets"))
+
+
+@query("node_edge_files", sql(["nodes", "raw_edges"], f"""
+SELECT 'node' AS kind, CAST(node_id AS VARCHAR) AS a, name AS b, group_id, role AS note, CAST(0 AS DOUBLE) AS score, CAST(1 AS BIGINT) AS n FROM nodes
+UNION ALL SELECT 'edge', CAST(src AS VARCHAR), CAST(dst AS VARCHAR), CAST(-1 AS BIGINT), 'part ' || CAST(src AS VARCHAR), score, count(*) FROM raw_edges GROUP BY ALL"""))
+def _(x):
+    """Node and edge tables through the flat sink and the schema-bound readers."""
+    at = _written(x, "nodes"), _written(x, "edges")
+    TB.write_csv(x.nodes.withColumn("sequence_length", F.lit(0).cast("bigint")), at[0])
+    TB.write_csv(x.raw_edges, at[1])
+    nodes, edges = TB.read_nodes(x.spark, at[0]), TB.read_edges(x.spark, at[1])
+    one = nodes.select(F.lit("node").alias("kind"), F.col("node_id").alias("a"), F.col("name").alias("b"), "group_id", F.col("role").alias("note"),
+                       F.lit(0.0).alias("score"), F.lit(1).cast("bigint").alias("n"))
+    two = edges.groupBy(F.lit("edge").alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"), F.coalesce("group_id", F.lit(-1)).alias("group_id"),
+                        F.col("src_name").alias("note"), "score").agg(n_rows())
+    return one.unionByName(two)
+
+
+@query("network_rows", sql(["raw_edges"], """
+SELECT CAST(src AS VARCHAR) AS src, CAST(dst AS VARCHAR) AS dst, CAST(7 AS BIGINT) AS group_id, score, count(*) AS n FROM raw_edges GROUP BY ALL"""))
+def _(x):
+    """Network records of the service (ids as text, scores in thousandths) into edge rows."""
+    raw = x.raw_edges.select(F.col("src").cast("string").alias("stringId_A"), F.col("dst").cast("string").alias("stringId_B"),
+                             F.col("src_name").alias("preferredName_A"), F.col("dst_name").alias("preferredName_B"), "score")
+    return TB.edge_rows(raw, 7).groupBy("src", "dst", "group_id", "score").agg(n_rows())
+
+
+@query("feature_file", sql(["vecs"], """
+SELECT CAST(node_id AS VARCHAR) AS node_id, len(v) AS width, round(CAST(v[1] AS DOUBLE), 6) AS head, round(CAST(v[len(v)] AS DOUBLE), 6) AS tail FROM vecs"""))
+def _(x):
+    path = _written(x, "features")
+    TB.write_features(x.features.withColumn("node_id", F.col("node_id").cast("string")), path)
+    v = F.col("vector")
+    return TB.read_features(x.spark, path).select("node_id", F.size(v).cast("bigint").alias("width"), round_metric(v[0].cast("double")).alias("head"),
+                                                  round_metric(F.element_at(v, -1).cast("double")).alias("tail"))
+
+
+@query("feature_alignment", sql(["nodes", "vecs"], """
+SELECT kind, count(*) AS n, CAST(sum(node_id) AS BIGINT) AS sum_id FROM (
+ SELECT node_id, 'no vector' AS kind FROM nodes WHERE node_id NOT IN (SELECT node_id FROM vecs WHERE node_id % 7 <> 0)
+ UNION ALL SELECT node_id, 'no node' FROM vecs WHERE node_id % 7 <> 0 AND node_id NOT IN (SELECT node_id FROM nodes WHERE role <> 'a')) GROUP BY 1
+"""))
+def _(x):
+    """Gaps in both directions, after every seventh vector was taken away; nodes of role a do not count as owners of vectors."""
+    some = x.features.filter(F.col("node_id") % 7 != 0)
+    lack = FE.feature_gaps(x.nodes, some).filter(F.col("kind") == "no vector")
+    stray = FE.feature_gaps(x.nodes.filter(F.col("role") != "a"), some).filter(F.col("kind") == "no node")
+    return lack.unionByName(stray).groupBy("kind").agg(n_rows(), F.sum("node_id").alias("sum_id"))
+
+
+@query("sequence_json_file", f"""
+SELECT CAST(doc_id AS VARCHAR) AS accession, source AS gene, md5(upper(regexp_replace(text, '[^A-Za-z]', '', 'g'))) AS digest FROM documents
+WHERE length(regexp_replace(text, '[^A-Za-z]', '', 'g')) > 0 AND length(source) > 0""")
+def _(x):
+    path = _written(x, "entries")
+    _sequences(x).select(F.col("node_id").cast("string").alias("primaryAccession"),
+                         F.array(F.struct(F.struct(F.col("source").alias("value")).alias("geneName"))).alias("genes"),
+                         F.struct(F.col("sequence").alias("value")).alias("sequence")).write.json(path)
+    return TB.read_sequence_json(x.spark, path).select("accession", "gene", F.md5("sequence").alias("digest"))
+
+
+@query("identifier_map_file", """
+SELECT p_name AS query, min(p_partkey) AS best, count(*) AS n_hits FROM part GROUP BY 1""")
+def _(x):
+    path = _written(x, "map")
+    x.table("part").select(
+        F.col("p_name").alias("queryItem"), F.lit(0).alias("queryIndex"), F.lpad(F.col("p_partkey").cast("string"), 19, "0").alias("stringId"),
+        F.lit(9606).alias("ncbiTaxonId"), F.lit("x").alias("taxonName"), F.col("p_name").alias("preferredName"), F.lit("y").alias("annotation"),
+    ).write.csv(path, sep="\t", header=True)
+    mapped = TB.read_identifier_map(x.spark, path)
+    size = mapped.groupBy("queryItem").agg(n_rows("n_hits"))
+    return TB.best_identifier(mapped, ["stringId"]).join(size, "queryItem").select(
+        F.col("queryItem").alias("query"), F.col("stringId").cast("bigint").alias("best"), "n_hits")
+
+
 @query("dominant_channel", sql(["channels"], "SELECT a, b, combined, dominant_channel FROM channels"))
 def _(x):
     return P.best_channels(x.channels).select("a", "b", "combined", dominant_channel().alias("dominant_channel"))
@@ -503,6 +615,32 @@ def _(x):
     return A.spearman(_absent_scored(x), "probability", "degree_product").withColumn("rho", round_metric("rho"))
 
 
+@query("spearman_shared", sql(["graded"], "SELECT count(*) AS n_rows, round(corr(r1, r2), 6) AS rho FROM ranked", _RHO.format(y="shared")))
+def _(x):
+    """Model score against shared neighbours, over the absent pairs."""
+    shared = G.candidate_shared(x.nodes, P.both_ways(x.context))
+    rows = _absent_scored(x).select("a", "b", "probability").join(shared, ["a", "b"], "left").fillna(0, ["shared"])
+    return A.spearman(rows, "probability", "shared").withColumn("rho", round_metric("rho"))
+
+
+@query("atlas_order", sql(["graded"], """
+SELECT a, b, row_number() OVER (ORDER BY group_id, na, nb, a, b) AS position FROM graded"""))
+def _(x):
+    """The ordered sink: rows keep the place they are written in."""
+    nodes = x.nodes.select("node_id", "name", "group_id", "role")
+    rows = P.candidate_pairs(nodes).select("group_id", "name_a", "name_b", "a", "b")
+    return R.global_rank(rows, A.SINK_ORDER, name="position").select("a", "b", "position")
+
+
+@query("location_flags", sql(["cand", "places"], """
+SELECT n.p_partkey AS node_id, CAST(CASE WHEN len(p.bk) > 0 AND p.node_id IN (SELECT a FROM cand UNION SELECT b FROM cand) THEN 1 ELSE 0 END AS BIGINT) AS flag
+FROM part n JOIN places p ON p.node_id = n.p_partkey"""))
+def _(x):
+    """Flags from the atlas; a test holds ``bucket_flags`` equal to them."""
+    placed = A.atlas_nodes(x.nodes, _context_pairs(x), x.locations).select("node_id", "group_id", "role", F.array_join("buckets", ";").alias("location"))
+    return FE.location_flags(x.nodes, P.candidate_pairs(placed)).select("node_id", F.col("flag").cast("bigint").alias("flag"))
+
+
 @query("atlas_gate", sql(["graded"], f"""
 SELECT n_absent, round(fp, 6) AS frac_physical_absent, round(fu, 6) AS frac_unreported_absent, round(rho, 6) AS rho,
  NOT (n_absent = 0 OR fp >= 0.9) AS run_benchmark,
@@ -604,9 +742,8 @@ _LABEL_NEEDS = ["cand", "physical", "shared", "scores"]
 
 def _labelled(x: Inputs) -> DataFrame:
     """Candidates labelled by physical support and scored by shared neighbours (many ties)."""
-    nodes = G.with_degree(N.role_nodes(x.nodes).select("node_id", "group_id", "role"), x.context)
-    pairs = P.candidate_pairs(nodes)
-    shared = G.shared_counts(pairs, P.both_ways(x.context), degree_a="degree_a", degree_b="degree_b")
+    pairs = P.candidate_pairs(x.nodes.select("node_id", "group_id", "role"))
+    shared = G.candidate_shared(x.nodes, P.both_ways(x.context))
     strong = x.physical_pairs.select("a", "b", F.lit(1).alias("label"))
     return pairs.select("group_id", "a", "b").join(strong, ["a", "b"], "left").join(shared, ["a", "b"], "left").select(
         "group_id", "a", "b", F.coalesce("label", F.lit(0)).alias("label"),
@@ -676,11 +813,24 @@ def _(x):
     return checksum(_split(x), "protocol", "seed", "split", "label")
 
 
-@query("split_inventory", sql(["split"], """
-SELECT protocol, seed, count(*) FILTER (split = 'train' AND label = 1) AS n_train_pos, count(*) FILTER (split = 'val' AND label = 1) AS n_val_pos,
- count(*) FILTER (split = 'test' AND label = 1) AS n_test_pos, count(*) FILTER (split = 'test' AND label = 0) AS n_test_neg FROM split GROUP BY ALL"""))
+@query("split_inventory", sql(["split"], f"""
+SELECT *, NOT (short OR few) AS usable, CASE WHEN short THEN 'too few possible negatives' WHEN few THEN 'too few test pairs' ELSE '' END AS reason
+FROM (SELECT protocol, seed, CAST(coalesce(sum(p) FILTER (split = 'train'), 0) AS BIGINT) AS n_train_pos,
+  CAST(coalesce(sum(p) FILTER (split = 'val'), 0) AS BIGINT) AS n_val_pos, CAST(coalesce(sum(p) FILTER (split = 'test'), 0) AS BIGINT) AS n_test_pos,
+  CAST(coalesce(sum(n) FILTER (split = 'test'), 0) AS BIGINT) AS n_test_neg, bool_or(n < p) AS short,
+  coalesce(sum(p) FILTER (split = 'test'), 0) < {K.MIN_TEST_POSITIVES} OR coalesce(sum(n) FILTER (split = 'test'), 0) = 0 AS few
+ FROM (SELECT protocol, seed, split, group_id, count(*) FILTER (label = 1) AS p, count(*) FILTER (label = 0) AS n FROM split GROUP BY ALL) GROUP BY ALL)
+""").replace("SELECT *, NOT", "SELECT protocol, seed, n_train_pos, n_val_pos, n_test_pos, n_test_neg, NOT"))
+def _(x):
+    return SP.usable_runs(_split(x))
+
+
+@query("positive_edges", sql(["context"], checksum_sql("(SELECT seed, a, b, group_id FROM context, (SELECT CAST(unnest(range(20)) AS INTEGER) AS seed))", "seed, group_id")))
 def _(x):
-    return SP.usable_runs(_split(x)).drop("usable", "reason")
+    """A link split put together again is the whole edge set of each seed."""
+    edges = x.context.select(F.col("src").alias("a"), F.col("dst").alias("b"), "group_id")
+    split = SP.split_edges_by_group(edges, SEEDS).withColumn("label", F.lit(1))
+    return checksum(SP.positive_edges(split, ["seed"]), "seed", "group_id")
 
 
 @query("split_roundtrip", sql(["random_pos"], checksum_sql("(SELECT * FROM random_pos WHERE protocol = 'edge_random')", "protocol, seed, split")))
@@ -833,23 +983,38 @@ def _(x):
     return out.select("protocol", *[F.round(c, 5).alias(c) for c in ("mean", "sd", "ci95_lo", "ci95_hi")], "n")
 
 
-@query("rank_stability", sql(["cand", "run_deg"], """
+_STABLE = sql(["cand", "run_deg"], """
 SELECT a, b, median(rk) AS median_rank, round(avg(rk), 4) AS mean_rank, round(avg(CASE WHEN rk <= 10 THEN 1.0 ELSE 0.0 END), 6) AS frac_top10,
  round(avg(CASE WHEN rk <= 20 THEN 1.0 ELSE 0.0 END), 6) AS frac_top20, count(*) AS n_seeds
 FROM (SELECT c.a, c.b, row_number() OVER (PARTITION BY x.seed ORDER BY x.degree * y.degree DESC, c.a, c.b) AS rk FROM cand c
  JOIN run_deg x ON x.node_id = c.a AND x.protocol = 'edge_random' JOIN run_deg y ON y.node_id = c.b AND y.protocol = 'edge_random' AND y.seed = x.seed)
-GROUP BY 1, 2"""))
-def _(x):
+GROUP BY 1, 2""")
+
+
+def _stability(x: Inputs) -> DataFrame:
     deg = SP.holdout_degrees(x.nodes, _context_pairs(x), SP.split_edges_random(x.physical_pairs, SEEDS))
     def of(end):
         return deg.select("seed", F.col("node_id").alias(end), F.col("degree").alias("d" + end))
     pairs = P.candidate_pairs(x.nodes.select("node_id", "group_id", "role")).select("a", "b")
     scored = pairs.join(of("a"), "a").join(of("b"), ["seed", "b"]).select("seed", "a", "b", (F.col("da") * F.col("db")).alias("score"))
-    out = M.rank_stability(B.candidate_ranks(scored), ["a", "b"])
+    return M.rank_stability(B.candidate_ranks(scored), ["a", "b"])
+
+
+def _rounded_stability(out: DataFrame) -> DataFrame:
     return out.select("a", "b", "median_rank", F.round("mean_rank", 4).alias("mean_rank"), round_metric("frac_top10").alias("frac_top10"),
                       round_metric("frac_top20").alias("frac_top20"), "n_seeds")
 
 
+@query("rank_stability", _STABLE)
+def _(x):
+    return _rounded_stability(_stability(x))
+
+
+@query("most_stable", _STABLE + " ORDER BY median_rank, a, b LIMIT 10")
+def _(x):
+    return _rounded_stability(M.most_stable(_stability(x)))
+
+
 @query("logreg_scores")
 def _(x):
     split = SP.protocol_split(x.physical_pairs, x.nodes, _context_pairs(x), [0], ("edge_random",))

@@ -272,9 +272,12 @@ def atlas_gate(summary: DataFrame, rho: DataFrame) -> DataFrame:
         run.alias("run_benchmark"), reason.alias("reason"))
 
 
+SINK_ORDER = ["group_id", "name_a", "name_b", "a", "b"]
+
+
 def ordered(atlas: DataFrame) -> DataFrame:
     """The atlas in the order of its sink: group, then the names of both ends, then ids."""
-    return atlas.orderBy("group_id", "name_a", "name_b", "a", "b")
+    return atlas.orderBy(*SINK_ORDER)
 
 
 def top_absent(atlas: DataFrame, n: int = 10) -> DataFrame:

@@ -174,3 +174,42 @@ def test_a_named_folder_is_set_once(spark, tmp_path, monkeypatch):
     monkeypatch.undo()
     if before:
         spark.sparkContext.setCheckpointDir(before.rsplit("/", 1)[0])
+
+
+def test_wedges_equal_walks_from_the_pairs(spark):
+    import random
+    from edgeloom.operators import graph as G
+    from edgeloom.operators.pairs import both_ways, candidate_pairs
+    rng = random.Random(3)
+    nodes = spark.createDataFrame([(i, i // 20, ("a", "b", "both", "partner")[rng.randrange(4)]) for i in range(40)],
+                                  "node_id bigint, group_id bigint, role string")
+    edges = spark.createDataFrame(sorted({tuple(sorted(rng.sample(range(40), 2))) for _ in range(250)}), "src bigint, dst bigint")
+    pairs = candidate_pairs(nodes)
+    want = {(r.a, r.b): r.shared for r in G.shared_counts(pairs, both_ways(edges)).collect()}
+    assert want == {(r.a, r.b): r.shared for r in G.candidate_shared(nodes, both_ways(edges)).collect()}
+    cols = ["a", "b", "shared", "jaccard", "adamic_adar", "preferential_attachment"]
+    one, two = (sorted(df.select(*cols).collect()) for df in (G.link_scores(pairs, nodes, edges), G.candidate_link_scores(nodes, edges)))
+    assert one == two
+
+
+def test_flags_from_the_map_equal_those_of_the_atlas(spark):
+    from edgeloom.operators import features as FE
+    from edgeloom.operators.pairs import candidate_pairs
+    # group 2 has one both node and no counterpart, group 3 two a nodes
+    rows = [("x", 1, "a", "P00001"), ("y", 1, "b", "P00002"), ("z", 1, "partner", "P00003"), ("v", 2, "both", "P00004"), ("u", 3, "a", "P00005"), ("t", 3, "a", "P00006")]
+    nodes = spark.createDataFrame(rows, "node_id string, group_id bigint, role string, accession string")
+    places = spark.createDataFrame([(r[3], "Nucleus." if r[0] != "y" else "", None) for r in rows], "accession string, location string, component string")
+    from edgeloom.operators.evidence import location_map
+    placed = nodes.join(location_map(places), "accession").select("node_id", "group_id", "role", F.array_join("buckets", ";").alias("location"))
+    want = {r.node_id: r.flag for r in FE.location_flags(nodes, candidate_pairs(placed)).collect()}
+    assert want == {r.node_id: r.flag for r in FE.bucket_flags(nodes, places).collect()} == {"x": 1, "y": 0, "z": 0, "v": 0, "u": 0, "t": 0}
+
+
+def test_nodes_without_a_vector_stop_the_job(spark):
+    from edgeloom.operators import features as FE
+    nodes = spark.createDataFrame([("x",), ("y",), ("w",)], "node_id string")
+    vectors = spark.createDataFrame([("x", [1.0]), ("w", None), ("z", [2.0])], "node_id string, vector array<double>")
+    assert sorted(map(tuple, FE.feature_gaps(nodes, vectors).collect())) == [("w", "no vector"), ("y", "no vector"), ("z", "no node")]
+    with pytest.raises(ValueError, match="nodes without a vector"):
+        FE.require_vectors(nodes, vectors)
+    FE.require_vectors(nodes.filter("node_id = 'x'"), vectors)

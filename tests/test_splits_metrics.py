@@ -77,6 +77,45 @@ def test_shortfall_is_reported(spark):
     assert [(r.n, r.got) for r in S.shortfalls(pos, neg, S.SPLIT_KEYS + ["split"]).collect()] == [(2, 1)]
 
 
+_POS = "protocol string, seed int, split string, a bigint, b bigint, group_id bigint"
+
+
+def test_short_groups_are_listed_or_drawn_again(spark):
+    keys = S.SPLIT_KEYS + ["split"]
+    nodes = spark.createDataFrame([(i, 1) for i in range(6)] + [(100 + i, 2) for i in range(40)], "node_id bigint, group_id bigint")
+    known = [(0, 1, 1), (2, 3, 1), (4, 5, 1), (0, 2, 1), (1, 3, 1)] + [(100, 101 + i, 2) for i in range(39)]
+    pos = spark.createDataFrame([("p", 0, "train", a, b, g) for a, b, g in known], _POS)
+    for draws in (1, 3):                                    # group 1 has 10 allowed pairs for 5, group 2 has 741 for 39
+        rows = S.uniform_negatives(pos, keys, nodes, pos, draws=draws).collect()
+        got = {(r.a, r.b) for r in rows}
+        assert len(rows) == len(got) == len(known) and not got & {(a, b) for a, b, _ in known}
+        assert [sum(r.group_id == g for r in rows) for g in (1, 2)] == [5, 39]
+    many = pos.filter("group_id = 1").unionByName(spark.createDataFrame([("p", 0, "train", 1, 2, 1)] * 7, _POS))
+    rows = S.uniform_negatives(many, keys, nodes, pos, draws=1).collect()          # 12 asked, 10 exist
+    assert {(r.a, r.b) for r in rows} == {p for p in itertools.combinations(range(6), 2)} - {(a, b) for a, b, g in known if g == 1}
+    assert len(rows) == 10 and S.shortfalls(many, S.uniform_negatives(many, keys, nodes, pos, draws=1), keys).count() == 1
+
+
+def test_link_split_fails_when_a_group_is_full(spark):
+    nodes = spark.createDataFrame([(i, 1) for i in range(4)], "node_id bigint, group_id bigint")
+    full = spark.createDataFrame([(a, b, 1) for a, b in itertools.combinations(range(4), 2)], "a bigint, b bigint, group_id bigint")
+    with pytest.raises(ValueError, match="too few possible negatives"):
+        S.link_split(full, nodes, [0])
+
+
+def test_dry_bands_are_filled_from_the_nearest(spark):
+    # nodes 0, 1 have degree 9, nodes 10 to 13 degree 4, nodes 20 to 29 degree 0; the one positive joins the two of degree 9
+    degree = {0: 9, 1: 9, **{10 + i: 4 for i in range(4)}, **{20 + i: 0 for i in range(10)}}
+    nodes = spark.createDataFrame([(i, 1) for i in degree], "node_id bigint, group_id bigint")
+    deg = spark.createDataFrame([("p", 0, n, d) for n, d in degree.items()], "protocol string, seed int, node_id bigint, degree bigint")
+    pos = spark.createDataFrame([("p", 0, "train", 0, 1, 1)], _POS)
+    pool = S.negative_pool(pos, S.SPLIT_KEYS + ["split"], nodes, pos, S.wanted_negatives(pos, S.SPLIT_KEYS + ["split"]), draws=60).collect()
+    neg = S.degree_matched_negatives(pos, S.SPLIT_KEYS + ["split"], nodes, pos, deg, draws=60).collect()
+    band = lambda r: math.floor(math.log(degree[r.a] * degree[r.b] + 1) / 0.35)        # noqa: E731
+    goal = math.floor(math.log(82) / 0.35)
+    assert len(neg) == 1 and abs(band(neg[0]) - goal) == min(abs(band(r) - goal) for r in pool)
+
+
 def test_degree_matched(graph):
     nodes, pos, ctx = graph
     split = S.split_edges_random(pos, 1, protocol="degree_matched")
@@ -183,6 +222,15 @@ def test_running_totals(spark, descending):
         assert got[v] == total
 
 
+def test_running_totals_split_crowded_values(spark):
+    df = spark.range(4000).select((F.col("id") % 2).alias("k"), (F.col("id") * 6e-9).alias("v"), F.lit(1).cast("bigint").alias("w"))
+    df = df.unionByName(spark.createDataFrame([(0, None, 5)], "k bigint, v double, w bigint"))
+    rows = R.running_totals(df, ["k"], "v", ["w"]).collect()
+    for k in (0, 1):
+        mine = sorted((r for r in rows if r.k == k), key=lambda r: r.v)
+        assert [r.cum_w for r in mine] == list(range(1, 2001)) and {r.all_w for r in mine} == {2000}
+
+
 def test_global_rank(spark):
     df = spark.range(300).select("id", ((F.col("id") * 37) % 11).cast("double").alias("s"))
     rows = R.global_rank(df, [F.desc("s"), F.col("id")]).collect()
