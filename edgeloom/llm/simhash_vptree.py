@@ -6,8 +6,9 @@ levels of one tree, built from a bounded sample, are a routing table: a node goe
 nodes near a boundary go to both.  A shard goes on splitting the same way inside its task, compares leaves exactly, and returns a
 spanning forest of its links, never all pairs.  Components of the forests are the classes.
 
-That holds for small radii.  A similarity of 0.8 or more is up to 12 of 64 bits, where nearly all fingerprints are "near a boundary" and bounds prune
-nothing; ``keep_first`` therefore deals fingerprints to shards by bands of min-hashes of the same shingles instead, and links inside a shard as above.
+That holds for small radii.  ``keep_first`` wants word shingles of Jaccard similarity 0.8 or more: that is up to 18 of 64 bits, where nearly all
+fingerprints are "near a boundary" and bounds prune nothing.  It therefore deals fingerprints to shards by bands of min-hashes of the same shingles, links
+inside a shard as above, and then checks the links inside each class on the shingles' own hashes (``similar_links``).
 
 A shard's work is bounded by distinct fingerprints: however many copies a document has, at most 679,121 (1 + C(64,1) + ... + C(64,4))
 fingerprints lie within distance 4 of any one.
@@ -198,12 +199,19 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, n: int = SHINGLE) ->
 
 # ---------------------------------------------------------------- similarity 0.8 and more
 BANDS, ROWS = 8, 3          # pairs of Jaccard similarity 0.8 meet in a band with probability 1 - (1 - 0.8^3)^8 = 0.997
-TILE = 4096                 # fingerprints of a shard's tile; a larger shard is worked on tile against tile
+NEAR = 18                   # differing bits up to which a pair is checked; at similarity 0.8 the mean is 9.7, the deviation 2.9
+SKETCH = 512                # smallest shingle hashes of a document: similarity is exact up to as many distinct shingles, and has an error of 0.018 beyond
+TILE = 4096                 # fingerprints of a tile; a larger shard or class is worked on tile against tile
 _SEEDS = np.random.default_rng(17).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 
 
+def sketch_of(h: np.ndarray) -> np.ndarray:
+    """The ``SKETCH`` smallest distinct 32-bit values of the shingle hashes, ascending."""
+    return np.unique((h >> np.uint64(32)).astype("<u4"))[:SKETCH]
+
+
 def banded(docs: DataFrame, n: int) -> DataFrame:
-    """``doc_id, row, fp, bands`` of every row: fingerprint, and one key a band of min-hashes (none without words)."""
+    """``doc_id, row, fp, bands, sketch`` of every row: fingerprint, one key a band of min-hashes (none without words), smallest shingle hashes."""
     def run(batches) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches, limit=2 << 20):
             texts = texts_of(part)
@@ -222,45 +230,114 @@ def banded(docs: DataFrame, n: int) -> DataFrame:
             lists = [None] * len(texts)
             for i, own in zip(some, keys.view(np.int64).tolist()):
                 lists[i] = own
+            sketches = [sketch_of(own).tobytes() for own in np.split(h, np.cumsum(total)[:-1])] if len(texts) else []
             yield pa.RecordBatch.from_arrays([column_of(part, "doc_id"), column_of(part, "row"), pa.array(fingerprints_of(texts, n).view(np.int64)),
-                                              pa.array([b or [] for b in lists], pa.list_(pa.int64()))], ["doc_id", "row", "fp", "bands"])
+                                              pa.array([b or [] for b in lists], pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
+                                             ["doc_id", "row", "fp", "bands", "sketch"])
+
+    return (id_text(docs).withColumn("row", F.xxhash64("text"))
+            .mapInArrow(run, "doc_id bigint, row bigint, fp bigint, bands array<bigint>, sketch binary"))
+
+
+def _deal_tiles(members: DataFrame, keys: list[str], carry: list[str]) -> DataFrame:
+    """``bin, shard, fp`` and ``carry``: the members of each key in tiles of about ``TILE``, each tile with every other; keys of one member go."""
+    sizes = members.groupBy(*keys).agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > 1)
+    own = F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int")
+    dealt = (members.join(sizes.withColumn("tiles", F.ceil(F.col("size") / TILE).cast("int")), keys).withColumn("own", own)
+             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+             .withColumn("shard", F.xxhash64(*keys, F.least("own", "other"), F.greatest("own", "other"))))
+    bins = shuffle_width(members.sparkSession, 4)
+    return dealt.select(F.pmod("shard", F.lit(bins)).cast("int").alias("bin"), "shard", "fp", *carry)
+
 
-    return id_text(docs).withColumn("row", F.xxhash64("text")).mapInArrow(run, "doc_id bigint, row bigint, fp bigint, bands array<bigint>")
+def _per_shard(group: pa.Table, work) -> pa.Table:
+    """Links ``src, dst`` that ``work`` finds among the rows (their positions) of each shard."""
+    shard = group.column("shard").combine_chunks().to_numpy()
+    order = np.argsort(shard, kind="stable")
+    found = [work(own) for own in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1)] if len(shard) else []
+    a, b = (np.concatenate([f[i] for f in found]) if found else np.empty(0, np.uint64) for i in (0, 1))
+    return pa.table({"src": pa.array(a.view(np.int64)), "dst": pa.array(b.view(np.int64))})
 
 
 def banded_links(prints: DataFrame, radius: int) -> DataFrame:
     """Spanning forests ``src, dst`` of the fingerprints that share a band and lie within ``radius``."""
     members = materialize(prints.select(F.posexplode("bands").alias("band", "key"), "fp").distinct())
-    sizes = members.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > 1)
-    tiles = F.ceil(F.col("size") / TILE).cast("int")
-    own = F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int")
-    dealt = (members.join(sizes.withColumn("tiles", tiles), ["band", "key"]).withColumn("own", own)
-             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-             .select("band", "key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "fp"))
-    bins = shuffle_width(prints.sparkSession, 4)
-    dealt = dealt.select(F.pmod(F.xxhash64("band", "key", "low", "high"), F.lit(bins)).cast("int").alias("bin"), F.xxhash64("band", "key", "low", "high").alias("shard"), "fp")
 
     def inside(group: pa.Table) -> pa.Table:
-        shard, fp = group.column("shard").combine_chunks().to_numpy(), _unsigned(group.column("fp").combine_chunks())
-        order = np.argsort(shard, kind="stable")
-        found = [link(own, radius) for own in np.split(fp[order], np.flatnonzero(np.diff(shard[order])) + 1)] if len(fp) else []
-        a, b = (np.concatenate([f[i] for f in found]) if found else np.empty(0, np.uint64) for i in (0, 1))
-        return pa.table({"src": pa.array(a.view(np.int64)), "dst": pa.array(b.view(np.int64))})
+        fp = _unsigned(group.column("fp").combine_chunks())
+        return _per_shard(group, lambda own: link(fp[own], radius))
+
+    return _deal_tiles(members, ["band", "key"], []).groupBy("bin").applyInArrow(inside, "src bigint, dst bigint").distinct()
+
+
+def jaccard(one: np.ndarray, values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Similarity of a sketch to those held end to end in ``values``, over the hashes up to which both sketches are whole."""
+    size = ends - starts
+    owner = np.repeat(np.arange(len(starts)), size)
+    own = values[np.repeat(starts - np.cumsum(size) + size, size) + np.arange(size.sum())]
+    whole = np.int64(1) << 32
+    upto = np.where(size >= SKETCH, values[ends - 1].astype(np.int64), whole)
+    upto = np.minimum(upto, int(one[-1]) if len(one) >= SKETCH else whole)
+    counted = own <= upto[owner]
+    at = np.minimum(np.searchsorted(one, own), len(one) - 1)
+    both = np.bincount(owner, weights=counted & (one[at] == own), minlength=len(starts))
+    either = np.bincount(owner, weights=counted, minlength=len(starts)) + np.searchsorted(one, upto, "right") - both
+    return both / either
+
+
+def link_similar(fp: np.ndarray, sketches: list[bytes], radius: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning forest of the pairs within ``radius`` whose sketches are similar: breadth first, each pair is looked at only while one end is not reached."""
+    values = np.frombuffer(b"".join(sketches), "<u4")
+    ends = np.cumsum([len(s) // 4 for s in sketches])
+    starts = np.concatenate(([0], ends[:-1]))
+    left, root = np.arange(len(fp)), np.arange(len(fp))
+    while len(left):
+        first, left = left[0], left[1:]
+        queue = [first]
+        while queue and len(left):
+            x = queue.pop()
+            near = _distance(fp[left], fp[x]) <= radius
+            tried = left[near]
+            if not len(tried):
+                continue
+            hit = jaccard(values[starts[x]:ends[x]], values, starts[tried], ends[tried]) >= similarity
+            root[tried[hit]] = first
+            queue += tried[hit].tolist()
+            near[near] = hit
+            left = left[~near]
+    leaf = np.flatnonzero(root != np.arange(len(fp)))
+    return fp[leaf], fp[root[leaf]]
+
+
+def similar_links(prints: DataFrame, proposed: DataFrame, radius: int, similarity: float) -> DataFrame:
+    """Spanning forests ``src, dst`` of the similar fingerprints inside the classes (``fp, component``) that bands propose."""
+    worded = prints.filter(F.length("sketch") > 0)
+    sketches = worded.groupBy("fp").agg(F.min("sketch").alias("sketch"))        # copies are folded before the shuffle
+    members = materialize(sketches.join(proposed, "fp"))
+
+    def inside(group: pa.Table) -> pa.Table:
+        fp, sketch = _unsigned(group.column("fp").combine_chunks()), group.column("sketch").combine_chunks()
+        return _per_shard(group, lambda own: link_similar(fp[own], sketch.take(pa.array(own)).to_pylist(), radius, similarity))
 
-    return dealt.groupBy("bin").applyInArrow(inside, "src bigint, dst bigint").distinct()
+    return _deal_tiles(members, ["component"], ["sketch"]).groupBy("bin").applyInArrow(inside, "src bigint, dst bigint").distinct()
+
+
+def _named(links: DataFrame) -> DataFrame:
+    """``fp, component`` of the ends of links."""
+    ends = links.select(F.col("src").alias("node_id")).union(links.select(F.col("dst").alias("node_id"))).distinct()
+    return connected_components(ends, links).select(F.col("node_id").alias("fp"), "component")
 
 
 def keep_first(docs: DataFrame, n: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs``, all columns as they are, without those that a near-duplicate of smaller id makes superfluous.
 
-    Near-duplicates share a band of min-hashes and ``similarity`` of the fingerprint's bits, directly or over others.  Of each group the row with the smallest
+    Near-duplicates have ``similarity`` (Jaccard, of their distinct shingles) or more, directly or over others.  Candidates share a band of min-hashes and
+    lie within ``NEAR`` bits; each class of candidates is then linked anew by similarity.  Of each group the row with the smallest
     id stays (no id: last; one id: by text hash; equal rows: one).  Texts without words are one group.
     """
-    radius = int(64 * (1 - similarity))
     prints = materialize(banded(docs, n))
-    links = materialize(banded_links(prints, radius))
-    ends = links.select(F.col("src").alias("node_id")).union(links.select(F.col("dst").alias("node_id"))).distinct()
-    named = connected_components(ends, links).select(F.col("node_id").alias("fp"), "component")
+    proposed = _named(materialize(banded_links(prints, NEAR)))
+    named = _named(materialize(similar_links(prints, proposed, NEAR, similarity)))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     nodes = prints.groupBy("fp").agg(F.min(order).alias("low"))
     stay = (nodes.join(named, "fp", "left").groupBy(F.coalesce("component", "fp").alias("component"))

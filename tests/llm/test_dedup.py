@@ -133,6 +133,39 @@ def test_keep_first_tiles_a_hot_shard(spark, docs, monkeypatch):
     assert [r["doc_id"] for r in simhash_vptree.keep_first(docs(rows)).collect()] == [0]
 
 
+def _jaccard(a, b):
+    a, b = (set(simhash_vptree.shingles(t, 5)) for t in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def test_keep_first_equals_brute_force_similarity(spark, docs):
+    """Pairs on both sides of 0.8: one document of a pair goes exactly if its similarity is at least 0.8."""
+    rng = np.random.default_rng(21)
+    words = [f"w{i}" for i in range(6000)]
+    rows, gone = [], set()
+    for g in range(150):
+        base = list(rng.choice(words, 200))
+        own = list(base)
+        for i in rng.choice(200, int(rng.integers(1, 14)), replace=False):
+            own[int(i)] = f"x{g}y{i}"
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(own))]
+        if _jaccard(rows[-1][1], rows[-2][1]) >= 0.8:
+            gone.add(2 * g + 1)
+    assert 20 < len(gone) < 130
+    kept = {r["doc_id"] for r in simhash_vptree.keep_first(docs(rows)).collect()}
+    assert {d for d, _ in rows} - kept == gone
+
+
+def test_sketch_similarity_is_exact_for_short_and_near_for_long_texts():
+    rng = np.random.default_rng(22)
+    for size, error in ((300, 0), (20_000, 0.09)):
+        a = rng.integers(0, 1 << 63, size, dtype=np.uint64)
+        b = np.concatenate((a[:int(size * 0.8)], rng.integers(0, 1 << 63, size // 5, dtype=np.uint64)))
+        sa, sb = simhash_vptree.sketch_of(a), simhash_vptree.sketch_of(b)
+        got = simhash_vptree.jaccard(sa, np.concatenate((sb, sa)), np.array([0, len(sb)]), np.array([len(sb), len(sb) + len(sa)]))
+        assert got[1] == 1 and abs(got[0] - len(np.intersect1d(a, b)) / len(np.union1d(a, b))) <= error
+
+
 # ------------------------------------------------------------------ lines
 @pytest.mark.parametrize("n", [0, 1, 2, 1000, 50_000])
 def test_perfect_hash_is_minimal_and_perfect(n):
