@@ -210,8 +210,14 @@ def sketch_of(h: np.ndarray) -> np.ndarray:
     return np.unique((h >> np.uint64(32)).astype("<u4"))[:SKETCH]
 
 
+def set_digest(h: np.ndarray) -> bytes:
+    """128 bits of the distinct shingle hashes: equal for texts of the same shingles, however often each stands in them."""
+    return xxhash.xxh3_128_digest(np.unique(h).tobytes())
+
+
 def banded(docs: DataFrame, n: int) -> DataFrame:
-    """``doc_id, row, fp, bands, sketch`` of every row: fingerprint, one key a band of min-hashes (none without words), smallest shingle hashes."""
+    """``doc_id, row, node, fp, bands, sketch`` of every row: 128-bit digest of the set of its shingles, fingerprint, one key a band of min-hashes (none without
+    words), smallest shingle hashes."""
     def run(batches) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches, limit=2 << 20):
             texts = texts_of(part)
@@ -230,44 +236,59 @@ def banded(docs: DataFrame, n: int) -> DataFrame:
             lists = [None] * len(texts)
             for i, own in zip(some, keys.view(np.int64).tolist()):
                 lists[i] = own
-            sketches = [sketch_of(own).tobytes() for own in np.split(h, np.cumsum(total)[:-1])] if len(texts) else []
-            yield pa.RecordBatch.from_arrays([column_of(part, "doc_id"), column_of(part, "row"), pa.array(fingerprints_of(texts, n).view(np.int64)),
+            owned = np.split(h, np.cumsum(total)[:-1]) if len(texts) else []
+            nodes = [set_digest(own) for own in owned]
+            sketches = [sketch_of(own).tobytes() for own in owned]
+            yield pa.RecordBatch.from_arrays([column_of(part, "doc_id"), column_of(part, "row"), pa.array(nodes, pa.binary()),
+                                              pa.array(fingerprints_of(texts, n).view(np.int64)),
                                               pa.array([b or [] for b in lists], pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
-                                             ["doc_id", "row", "fp", "bands", "sketch"])
+                                             ["doc_id", "row", "node", "fp", "bands", "sketch"])
 
     return (id_text(docs).withColumn("row", F.xxhash64("text"))
-            .mapInArrow(run, "doc_id bigint, row bigint, fp bigint, bands array<bigint>, sketch binary"))
+            .mapInArrow(run, "doc_id bigint, row bigint, node binary, fp bigint, bands array<bigint>, sketch binary"))
 
 
 def _deal_tiles(members: DataFrame, keys: list[str], carry: list[str]) -> DataFrame:
-    """``bin, shard, fp`` and ``carry``: the members of each key in tiles of about ``TILE``, each tile with every other; keys of one member go."""
+    """``bin, shard, nid`` and ``carry``: the members of each key in tiles of about ``TILE``, each tile with every other; keys of one member go."""
     sizes = members.groupBy(*keys).agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > 1)
-    own = F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int")
+    own = F.pmod(F.xxhash64("nid"), F.col("tiles")).cast("int")
     dealt = (members.join(sizes.withColumn("tiles", F.ceil(F.col("size") / TILE).cast("int")), keys).withColumn("own", own)
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
              .withColumn("shard", F.xxhash64(*keys, F.least("own", "other"), F.greatest("own", "other"))))
     bins = shuffle_width(members.sparkSession, 4)
-    return dealt.select(F.pmod("shard", F.lit(bins)).cast("int").alias("bin"), "shard", "fp", *carry)
+    return dealt.select(F.pmod("shard", F.lit(bins)).cast("int").alias("bin"), "shard", "nid", *carry)
 
 
 def _per_shard(group: pa.Table, work) -> pa.Table:
-    """Links ``src, dst`` that ``work`` finds among the rows (their positions) of each shard."""
+    """Links ``src, dst`` of nodes that ``work`` finds among the rows (their positions) of each shard."""
     shard = group.column("shard").combine_chunks().to_numpy()
+    nid = group.column("nid").combine_chunks().to_numpy()
     order = np.argsort(shard, kind="stable")
-    found = [work(own) for own in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1)] if len(shard) else []
-    a, b = (np.concatenate([f[i] for f in found]) if found else np.empty(0, np.uint64) for i in (0, 1))
-    return pa.table({"src": pa.array(a.view(np.int64)), "dst": pa.array(b.view(np.int64))})
+    found = []
+    for own in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1) if len(shard) else []:
+        a, b = work(own)
+        found.append((nid[own[a]], nid[own[b]]))
+    a, b = (np.concatenate([f[i] for f in found]) if found else np.empty(0, np.int64) for i in (0, 1))
+    return pa.table({"src": pa.array(a), "dst": pa.array(b)})
+
+
+def link_rows(fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning forest of the rows whose fingerprints lie within ``radius``, equal ones too: (row, row) pairs."""
+    held, first, at = np.unique(fp, return_index=True, return_inverse=True)
+    a, b = link(held, radius)
+    again = np.flatnonzero(first[at] != np.arange(len(fp)))
+    return np.concatenate((again, first[np.searchsorted(held, a)])), np.concatenate((first[at[again]], first[np.searchsorted(held, b)]))
 
 
-def banded_links(prints: DataFrame, radius: int) -> DataFrame:
-    """Spanning forests ``src, dst`` of the fingerprints that share a band and lie within ``radius``."""
-    members = materialize(prints.select(F.posexplode("bands").alias("band", "key"), "fp").distinct())
+def banded_links(nodes: DataFrame, radius: int) -> DataFrame:
+    """Spanning forests ``src, dst`` of the nodes that share a band and whose fingerprints lie within ``radius``."""
+    members = materialize(nodes.select(F.posexplode("bands").alias("band", "key"), "nid", "fp"))
 
     def inside(group: pa.Table) -> pa.Table:
         fp = _unsigned(group.column("fp").combine_chunks())
-        return _per_shard(group, lambda own: link(fp[own], radius))
+        return _per_shard(group, lambda own: link_rows(fp[own], radius))
 
-    return _deal_tiles(members, ["band", "key"], []).groupBy("bin").applyInArrow(inside, "src bigint, dst bigint").distinct()
+    return _deal_tiles(members, ["band", "key"], ["fp"]).groupBy("bin").applyInArrow(inside, "src bigint, dst bigint").distinct()
 
 
 def jaccard(one: np.ndarray, values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -306,26 +327,24 @@ def link_similar(fp: np.ndarray, sketches: list[bytes], radius: int, similarity:
             near[near] = hit
             left = left[~near]
     leaf = np.flatnonzero(root != np.arange(len(fp)))
-    return fp[leaf], fp[root[leaf]]
+    return leaf, root[leaf]
 
 
-def similar_links(prints: DataFrame, proposed: DataFrame, radius: int, similarity: float) -> DataFrame:
-    """Spanning forests ``src, dst`` of the similar fingerprints inside the classes (``fp, component``) that bands propose."""
-    worded = prints.filter(F.length("sketch") > 0)
-    sketches = worded.groupBy("fp").agg(F.min("sketch").alias("sketch"))        # copies are folded before the shuffle
-    members = materialize(sketches.join(proposed, "fp"))
+def similar_links(nodes: DataFrame, proposed: DataFrame, radius: int, similarity: float) -> DataFrame:
+    """Spanning forests ``src, dst`` of the similar nodes inside the classes (``nid, component``) that bands propose."""
+    members = materialize(nodes.filter(F.length("sketch") > 0).select("nid", "fp", "sketch").join(proposed, "nid"))
 
     def inside(group: pa.Table) -> pa.Table:
         fp, sketch = _unsigned(group.column("fp").combine_chunks()), group.column("sketch").combine_chunks()
         return _per_shard(group, lambda own: link_similar(fp[own], sketch.take(pa.array(own)).to_pylist(), radius, similarity))
 
-    return _deal_tiles(members, ["component"], ["sketch"]).groupBy("bin").applyInArrow(inside, "src bigint, dst bigint").distinct()
+    return _deal_tiles(members, ["component"], ["fp", "sketch"]).groupBy("bin").applyInArrow(inside, "src bigint, dst bigint").distinct()
 
 
 def _named(links: DataFrame) -> DataFrame:
-    """``fp, component`` of the ends of links."""
+    """``nid, component`` of the ends of links."""
     ends = links.select(F.col("src").alias("node_id")).union(links.select(F.col("dst").alias("node_id"))).distinct()
-    return connected_components(ends, links).select(F.col("node_id").alias("fp"), "component")
+    return connected_components(ends, links).select(F.col("node_id").alias("nid"), "component")
 
 
 def keep_first(docs: DataFrame, n: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -333,14 +352,16 @@ def keep_first(docs: DataFrame, n: int = 5, similarity: float = 0.8) -> DataFram
 
     Near-duplicates have ``similarity`` (Jaccard, of their distinct shingles) or more, directly or over others.  Candidates share a band of min-hashes and
     lie within ``NEAR`` bits; each class of candidates is then linked anew by similarity.  Of each group the row with the smallest
-    id stays (no id: last; one id: by text hash; equal rows: one).  Texts without words are one group.
+    id stays (no id: last; one id: by text hash; equal rows: one).  Texts of the same set of shingles are one node;
+    texts without words are one group.
     """
-    prints = materialize(banded(docs, n))
-    proposed = _named(materialize(banded_links(prints, NEAR)))
-    named = _named(materialize(similar_links(prints, proposed, NEAR, similarity)))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
-    nodes = prints.groupBy("fp").agg(F.min(order).alias("low"))
-    stay = (nodes.join(named, "fp", "left").groupBy(F.coalesce("component", "fp").alias("component"))
+    prints = materialize(banded(docs, n))
+    nodes = prints.groupBy("node").agg(F.min(order).alias("low"), *[F.min(c).alias(c) for c in ("fp", "bands", "sketch")])
+    nodes = materialize(nodes.withColumn("nid", F.monotonically_increasing_id()))
+    proposed = _named(materialize(banded_links(nodes, NEAR)))
+    named = _named(materialize(similar_links(nodes, proposed, NEAR, similarity)))
+    stay = (nodes.select("nid", "low").join(named, "nid", "left").groupBy(F.coalesce("component", "nid").alias("component"))
             .agg(F.min("low").alias("low")).select(F.col("low.doc_id").alias("__id"), F.col("low.row").alias("__row")))
     stay = materialize(stay)
     keyed = docs.withColumns({"__own_id": docs["doc_id"].cast("bigint"), "__own_row": F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))})

@@ -156,6 +156,16 @@ def test_keep_first_equals_brute_force_similarity(spark, docs):
     assert {d for d, _ in rows} - kept == gone
 
 
+def test_keep_first_keeps_different_texts_of_one_fingerprint(spark, docs):
+    """A row repeated 100 times decides all fingerprint bits; the texts share nothing else."""
+    rng = np.random.default_rng(23)
+    row = " ".join(["total of the sum in this table"] * 100)
+    rows = [(d, row + " " + " ".join(f"w{i}" for i in rng.integers(0, 10_000, 200))) for d in range(12)]
+    assert len(set(simhash_vptree.fingerprints_of([t for _, t in rows], 5))) < 6
+    assert max(_jaccard(a, b) for d, a in rows for e, b in rows if d < e) < 0.2
+    assert {r["doc_id"] for r in simhash_vptree.keep_first(docs(rows)).collect()} == set(range(12))
+
+
 def test_sketch_similarity_is_exact_for_short_and_near_for_long_texts():
     rng = np.random.default_rng(22)
     for size, error in ((300, 0), (20_000, 0.09)):
