@@ -308,3 +308,25 @@ def test_passages_that_repeat_are_found_and_clean_texts_left(spark, docs, odd):
     out = {r["doc_id"]: r["text"] for r in substring.drop_repeated(docs(rows)).collect() if r["doc_id"] and r["doc_id"] >= 100}
     assert out[101] == texts[101] and len(out[104]) < len(texts[104]) - 200
     assert substring.drop_repeated(docs(rows)).count() == len(rows) and substring.repeated_runs(docs([])).count() == 0
+
+
+def test_every_passage_of_fifty_words_is_found_with_its_borders(spark, docs):
+    """Passages of short words at 50 to 61 words in two contexts, and of 49; brute force over all windows of 50 words."""
+    rng = np.random.default_rng(31)
+
+    def prose(n):
+        return ["".join(rng.choice(list("abcdefghijé"), int(rng.integers(1, 5)))) for _ in range(n)]
+    rows = []
+    for g in range(120):
+        passage = prose(49 + g % 13)
+        for k in range(2):
+            rows.append((2 * g + k, "  ".join([" ".join(prose(30)), "\n".join([" ".join(passage), " ".join(prose(30))])])))
+    holder, want = {}, set()
+    for d, t in rows:
+        words = [(m.start(), m.end()) for m in re.finditer(r"\S+", t)]
+        hit = [i for i in range(len(words) - 49) if holder.setdefault(t[words[i][0]:words[i + 49][1]], d) < d]
+        if hit:
+            assert hit == list(range(hit[0], hit[-1] + 1))
+            want.add((d, words[hit[0]][0], words[hit[-1] + 49][1], hit[-1] - hit[0] + 50))
+    got = {(r["doc_id"], r["start"], r["end"], r["n_words"]) for r in substring.repeated_runs(docs(rows)).collect()}
+    assert len(want) >= 110 and got == want
