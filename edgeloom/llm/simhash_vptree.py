@@ -200,14 +200,13 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, n: int = SHINGLE) ->
 # ---------------------------------------------------------------- similarity 0.8 and more
 BANDS, ROWS = 8, 3          # pairs of Jaccard similarity 0.8 meet in a band with probability 1 - (1 - 0.8^3)^8 = 0.997
 NEAR = 18                   # differing bits up to which a pair is checked; at similarity 0.8 the mean is 9.7, the deviation 2.9
-SKETCH = 512                # smallest shingle hashes of a document: similarity is exact up to as many distinct shingles, and has an error of 0.018 beyond
 TILE = 4096                 # fingerprints of a tile; a larger shard or class is worked on tile against tile
 _SEEDS = np.random.default_rng(17).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 
 
 def sketch_of(h: np.ndarray) -> np.ndarray:
-    """The ``SKETCH`` smallest distinct 32-bit values of the shingle hashes, ascending."""
-    return np.unique((h >> np.uint64(32)).astype("<u4"))[:SKETCH]
+    """All distinct shingle hashes, ascending."""
+    return np.unique(h).astype("<u8")
 
 
 def set_digest(h: np.ndarray) -> bytes:
@@ -217,7 +216,7 @@ def set_digest(h: np.ndarray) -> bytes:
 
 def banded(docs: DataFrame, n: int) -> DataFrame:
     """``doc_id, row, node, fp, bands, sketch`` of every row: 128-bit digest of the set of its shingles, fingerprint, one key a band of min-hashes (none without
-    words), smallest shingle hashes."""
+    words), all distinct shingle hashes."""
     def run(batches) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches, limit=2 << 20):
             texts = texts_of(part)
@@ -292,24 +291,19 @@ def banded_links(nodes: DataFrame, radius: int) -> DataFrame:
 
 
 def jaccard(one: np.ndarray, values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Similarity of a sketch to those held end to end in ``values``, over the hashes up to which both sketches are whole."""
+    """Similarity of a set of shingle hashes, ascending, to those held end to end in ``values``."""
     size = ends - starts
     owner = np.repeat(np.arange(len(starts)), size)
     own = values[np.repeat(starts - np.cumsum(size) + size, size) + np.arange(size.sum())]
-    whole = np.int64(1) << 32
-    upto = np.where(size >= SKETCH, values[ends - 1].astype(np.int64), whole)
-    upto = np.minimum(upto, int(one[-1]) if len(one) >= SKETCH else whole)
-    counted = own <= upto[owner]
     at = np.minimum(np.searchsorted(one, own), len(one) - 1)
-    both = np.bincount(owner, weights=counted & (one[at] == own), minlength=len(starts))
-    either = np.bincount(owner, weights=counted, minlength=len(starts)) + np.searchsorted(one, upto, "right") - both
-    return both / either
+    both = np.bincount(owner, weights=one[at] == own, minlength=len(starts))
+    return both / (size + len(one) - both)
 
 
 def link_similar(fp: np.ndarray, sketches: list[bytes], radius: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning forest of the pairs within ``radius`` whose sketches are similar: breadth first, each pair is looked at only while one end is not reached."""
-    values = np.frombuffer(b"".join(sketches), "<u4")
-    ends = np.cumsum([len(s) // 4 for s in sketches])
+    """Spanning forest of the pairs within ``radius`` whose shingle sets are similar: breadth first, each pair is looked at only while one end is not reached."""
+    values = np.frombuffer(b"".join(sketches), "<u8")
+    ends = np.cumsum([len(s) // 8 for s in sketches])
     starts = np.concatenate(([0], ends[:-1]))
     left, root = np.arange(len(fp)), np.arange(len(fp))
     while len(left):

@@ -166,6 +166,24 @@ def test_keep_first_keeps_different_texts_of_one_fingerprint(spark, docs):
     assert {r["doc_id"] for r in simhash_vptree.keep_first(docs(rows)).collect()} == set(range(12))
 
 
+@pytest.mark.parametrize("size", [600, 3000])
+def test_keep_first_judges_long_texts_exactly(spark, docs, size):
+    rng = np.random.default_rng(size)
+    rows, gone, near = [], set(), 0
+    for g in range(60):
+        base = [f"w{i}" for i in rng.integers(0, 1_000_000, size)]
+        own, edits = list(base), rng.choice(size // 5, int(size * rng.uniform(0.020, 0.026)), replace=False) * 5
+        for i in edits:
+            own[int(i)] = f"x{g}y{i}"
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(own))]
+        near += abs(_jaccard(rows[-1][1], rows[-2][1]) - 0.8) < 0.02
+        if _jaccard(rows[-1][1], rows[-2][1]) >= 0.8:
+            gone.add(2 * g + 1)
+    assert 10 < len(gone) < 50 and near > 20
+    kept = {r["doc_id"] for r in simhash_vptree.keep_first(docs(rows)).collect()}
+    assert {d for d, _ in rows} - kept == gone
+
+
 def test_sketch_similarity_is_exact_for_short_and_near_for_long_texts():
     rng = np.random.default_rng(22)
     for size, error in ((300, 0), (20_000, 0.09)):
