@@ -6,9 +6,9 @@ levels of one tree, built from a bounded sample, are a routing table: a node goe
 nodes near a boundary go to both.  A shard goes on splitting the same way inside its task, compares leaves exactly, and returns a
 spanning forest of its links, never all pairs.  Components of the forests are the classes.
 
-That holds for small radii.  ``keep_first`` wants word shingles of Jaccard similarity 0.8 or more: that is up to 18 of 64 bits, where nearly all
-fingerprints are "near a boundary" and bounds prune nothing.  It therefore deals fingerprints to shards by bands of min-hashes of the same shingles, links
-inside a shard as above, and then checks the links inside each class on the shingles' own hashes (``similar_links``).
+That holds for small radii.  ``keep_first`` wants word shingles of Jaccard similarity 0.8 or more, which no radius bounds, as fingerprints count repeats and the
+similarity does not.  It finds its pairs by prefix filter: in one order of all shingles, two sets of that similarity share a shingle among the first fifth of
+each.  Pairs are checked on all shingles, first in stars round one member of a shingle, then all that no link has joined (``similar_classes``).
 
 A shard's work is bounded by distinct fingerprints: however many copies a document has, at most 679,121 (1 + C(64,1) + ... + C(64,4))
 fingerprints lie within distance 4 of any one.
@@ -198,10 +198,9 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, n: int = SHINGLE) ->
 
 
 # ---------------------------------------------------------------- similarity 0.8 and more
-BANDS, ROWS = 8, 3          # pairs of Jaccard similarity 0.8 meet in a band with probability 1 - (1 - 0.8^3)^8 = 0.997
-NEAR = 18                   # differing bits up to which a pair is checked; at similarity 0.8 the mean is 9.7, the deviation 2.9
-TILE = 4096                 # fingerprints of a tile; a larger shard or class is worked on tile against tile
-_SEEDS = np.random.default_rng(17).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
+TILE = 4096                 # members of a tile; a larger key is worked on tile against tile
+STARS = 3                   # rounds in which one member of a key is compared with the others, before all that is left is paired
+HOT_DOCS, HOT = 1 << 13, 1 << 15    # documents the frequent shingles come from, and how many of them; they go last in the order, which changes the work only
 
 
 def sketch_of(h: np.ndarray) -> np.ndarray:
@@ -214,44 +213,64 @@ def set_digest(h: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(np.unique(h).tobytes())
 
 
-def banded(docs: DataFrame, n: int) -> DataFrame:
-    """``doc_id, row, node, fp, bands, sketch`` of every row: 128-bit digest of the set of its shingles, fingerprint, one key a band of min-hashes (none without
-    words), all distinct shingle hashes."""
+def _hashes(text: str, n: int) -> np.ndarray:
+    return sketch_of(np.frombuffer(b"".join(map(xxhash.xxh64_digest, shingles(text, n), repeat(42))), ">u8").astype(np.uint64))
+
+
+def digested(docs: DataFrame, n: int) -> DataFrame:
+    """``doc_id, row, node, worded`` of every row: 128-bit digest of the set of its shingles, and if there are any."""
     def run(batches) -> Iterator[pa.RecordBatch]:
-        for part in chunks(batches, limit=2 << 20):
-            texts = texts_of(part)
-            digests = [b"".join(map(xxhash.xxh64_digest, shingles(t, n), repeat(42))) for t in texts]
-            total = np.array([len(d) // 8 for d in digests], np.int64)
-            h = np.frombuffer(b"".join(digests), ">u8").astype(np.uint64)
-            some = np.flatnonzero(total)
-            keys = np.zeros((len(some), BANDS), np.uint64)
-            if len(some):
-                starts = (np.cumsum(total) - total)[some]
-                for k, seed in enumerate(_SEEDS):
-                    mixed = (h ^ seed) * seed
-                    mixed ^= mixed >> np.uint64(32)
-                    low = np.minimum.reduceat(mixed * np.uint64(0x9E3779B97F4A7C15), starts)
-                    keys[:, k // ROWS] = (keys[:, k // ROWS] ^ low) * np.uint64(0xD6E8FEB86659FD93)
-            lists = [None] * len(texts)
-            for i, own in zip(some, keys.view(np.int64).tolist()):
-                lists[i] = own
-            owned = np.split(h, np.cumsum(total)[:-1]) if len(texts) else []
-            nodes = [set_digest(own) for own in owned]
-            sketches = [sketch_of(own).tobytes() for own in owned]
-            yield pa.RecordBatch.from_arrays([column_of(part, "doc_id"), column_of(part, "row"), pa.array(nodes, pa.binary()),
-                                              pa.array(fingerprints_of(texts, n).view(np.int64)),
-                                              pa.array([b or [] for b in lists], pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
-                                             ["doc_id", "row", "node", "fp", "bands", "sketch"])
-
-    return (id_text(docs).withColumn("row", F.xxhash64("text"))
-            .mapInArrow(run, "doc_id bigint, row bigint, node binary, fp bigint, bands array<bigint>, sketch binary"))
+        for part in chunks(batches):
+            sets = [_hashes(t, n) for t in texts_of(part)]
+            yield pa.RecordBatch.from_arrays([column_of(part, "doc_id"), column_of(part, "row"), pa.array([set_digest(h) for h in sets], pa.binary()),
+                                              pa.array([len(h) > 0 for h in sets])], ["doc_id", "row", "node", "worded"])
+
+    return id_text(docs).withColumn("row", F.xxhash64("text")).mapInArrow(run, "doc_id bigint, row bigint, node binary, worded boolean")
+
+
+def frequent(texts: DataFrame, n: int) -> np.ndarray:
+    """Shingle hashes that several of a bounded number of documents hold, ascending by count."""
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for part in chunks(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([_hashes(t, n) for t in texts_of(part)]).view(np.int64))], ["key"])
+
+    count = texts.count()
+    few = texts if count <= HOT_DOCS else texts.filter(F.pmod(F.xxhash64("nid"), F.lit(1 << 30)) < int((1 << 30) * HOT_DOCS / count))
+    held = few.mapInArrow(run, "key bigint").groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 2)
+    rows = held.orderBy(F.desc("n"), "key").limit(HOT).collect()
+    return np.array([r["key"] for r in reversed(rows)], np.int64).view(np.uint64)
+
+
+def prefixes(texts: DataFrame, n: int, similarity: float, hot: np.ndarray) -> DataFrame:
+    """``nid, size, key, pos``: the first shingles of every set in one order of all shingles, as many as two similar sets cannot both do without."""
+    order = np.argsort(hot)
+    held = hot[order]
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for part in chunks(batches):
+            keys, sizes = [], []
+            for t in texts_of(part):
+                h = _hashes(t, n)
+                sizes.append(len(h))
+                if len(held):
+                    at = np.minimum(np.searchsorted(held, h), len(held) - 1)
+                    rank = np.where(held[at] == h, order[at] + 1, 0)
+                    h = h[np.argsort(rank, kind="stable")]
+                keys.append(h[:len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1])
+            length = np.array([len(k) for k in keys])
+            take = np.repeat(np.arange(len(keys)), length)
+            pos = np.arange(len(take)) - np.repeat(np.cumsum(length) - length, length)
+            yield pa.RecordBatch.from_arrays([column_of(part, "nid").take(pa.array(take)), pa.array(np.array(sizes)[take], pa.int32()),
+                                              pa.array(np.concatenate(keys).view(np.int64)), pa.array(pos, pa.int32())], ["nid", "size", "key", "pos"])
+
+    return texts.mapInArrow(run, "nid bigint, size int, key bigint, pos int")
 
 
 def _deal_tiles(members: DataFrame, keys: list[str], carry: list[str]) -> DataFrame:
     """``bin, shard, nid`` and ``carry``: the members of each key in tiles of about ``TILE``, each tile with every other; keys of one member go."""
-    sizes = members.groupBy(*keys).agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > 1)
+    sizes = members.groupBy(*keys).agg(F.count(F.lit(1)).alias("held")).filter(F.col("held") > 1)
     own = F.pmod(F.xxhash64("nid"), F.col("tiles")).cast("int")
-    dealt = (members.join(sizes.withColumn("tiles", F.ceil(F.col("size") / TILE).cast("int")), keys).withColumn("own", own)
+    dealt = (members.join(sizes.withColumn("tiles", F.ceil(F.col("held") / TILE).cast("int")), keys).withColumn("own", own)
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
              .withColumn("shard", F.xxhash64(*keys, F.least("own", "other"), F.greatest("own", "other"))))
     bins = shuffle_width(members.sparkSession, 4)
@@ -271,23 +290,34 @@ def _per_shard(group: pa.Table, work) -> pa.Table:
     return pa.table({"src": pa.array(a), "dst": pa.array(b)})
 
 
-def link_rows(fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning forest of the rows whose fingerprints lie within ``radius``, equal ones too: (row, row) pairs."""
-    held, first, at = np.unique(fp, return_index=True, return_inverse=True)
-    a, b = link(held, radius)
-    again = np.flatnonzero(first[at] != np.arange(len(fp)))
-    return np.concatenate((again, first[np.searchsorted(held, a)])), np.concatenate((first[at[again]], first[np.searchsorted(held, b)]))
+def may_be_similar(size, pos, size2, pos2, similarity: float, least=np.minimum):
+    """False only if sets of these sizes with one shingle in common at these positions cannot have the similarity."""
+    both = least(pos, pos2) + 1 + least(size - pos - 1, size2 - pos2 - 1)
+    return both >= similarity / (1 + similarity) * (size + size2) - 1e-6
+
 
+def star_pairs(members: DataFrame, similarity: float) -> DataFrame:
+    """``a, center``: each member of a key with the key's ``center``, if both may be similar."""
+    fits = may_be_similar(F.col("size"), F.col("pos"), F.col("c_size"), F.col("c_pos"), similarity, F.least)
+    return members.filter((F.col("nid") != F.col("center")) & fits).select(F.col("nid").alias("a"), "center").distinct()
 
-def banded_links(nodes: DataFrame, radius: int) -> DataFrame:
-    """Spanning forests ``src, dst`` of the nodes that share a band and whose fingerprints lie within ``radius``."""
-    members = materialize(nodes.select(F.posexplode("bands").alias("band", "key"), "nid", "fp"))
 
+def other_pairs(members: DataFrame, similarity: float) -> DataFrame:
+    """``a, center``: all pairs of members of a key that may be similar and are in different components."""
     def inside(group: pa.Table) -> pa.Table:
-        fp = _unsigned(group.column("fp").combine_chunks())
-        return _per_shard(group, lambda own: link_rows(fp[own], radius))
+        size, pos, part = (group.column(c).combine_chunks().to_numpy() for c in ("size", "pos", "component"))
+
+        def work(own):
+            found = []
+            for i in range(0, len(own), 256):
+                x, y = own[i:i + 256, None], own[None, :]
+                a, b = np.nonzero((part[x] != part[y]) & may_be_similar(size[x], pos[x], size[y], pos[y], similarity))
+                found.append((i + a[i + a < b], b[i + a < b]))
+            return tuple(np.concatenate(f) for f in zip(*found))
+        return _per_shard(group, work)
 
-    return _deal_tiles(members, ["band", "key"], ["fp"]).groupBy("bin").applyInArrow(inside, "src bigint, dst bigint").distinct()
+    pairs = _deal_tiles(members, ["key"], ["size", "pos", "component"]).groupBy("bin").applyInArrow(inside, "src bigint, dst bigint")
+    return pairs.select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("center")).distinct()
 
 
 def jaccard(one: np.ndarray, values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -300,39 +330,47 @@ def jaccard(one: np.ndarray, values: np.ndarray, starts: np.ndarray, ends: np.nd
     return both / (size + len(one) - both)
 
 
-def link_similar(fp: np.ndarray, sketches: list[bytes], radius: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning forest of the pairs within ``radius`` whose shingle sets are similar: breadth first, each pair is looked at only while one end is not reached."""
-    values = np.frombuffer(b"".join(sketches), "<u8")
-    ends = np.cumsum([len(s) // 8 for s in sketches])
-    starts = np.concatenate(([0], ends[:-1]))
-    left, root = np.arange(len(fp)), np.arange(len(fp))
-    while len(left):
-        first, left = left[0], left[1:]
-        queue = [first]
-        while queue and len(left):
-            x = queue.pop()
-            near = _distance(fp[left], fp[x]) <= radius
-            tried = left[near]
-            if not len(tried):
-                continue
-            hit = jaccard(values[starts[x]:ends[x]], values, starts[tried], ends[tried]) >= similarity
-            root[tried[hit]] = first
-            queue += tried[hit].tolist()
-            near[near] = hit
-            left = left[~near]
-    leaf = np.flatnonzero(root != np.arange(len(fp)))
-    return leaf, root[leaf]
-
-
-def similar_links(nodes: DataFrame, proposed: DataFrame, radius: int, similarity: float) -> DataFrame:
-    """Spanning forests ``src, dst`` of the similar nodes inside the classes (``nid, component``) that bands propose."""
-    members = materialize(nodes.filter(F.length("sketch") > 0).select("nid", "fp", "sketch").join(proposed, "nid"))
-
-    def inside(group: pa.Table) -> pa.Table:
-        fp, sketch = _unsigned(group.column("fp").combine_chunks()), group.column("sketch").combine_chunks()
-        return _per_shard(group, lambda own: link_similar(fp[own], sketch.take(pa.array(own)).to_pylist(), radius, similarity))
-
-    return _deal_tiles(members, ["component"], ["fp", "sketch"]).groupBy("bin").applyInArrow(inside, "src bigint, dst bigint").distinct()
+def similar_links(pairs: DataFrame, texts: DataFrame, n: int, similarity: float) -> DataFrame:
+    """``src, dst``: the pairs whose sets of shingles are similar, counted over all shingles."""
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        held, one = None, None
+        for batch in batches:
+            src, dst = [], []
+            for a, center, text, other in zip(*(batch.column(i) for i in range(4))):
+                a, center = a.as_py(), center.as_py()
+                if center != held:
+                    held, one = center, _hashes(other.as_py(), n)
+                h = _hashes(text.as_py(), n)
+                if jaccard(one, h, np.array([0]), np.array([len(h)]))[0] >= similarity:
+                    src.append(a)
+                    dst.append(center)
+            yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
+
+    left = pairs.join(texts.select(F.col("nid").alias("a"), "text"), "a")
+    whole = left.join(texts.select(F.col("nid").alias("center"), F.col("text").alias("other")).hint("merge"), "center")
+    return whole.select("a", "center", "text", "other").mapInArrow(run, "src bigint, dst bigint").distinct()
+
+
+def similar_classes(texts: DataFrame, n: int, similarity: float) -> DataFrame:
+    """``nid, component`` of the nodes (``nid, text``) that have a link; no pair of the similarity is lost."""
+    first = prefixes(texts, n, similarity, frequent(texts, n))
+    shared = first.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select("key")
+    members = materialize(first.join(shared, "key"))
+    links = None
+    for turn in range(STARS):
+        center = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("nid", F.lit(turn)).alias("draw"), "nid", "size", "pos")).alias("c"))
+        center = center.filter(F.col("n") > 1).select("key", F.col("c.nid").alias("center"), F.col("c.size").alias("c_size"), F.col("c.pos").alias("c_pos"))
+        dealt = materialize(members.join(center, "key"))
+        found = materialize(similar_links(materialize(star_pairs(dealt, similarity)), texts, n, similarity))
+        links = found if links is None else links.union(found)
+        named = materialize(_named(links))
+        # a key is done with its center, and with all members once they are in one component
+        rest = (dealt.filter(F.col("nid") != F.col("center")).select("nid", "size", "key", "pos").join(named, "nid", "left")
+                .withColumn("component", F.coalesce("component", "nid")))
+        open_ = rest.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter(F.col("x") < F.col("y")).select("key")
+        members = materialize(rest.join(open_, "key"))
+    found = materialize(similar_links(materialize(other_pairs(members, similarity)), texts, n, similarity))
+    return _named(links.union(found))
 
 
 def _named(links: DataFrame) -> DataFrame:
@@ -344,17 +382,18 @@ def _named(links: DataFrame) -> DataFrame:
 def keep_first(docs: DataFrame, n: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs``, all columns as they are, without those that a near-duplicate of smaller id makes superfluous.
 
-    Near-duplicates have ``similarity`` (Jaccard, of their distinct shingles) or more, directly or over others.  Candidates share a band of min-hashes and
-    lie within ``NEAR`` bits; each class of candidates is then linked anew by similarity.  Of each group the row with the smallest
-    id stays (no id: last; one id: by text hash; equal rows: one).  Texts of the same set of shingles are one node;
+    Near-duplicates have ``similarity`` (Jaccard, of their distinct shingles) or more, directly or over others; none is missed.  Of each group the row with
+    the smallest id stays (no id: last; one id: by text hash; equal rows: one).  Texts of the same set of shingles are one node;
     texts without words are one group.
     """
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
-    prints = materialize(banded(docs, n))
-    nodes = prints.groupBy("node").agg(F.min(order).alias("low"), *[F.min(c).alias(c) for c in ("fp", "bands", "sketch")])
-    nodes = materialize(nodes.withColumn("nid", F.monotonically_increasing_id()))
-    proposed = _named(materialize(banded_links(nodes, NEAR)))
-    named = _named(materialize(similar_links(nodes, proposed, NEAR, similarity)))
+    prints = materialize(digested(docs, n))
+    nodes = prints.groupBy("node").agg(F.min(order).alias("low"), F.max("worded").alias("worded"))
+    nodes = materialize(nodes.withColumn("nid", F.monotonically_increasing_id()).drop("node"))
+    own = id_text(docs).withColumn("row", F.xxhash64("text"))
+    texts = materialize(own.join(nodes.filter("worded").select("nid", F.col("low.doc_id").alias("id"), "low.row"), "row")
+                        .filter(F.col("doc_id").eqNullSafe(F.col("id"))).select("nid", "text"))
+    named = similar_classes(texts, n, similarity)
     stay = (nodes.select("nid", "low").join(named, "nid", "left").groupBy(F.coalesce("component", "nid").alias("component"))
             .agg(F.min("low").alias("low")).select(F.col("low.doc_id").alias("__id"), F.col("low.row").alias("__row")))
     stay = materialize(stay)

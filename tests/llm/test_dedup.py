@@ -184,6 +184,17 @@ def test_keep_first_judges_long_texts_exactly(spark, docs, size):
     assert {d for d, _ in rows} - kept == gone
 
 
+def test_keep_first_links_equal_sets_nearly_and_texts_of_other_repeats(spark, docs):
+    """One row stands 2 times in one text and 60 times in the other, one word differs: far fingerprints, similarity above 0.8."""
+    rng = np.random.default_rng(24)
+    rows = []
+    for g in range(20):
+        base, row = [f"w{i}" for i in rng.integers(0, 100_000, 200)], [f"r{g}x{i}" for i in range(7)]
+        rows += [(2 * g, " ".join(row * 2 + base)), (2 * g + 1, " ".join(row * 60 + base[:-1] + ["other"]))]
+    assert all(_jaccard(rows[2 * g][1], rows[2 * g + 1][1]) >= 0.9 for g in range(20))
+    assert {r["doc_id"] for r in simhash_vptree.keep_first(docs(rows)).collect()} == set(range(0, 40, 2))
+
+
 def test_sketch_similarity_is_exact_for_short_and_near_for_long_texts():
     rng = np.random.default_rng(22)
     for size, error in ((300, 0), (20_000, 0.09)):
