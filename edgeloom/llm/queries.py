@@ -5,7 +5,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edgeloom.llm import bpe_fst, fingerprints, line_dedup, lm_scoring, packing, pii, quality, simhash_vptree, substring, vafile
+from edgeloom.llm import (bpe_fst, collocations, feast_whitening, fingerprints, line_dedup, lm_scoring, packing, piece_backtrack, pii, quality,
+                          simhash_vptree, substring, vafile)
 from edgeloom.llm.common import table
 
 
@@ -57,8 +58,21 @@ def op10_packing(spark: SparkSession, sf_dir: str, tokenizer: str = public_token
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer, cached_words=800_000)
 
 
+def op11_pieces(spark: SparkSession, sf_dir: str, model: str = public_tokenizers.path("piece_bpe_32k.model")) -> DataFrame:
+    return piece_backtrack.round_trip(table(spark, sf_dir, "documents"), model)
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return feast_whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {"op1_quality": op1_quality, "op2_pii": op2_pii, "op3_simhash_vptree": op3_simhash_vptree, "op4_line_dedup": op4_line_dedup,
-           "op5_fingerprints": op5_fingerprints, "op6_bpe": op6_bpe, "op7_vafile": op7_vafile, "op8_substring": op8_substring, "op9_lm_scoring": op9_lm_scoring, "op10_packing": op10_packing}
+           "op5_fingerprints": op5_fingerprints, "op6_bpe": op6_bpe, "op7_vafile": op7_vafile, "op8_substring": op8_substring, "op9_lm_scoring": op9_lm_scoring, "op10_packing": op10_packing,
+           "op11_pieces": op11_pieces, "op12_whitening": op12_whitening, "op13_collocations": op13_collocations}
 
 _LINE_SQL = r"""
 WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
@@ -78,4 +92,27 @@ s AS (SELECT q.vec_id AS query_id, v.vec_id, list_dot_product(q.e, v.e)::BIGINT
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5
 """
-ORACLES = {"op7_vafile": _SEARCH_SQL, "op4_line_dedup": _LINE_SQL}
+_PHRASE_SQL = r"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+ '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+lists AS (SELECT lang, regexp_extract_all(piece, '[^ \t]+') AS w FROM pieces),
+grams AS (SELECT lang, 1 AS m, unnest(w) AS phrase FROM lists
+ UNION ALL SELECT lang, 2, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM lists
+ UNION ALL SELECT lang, 3, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) FROM lists
+ UNION ALL SELECT lang, 4, unnest(list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3])) FROM lists),
+f AS (SELECT lang, m, phrase, count(*) AS f FROM grams GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE m = 1 GROUP BY lang),
+many AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE m >= 2 AND f >= 30),
+ways AS (SELECT *, unnest(range(1, m)) AS k FROM many),
+cuts AS (SELECT lang, phrase, a, k, array_to_string(w[1:k], ' ') AS head, array_to_string(w[k + 1:], ' ') AS tail FROM ways),
+scored AS (SELECT c.lang, c.phrase, c.a, c.k, h.f AS l, t.f AS r, ((2000000::HUGEINT * c.a) // (h.f + t.f))::BIGINT AS score
+ FROM cuts c JOIN f h ON h.lang = c.lang AND h.phrase = c.head JOIN f t ON t.lang = c.lang AND t.phrase = c.tail),
+worst AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+sizes AS (SELECT lang, a, w, m, unnest(range(2, m)) AS s FROM many),
+places AS (SELECT lang, a, w, s, unnest(range(1, m - s + 2)) AS i FROM sizes),
+inner_ AS (SELECT lang, array_to_string(w[i:i + s - 1], ' ') AS phrase, max(a) AS longer FROM places GROUP BY ALL),
+kept AS (SELECT x.* FROM worst x LEFT JOIN inner_ i ON i.lang = x.lang AND i.phrase = x.phrase WHERE i.longer IS NULL OR 100 * i.longer < 80 * x.a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank::INTEGER AS rank, phrase, a, l, r, n, score FROM ranked JOIN n USING (lang) WHERE rank <= 2000
+"""
+ORACLES = {"op7_vafile": _SEARCH_SQL, "op4_line_dedup": _LINE_SQL, "op13_collocations": _PHRASE_SQL}
