@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from edgeloom import constants as K
 from edgeloom.functions.identifiers import pair_high, pair_low
+from edgeloom.operators import runs as R
 from edgeloom.operators.graph import require_empty
 from edgeloom.operators.ranking import hash_rank, key_hash
 from edgeloom.session import materialize
@@ -276,21 +277,20 @@ def message_edges(split: DataFrame) -> DataFrame:
 
 
 def holdout_degrees(nodes: DataFrame, context: DataFrame, positives: DataFrame) -> DataFrame:
-    """Degree on the context graph without the held-out pairs: ``protocol, seed, node_id, degree``."""
-    runs = positives.select(*SPLIT_KEYS).distinct()
-    base = context.select(F.explode(F.array("a", "b")).alias("node_id")).groupBy("node_id").agg(
-        F.count(F.lit(1)).alias("d"))
-    taken = (positives.filter(F.col("split") != "train").select(*SPLIT_KEYS, "a", "b").distinct()
-             .join(context.select("a", "b"), ["a", "b"], "left_semi")
-             .select(*SPLIT_KEYS, F.explode(F.array("a", "b")).alias("node_id"))
-             .groupBy(*SPLIT_KEYS, "node_id").agg(F.count(F.lit(1)).alias("r")))
-    listed = [(r[0], r[1]) for r in runs.collect()]                       # one entry per run, tens at most
-    packed = F.array(*[F.struct(F.lit(p).alias("protocol"), F.lit(s).alias("seed")) for p, s in listed])
-    full = (nodes.select("node_id").join(base, "node_id", "left")
-            .select("node_id", F.coalesce("d", F.lit(0)).alias("d"), F.explode(packed).alias("r"))
-            .select("node_id", "d", "r.*"))
-    return full.join(taken, [*SPLIT_KEYS, "node_id"], "left").select(
-        *SPLIT_KEYS, "node_id", (F.col("d") - F.coalesce("r", F.lit(0))).alias("degree"))
+    """Degree on the context graph without the held-out pairs: ``protocol, seed, node_id, degree``.
+
+    The runs without an edge are bits of one long, and what they lack is counted bit-sliced, so each edge is one row for all runs; nodes are
+    unfolded into runs last.
+    """
+    listed = [(r[0], r[1]) for r in positives.select(*SPLIT_KEYS).distinct().collect()]         # one entry per run, tens at most
+    runs = R.number_runs(nodes.sparkSession, listed)
+    base = context.select(F.explode(F.array("a", "b")).alias("node_id")).groupBy("node_id").agg(F.count(F.lit(1)).alias("d"))
+    held = positives.filter(F.col("split") != "train").select(*SPLIT_KEYS, "a", "b").join(context.select("a", "b"), ["a", "b"], "left_semi")
+    gone = R.masks(R.numbered(held, runs), ["a", "b"], name="gone").select("slab", "gone", F.explode(F.array("a", "b")).alias("node_id"))
+    taken = R.count_masks(gone, ["slab", "node_id"], "gone")
+    full = R.on_every_slab(nodes.select("node_id").join(base, "node_id", "left"), listed).join(taken, ["slab", "node_id"], "left")
+    out = R.each_run(full, "all").select("slab", "bit", "node_id", (F.coalesce("d", F.lit(0)) - F.coalesce(R.count_of("counts", "bit"), F.lit(0))).alias("degree"))
+    return R.named(out, runs).select(*SPLIT_KEYS, "node_id", "degree")
 
 
 def protocol_positives(pairs: DataFrame, nodes: DataFrame, seeds, protocols) -> DataFrame:

@@ -2,11 +2,11 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import HEADER_A, ROWS_A, ROWS_B
 from edgeloom.operators import evidence as E
 from edgeloom.operators import pairs as P
 from edgeloom.plans import atlas as A
 from edgeloom.sources.catalogs import read_catalog_a, read_catalog_b
+from tests.catalog_rows import HEADER_A, ROWS_A, ROWS_B
 
 
 def test_hits_inside_universe(hits):
