@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 from edgeloom import constants as K
 from edgeloom.functions.identifiers import pair_high, pair_low
 from edgeloom.operators.pairs import both_ways, candidate_pairs, canonical_pairs
-from edgeloom.session import materialize
+from edgeloom.session import discard, materialize
 
 
 def induced_edges(edges: DataFrame, nodes: DataFrame, *, same_group: bool = True) -> DataFrame:
@@ -193,7 +193,8 @@ def connected_components(nodes: DataFrame, edges: DataFrame, *, max_rounds: int
         least_of = down.groupBy("b").agg(F.min("a").alias("m"))
         small = down.join(least_of, "b").select(
             "m", F.explode(F.array("a", "b")).alias("dst")).select(F.col("m").alias("src"), "dst")
-        current = materialize(canonical_pairs(small))
+        before, current = current, materialize(canonical_pairs(small))
+        discard(before)
         now = signature(current)
         if now == seen:
             break
