@@ -71,7 +71,8 @@ def _words(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _powers(base: int, n: int) -> np.ndarray:
-    return np.cumprod(np.concatenate(([1], np.full(n, base, np.uint64))).astype(np.uint64), dtype=np.uint64)
+    """The powers 0 to n of ``base``, modulo 2^64."""
+    return np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n, base, np.uint64))), dtype=np.uint64)
 
 
 def anchors_of(data: list[bytes], n: int) -> tuple[list[np.ndarray], ...]:
