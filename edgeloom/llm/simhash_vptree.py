@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from edgeloom.llm.common import chunks, column_of, id_text, shuffle_width, texts_of
 from edgeloom.operators.graph import connected_components
-from edgeloom.session import materialize
+from edgeloom.session import discard, materialize
 
 RADIUS, SHINGLE = 2, 3
 SAMPLE = 1 << 16            # fingerprints the routing levels are built from
@@ -200,6 +200,8 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, n: int = SHINGLE) ->
 # ---------------------------------------------------------------- similarity 0.8 and more
 TILE = 4096                 # members of a tile; a larger key is worked on tile against tile
 STARS = 3                   # rounds in which one member of a key is compared with the others, before all that is left is paired
+BITMAP = 2048               # bits of a set's bitmap
+PER_PART = 512              # members that one copy of a centre's text serves
 HOT_DOCS, HOT = 1 << 13, 1 << 15    # documents the frequent shingles come from, and how many of them; they go last in the order, which changes the work only
 
 
@@ -241,29 +243,40 @@ def frequent(texts: DataFrame, n: int) -> np.ndarray:
     return np.array([r["key"] for r in reversed(rows)], np.int64).view(np.uint64)
 
 
+def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
+    """For each set of hashes the bits that its members fall on, as rows of unsigned longs."""
+    out = np.zeros((len(sets), BITMAP // 8), np.uint8)
+    for row, h in zip(out, sets):
+        at = (h >> np.uint64(7)).astype(np.int64) % BITMAP
+        np.bitwise_or.at(row, at >> 3, (1 << (at & 7)).astype(np.uint8))
+    return out.view("<u8")
+
+
 def prefixes(texts: DataFrame, n: int, similarity: float, hot: np.ndarray) -> DataFrame:
-    """``nid, size, key, pos``: the first shingles of every set in one order of all shingles, as many as two similar sets cannot both do without."""
+    """``nid, size, key, pos, bits``: the first shingles of every set in one order of all shingles, as many as two similar sets cannot both do without;
+    the row of the first one holds the bitmap of the set."""
     order = np.argsort(hot)
     held = hot[order]
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches):
-            keys, sizes = [], []
-            for t in texts_of(part):
-                h = _hashes(t, n)
-                sizes.append(len(h))
+            keys, sets = [], [_hashes(t, n) for t in texts_of(part)]
+            for h in sets:
+                size = len(h)
                 if len(held):
                     at = np.minimum(np.searchsorted(held, h), len(held) - 1)
                     rank = np.where(held[at] == h, order[at] + 1, 0)
                     h = h[np.argsort(rank, kind="stable")]
-                keys.append(h[:len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1])
+                keys.append(h[:size - int(np.ceil(similarity * size - 1e-9)) + 1])
             length = np.array([len(k) for k in keys])
             take = np.repeat(np.arange(len(keys)), length)
             pos = np.arange(len(take)) - np.repeat(np.cumsum(length) - length, length)
-            yield pa.RecordBatch.from_arrays([column_of(part, "nid").take(pa.array(take)), pa.array(np.array(sizes)[take], pa.int32()),
-                                              pa.array(np.concatenate(keys).view(np.int64)), pa.array(pos, pa.int32())], ["nid", "size", "key", "pos"])
+            bits = pa.array(list(bitmaps(sets).view(np.int64)), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([column_of(part, "nid").take(pa.array(take)), pa.array(np.array([len(h) for h in sets])[take], pa.int32()),
+                                              pa.array(np.concatenate(keys).view(np.int64)), pa.array(pos, pa.int32()),
+                                              bits.take(pa.array(np.where(pos == 0, take, 0), mask=pos != 0))], ["nid", "size", "key", "pos", "bits"])
 
-    return texts.mapInArrow(run, "nid bigint, size int, key bigint, pos int")
+    return texts.mapInArrow(run, "nid bigint, size int, key bigint, pos int, bits array<bigint>")
 
 
 def _deal_tiles(members: DataFrame, keys: list[str], carry: list[str]) -> DataFrame:
@@ -296,27 +309,45 @@ def may_be_similar(size, pos, size2, pos2, similarity: float, least=np.minimum):
     return both >= similarity / (1 + similarity) * (size + size2) - 1e-6
 
 
+def most_apart(size, size2, similarity: float):
+    """The most shingles that can stand in only one of two sets of these sizes and of the similarity."""
+    return (1 - similarity) / (1 + similarity) * (size + size2) + 1e-6
+
+
 def star_pairs(members: DataFrame, similarity: float) -> DataFrame:
-    """``a, center``: each member of a key with the key's ``center``, if both may be similar."""
+    """``a, center``: each member of a key with the key's ``center``, if both may be similar and are not in one component."""
     fits = may_be_similar(F.col("size"), F.col("pos"), F.col("c_size"), F.col("c_pos"), similarity, F.least)
-    return members.filter((F.col("nid") != F.col("center")) & fits).select(F.col("nid").alias("a"), "center").distinct()
+    return members.filter((F.col("component") != F.col("c_component")) & fits).select(F.col("nid").alias("a"), "center").distinct()
+
+
+def near_bitmaps(pairs: DataFrame, signs: DataFrame, similarity: float) -> DataFrame:
+    """The ``pairs`` (a, center) without those whose bitmaps (``nid, size, bits``) already differ in more bits than similar sets can."""
+    left = signs.select(F.col("nid").alias("a"), F.col("size").alias("_size"), F.col("bits").alias("_bits"))
+    right = signs.select(F.col("nid").alias("center"), F.col("size").alias("_size2"), F.col("bits").alias("_bits2"))
+    apart = F.aggregate(F.zip_with("_bits", "_bits2", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    return pairs.join(left, "a").join(right, "center").filter(apart <= most_apart(F.col("_size"), F.col("_size2"), similarity)).select("a", "center")
 
 
 def other_pairs(members: DataFrame, similarity: float) -> DataFrame:
-    """``a, center``: all pairs of members of a key that may be similar and are in different components."""
+    """``a, center``: all pairs of members of a key (``nid, size, key, pos, component, bits``) that may be similar and are in different components."""
     def inside(group: pa.Table) -> pa.Table:
         size, pos, part = (group.column(c).combine_chunks().to_numpy() for c in ("size", "pos", "component"))
+        bits = group.column("bits").combine_chunks().flatten().to_numpy().reshape(-1, BITMAP // 64)
 
         def work(own):
             found = []
             for i in range(0, len(own), 256):
                 x, y = own[i:i + 256, None], own[None, :]
                 a, b = np.nonzero((part[x] != part[y]) & may_be_similar(size[x], pos[x], size[y], pos[y], similarity))
-                found.append((i + a[i + a < b], b[i + a < b]))
-            return tuple(np.concatenate(f) for f in zip(*found))
+                a, b = i + a[i + a < b], b[i + a < b]
+                for j in range(0, len(a), 1 << 14):
+                    p, q = own[a[j:j + (1 << 14)]], own[b[j:j + (1 << 14)]]
+                    near = np.bitwise_count(bits[p] ^ bits[q]).sum(axis=1) <= most_apart(size[p], size[q], similarity)
+                    found.append((a[j:j + (1 << 14)][near], b[j:j + (1 << 14)][near]))
+            return tuple(np.concatenate(f) for f in zip(*found)) if found else (np.empty(0, np.int64),) * 2
         return _per_shard(group, work)
 
-    pairs = _deal_tiles(members, ["key"], ["size", "pos", "component"]).groupBy("bin").applyInArrow(inside, "src bigint, dst bigint")
+    pairs = _deal_tiles(members, ["key"], ["size", "pos", "component", "bits"]).groupBy("bin").applyInArrow(inside, "src bigint, dst bigint")
     return pairs.select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("center")).distinct()
 
 
@@ -331,37 +362,53 @@ def jaccard(one: np.ndarray, values: np.ndarray, starts: np.ndarray, ends: np.nd
 
 
 def similar_links(pairs: DataFrame, texts: DataFrame, n: int, similarity: float) -> DataFrame:
-    """``src, dst``: the pairs whose sets of shingles are similar, counted over all shingles."""
+    """``src, dst``: the pairs whose sets of shingles are similar, counted over all shingles.
+
+    Each member's text meets its centre's once; a centre's text travels once for every ``PER_PART`` members, ahead of them in sort order.
+    """
     def run(batches) -> Iterator[pa.RecordBatch]:
-        held, one = None, None
-        for batch in batches:
+        one = None
+        for part in chunks(batches):
             src, dst = [], []
-            for a, center, text, other in zip(*(batch.column(i) for i in range(4))):
-                a, center = a.as_py(), center.as_py()
-                if center != held:
-                    held, one = center, _hashes(other.as_py(), n)
-                h = _hashes(text.as_py(), n)
-                if jaccard(one, h, np.array([0]), np.array([len(h)]))[0] >= similarity:
+            for center, a, text in zip(column_of(part, "center").to_pylist(), column_of(part, "a").to_pylist(), texts_of(part)):
+                h = _hashes(text, n)
+                if a is None:
+                    one = h
+                elif jaccard(one, h, np.array([0]), np.array([len(h)]))[0] >= similarity:
                     src.append(a)
                     dst.append(center)
             yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
 
-    left = pairs.join(texts.select(F.col("nid").alias("a"), "text"), "a")
-    whole = left.join(texts.select(F.col("nid").alias("center"), F.col("text").alias("other")).hint("merge"), "center")
-    return whole.select("a", "center", "text", "other").mapInArrow(run, "src bigint, dst bigint").distinct()
+    centers = pairs.groupBy("center").agg(F.ceil(F.count(F.lit(1)) / PER_PART).cast("int").alias("parts"))
+    members = pairs.join(centers, "center").select("center", F.pmod(F.xxhash64("a"), "parts").cast("int").alias("part"), "a")
+    heads = centers.select("center", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("bigint").alias("a"))
+    rows = members.union(heads).withColumn("nid", F.coalesce("a", "center")).join(texts, "nid").select("center", "part", "a", "text")
+    ahead = rows.repartition("center", "part").sortWithinPartitions("center", "part", F.asc_nulls_first("a"))
+    return ahead.mapInArrow(run, "src bigint, dst bigint").distinct()
 
 
 def similar_classes(texts: DataFrame, n: int, similarity: float) -> DataFrame:
     """``nid, component`` of the nodes (``nid, text``) that have a link; no pair of the similarity is lost."""
-    first = prefixes(texts, n, similarity, frequent(texts, n))
+    first = materialize(prefixes(texts, n, similarity, frequent(texts, n)))
+    signs = materialize(first.filter("pos = 0").select("nid", "size", "bits"))
     shared = first.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select("key")
-    members = materialize(first.join(shared, "key"))
-    links = None
+    members = materialize(first.select("nid", "size", "key", "pos").join(shared, "key").withColumn("component", F.col("nid")))
+    discard(first)
+    links, judged = None, None
     for turn in range(STARS):
-        center = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("nid", F.lit(turn)).alias("draw"), "nid", "size", "pos")).alias("c"))
-        center = center.filter(F.col("n") > 1).select("key", F.col("c.nid").alias("center"), F.col("c.size").alias("c_size"), F.col("c.pos").alias("c_pos"))
+        draw = F.struct(F.xxhash64("nid", F.lit(turn)).alias("draw"), "nid", "size", "pos", "component")
+        center = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(draw).alias("c")).filter(F.col("n") > 1).select(
+            "key", F.col("c.nid").alias("center"), F.col("c.size").alias("c_size"), F.col("c.pos").alias("c_pos"), F.col("c.component").alias("c_component"))
         dealt = materialize(members.join(center, "key"))
-        found = materialize(similar_links(materialize(star_pairs(dealt, similarity)), texts, n, similarity))
+        discard(members)
+        proposed = star_pairs(dealt, similarity).withColumns({"x": F.least("a", "center"), "y": F.greatest("a", "center")})
+        if judged is not None:
+            proposed = proposed.join(judged, ["x", "y"], "left_anti")
+        proposed = materialize(proposed)
+        pairs = materialize(near_bitmaps(proposed.select("a", "center"), signs, similarity))
+        found = materialize(similar_links(pairs, texts, n, similarity))
+        discard(pairs)
+        judged = proposed.select("x", "y") if judged is None else judged.union(proposed.select("x", "y"))
         links = found if links is None else links.union(found)
         named = materialize(_named(links))
         # a key is done with its center, and with all members once they are in one component
@@ -369,7 +416,11 @@ def similar_classes(texts: DataFrame, n: int, similarity: float) -> DataFrame:
                 .withColumn("component", F.coalesce("component", "nid")))
         open_ = rest.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter(F.col("x") < F.col("y")).select("key")
         members = materialize(rest.join(open_, "key"))
-    found = materialize(similar_links(materialize(other_pairs(members, similarity)), texts, n, similarity))
+        discard(dealt, named)
+    pairs = materialize(other_pairs(members.join(signs.select("nid", "bits"), "nid"), similarity))
+    discard(members, signs)
+    pairs = pairs.withColumns({"x": F.least("a", "center"), "y": F.greatest("a", "center")}).join(judged, ["x", "y"], "left_anti").select("a", "center")
+    found = materialize(similar_links(pairs, texts, n, similarity))
     return _named(links.union(found))
 
 
@@ -399,5 +450,5 @@ def keep_first(docs: DataFrame, n: int = 5, similarity: float = 0.8) -> DataFram
     stay = materialize(stay)
     keyed = docs.withColumns({"__own_id": docs["doc_id"].cast("bigint"), "__own_row": F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))})
     kept = keyed.join(stay, keyed["__own_id"].eqNullSafe(stay["__id"]) & (keyed["__own_row"] == stay["__row"]), "left_semi")
-    once = Window.partitionBy("__own_id", "__own_row").orderBy(F.lit(0))
+    once = Window.partitionBy("__own_id", "__own_row").orderBy(F.xxhash64(F.to_json(F.struct(*docs.columns))))
     return kept.withColumn("__n", F.row_number().over(once)).filter(F.col("__n") == 1).select(*docs.columns)

@@ -195,14 +195,27 @@ def test_keep_first_links_equal_sets_nearly_and_texts_of_other_repeats(spark, do
     assert {r["doc_id"] for r in simhash_vptree.keep_first(docs(rows)).collect()} == set(range(0, 40, 2))
 
 
-def test_sketch_similarity_is_exact_for_short_and_near_for_long_texts():
+def test_similarity_is_exact_for_texts_of_any_length():
     rng = np.random.default_rng(22)
-    for size, error in ((300, 0), (20_000, 0.09)):
+    for size in (300, 20_000):
         a = rng.integers(0, 1 << 63, size, dtype=np.uint64)
         b = np.concatenate((a[:int(size * 0.8)], rng.integers(0, 1 << 63, size // 5, dtype=np.uint64)))
         sa, sb = simhash_vptree.sketch_of(a), simhash_vptree.sketch_of(b)
         got = simhash_vptree.jaccard(sa, np.concatenate((sb, sa)), np.array([0, len(sb)]), np.array([len(sb), len(sb) + len(sa)]))
-        assert got[1] == 1 and abs(got[0] - len(np.intersect1d(a, b)) / len(np.union1d(a, b))) <= error
+        assert got[1] == 1 and abs(got[0] - len(np.intersect1d(a, b)) / len(np.union1d(a, b))) < 1e-12
+
+
+def test_bitmaps_never_tell_similar_sets_apart():
+    rng = np.random.default_rng(25)
+    for size in (5, 60, 900, 6000):
+        a = np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64))
+        for share in (0.8, 0.85, 0.95, 1.0):
+            b = np.unique(np.concatenate((a[:int(np.ceil(size * share))], rng.integers(0, 1 << 63, int(size * (1 - share)), dtype=np.uint64))))
+            one, two = simhash_vptree.bitmaps([a, b])
+            apart = int(np.bitwise_count(one ^ two).sum())
+            assert apart <= len(np.setxor1d(a, b))
+            if len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b)):
+                assert apart <= simhash_vptree.most_apart(len(a), len(b), 0.8)
 
 
 # ------------------------------------------------------------------ lines
@@ -359,3 +372,15 @@ def test_every_passage_of_fifty_words_is_found_with_its_borders(spark, docs):
             want.add((d, words[hit[0]][0], words[hit[-1] + 49][1], hit[-1] - hit[0] + 50))
     got = {(r["doc_id"], r["start"], r["end"], r["n_words"]) for r in substring.repeated_runs(docs(rows)).collect()}
     assert len(want) >= 110 and got == want
+
+
+def test_anchor_keys_tell_anchors_apart():
+    """Powers are whole numbers, and different anchors have different keys."""
+    powers = substring._powers(substring._BASE, 40)
+    assert powers.dtype == np.uint64 and [int(p) for p in powers] == [pow(substring._BASE, k, 1 << 64) for k in range(41)]
+    rng = np.random.default_rng(44)
+    texts = [" ".join(f"w{i}" for i in rng.integers(0, 50_000, 400)) for _ in range(60)]
+    _, _, seqs, _, keys = substring.anchors_of([t.encode() for t in texts + texts[:5]], 50)
+    distinct = {k for own in keys[:60] for k in own.tolist()}
+    assert len(distinct) == sum(map(len, keys[:60]))
+    assert all(np.array_equal(a, b) for a, b in zip(keys[60:], keys[:5]))
