@@ -1015,6 +1015,15 @@ def _(x):
     return _rounded_stability(M.most_stable(_stability(x)))
 
 
+@query("logreg_optimum", sql(["split"], """
+SELECT protocol, seed, count(*) AS n_train, CAST(sum(label) AS BIGINT) AS n_pos, 0.0::DOUBLE AS gradient FROM split WHERE split = 'train'
+GROUP BY ALL HAVING sum(label) BETWEEN 1 AND count(*) - 1"""))
+def _(x):
+    """All protocols and seeds fitted together; at each optimum the slope of the penalised loss is zero."""
+    out = B.logistic_optimum(B.run_features(_split(x), _context_pairs(x), FE.bucket_flags(x.nodes, x.locations)))
+    return out.withColumn("gradient", F.round("gradient", 4))
+
+
 @query("logreg_scores")
 def _(x):
     split = SP.protocol_split(x.physical_pairs, x.nodes, _context_pairs(x), [0], ("edge_random",))
