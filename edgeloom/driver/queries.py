@@ -902,8 +902,10 @@ def _(x):
 
 @query("pair_encoding", sql(["context", "vecs"], """
 SELECT c.a, c.b, round(CAST(x.v[1] AS DOUBLE), 6) AS left_first, round(CAST(y.v[1] AS DOUBLE), 6) AS right_first,
- round(list_sum(list_transform(range(1, 65), lambda i: abs(CAST(x.v[i] AS DOUBLE) - CAST(y.v[i] AS DOUBLE)))), 5) AS gap
-FROM context c JOIN vecs x ON x.node_id = c.a JOIN vecs y ON y.node_id = c.b"""))
+ round(g.gap, 5) AS gap FROM context c JOIN vecs x ON x.node_id = c.a JOIN vecs y ON y.node_id = c.b JOIN gaps g ON g.a = c.a AND g.b = c.b""",
+ """slots AS (SELECT node_id, unnest(v) AS s, generate_subscripts(v, 1) AS i FROM vecs),
+gaps AS (SELECT c.a, c.b, sum(abs(CAST(x.s AS DOUBLE) - CAST(y.s AS DOUBLE))) AS gap FROM context c
+ JOIN slots x ON x.node_id = c.a JOIN slots y ON y.node_id = c.b AND y.i = x.i GROUP BY 1, 2)"""))
 def _(x):
     wide = x.features.select("node_id", F.col("vector").cast("array<double>").alias("vector"))
     enc = FE.encode_pairs(_context_pairs(x), wide)

@@ -8,6 +8,7 @@ from edgeloom import constants as K
 from edgeloom import schema as S
 from edgeloom.functions.identifiers import normalize_score, resolve_headers
 from edgeloom.operators.ranking import first_per_key
+from edgeloom.sources.proof import read_proved, write_proved
 
 
 # --- scored edges and channels ------------------------------------------------
@@ -142,21 +143,22 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def write_features(features: DataFrame, path: str) -> None:
-    features.select("node_id", F.col("vector").cast("array<float>").alias("vector")).write.mode(
-        "overwrite").parquet(path)
+    write_proved(features.select("node_id", F.col("vector").cast("array<float>").alias("vector")), path)
 
 
 def read_features(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(S.FEATURE).parquet(path)
+    """Vectors as they were written; ``BrokenTable`` where files are lost or changed."""
+    return read_proved(spark, path, S.FEATURE)
 
 
 def write_splits(split: DataFrame, path: str) -> None:
     """Frozen splits, replayable by protocol and seed through partition pruning."""
-    split.write.mode("overwrite").partitionBy("protocol", "seed").parquet(path)
+    write_proved(split, path, partition_by=("protocol", "seed"))
 
 
 def read_splits(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    """Splits are replayed only if their digest agrees with what was frozen."""
+    return read_proved(spark, path)
 
 
 def write_summary(df: DataFrame, path: str) -> None:
