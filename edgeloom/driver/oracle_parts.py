@@ -1,9 +1,14 @@
 """SQL building blocks for the oracles: the driver-table mapping and shared steps, as named CTEs."""
 from __future__ import annotations
 
+import math
+
 from edgeloom import constants as K
 from edgeloom.driver import inputs as I
 
+TOLERANCE = 0.35
+UP, DOWN = math.exp(TOLERANCE), math.exp(-TOLERANCE)
+
 
 def acc(key: str) -> str:
     low, high = f"lpad(CAST(({key}) % 10000000 AS VARCHAR), 7, '0')", f"(({key}) // 10000000)"
@@ -43,6 +48,56 @@ def is_pair(a: str = "ra", b: str = "rb") -> str:
     return f"(({a} IN ('a','both') AND {b} IN ('b','both')) OR ({b} IN ('a','both') AND {a} IN ('b','both')))"
 
 
+def same(x: str, y: str) -> str:
+    return " AND ".join(f"{x}.{c} = {y}.{c}" for c in [*PK, "group_id"])
+
+
+def _found_sql(ranked: str, cell: str) -> str:
+    """Slots and drawn pairs with the same number in a cell."""
+    return f"""
+ SELECT {', '.join('p.' + c for c in [*PK, 'group_id'])}, s.a AS slot_a, s.b AS slot_b, p.a, p.b, abs(ln(p.product + 1.0) - ln(s.product + 1.0)) AS gap
+ FROM {ranked} p JOIN {ranked} s ON p.src = 'pool' AND s.src = 'slot' AND p.number = s.number AND {same('p', 's')}
+ AND {' AND '.join(f'p.{c} = s.{c}' for c in cell.split(', '))}"""
+
+
+def left_sql(source: str, found: str) -> str:
+    """Rows of both sides that a step did not match."""
+    return f"""
+ SELECT r.* FROM {source} r ANTI JOIN (SELECT 'pool' AS src, {OWN}, a, b FROM {found}
+  UNION ALL SELECT 'slot', {OWN}, slot_a, slot_b FROM {found}) f ON r.src = f.src AND r.a = f.a AND r.b = f.b AND {same('r', 'f')}"""
+
+
+def cells_sql(name: str, source: str, cell: str) -> dict:
+    """One step of the matching by degree product: number by number in hash order inside each cell."""
+    return {
+        f"{name}_ranked": ([source], f"SELECT *, row_number() OVER (PARTITION BY src, {OWN}, {cell} ORDER BY h, a, b) AS number FROM {source}"),
+        f"{name}_found": ([f"{name}_ranked"], _found_sql(f"{name}_ranked", cell)),
+        f"{name}_left": ([source, f"{name}_found"], left_sql(source, f"{name}_found")),
+    }
+
+
+def border_sql(name: str, source: str, odd: int) -> dict:
+    """Matching over every second border of two bands: slots served in order of their reach, each by the next drawn pair that fits."""
+    side = f"{OWN}, block, way"
+    return {
+        f"{name}_placed": ([source], f"""
+ SELECT *, CAST(CASE WHEN src = 'pool' THEN CASE WHEN way THEN product ELSE -product END
+   WHEN way THEN floor((product + 1.0::DOUBLE) * {UP!r}::DOUBLE) - 1 ELSE 1 - ceil((product + 1.0::DOUBLE) * {DOWN!r}::DOUBLE) END AS BIGINT) AS x
+ FROM (SELECT *, floor((band + {odd}) / 2) AS block, ((CAST(band AS BIGINT) + {odd}) % 2 = 0) = (src = 'slot') AS way FROM {source})"""),
+        f"{name}_seen": ([f"{name}_placed"], f"""
+ SELECT *, row_number() OVER (PARTITION BY src, {side} ORDER BY x, h, a, b) AS j,
+  count(*) FILTER (src = 'pool') OVER (PARTITION BY {side} ORDER BY x RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS fitting FROM {name}_placed"""),
+        f"{name}_served": ([f"{name}_seen"], f"""
+ SELECT *, j + least(0, min(fitting - j) OVER (PARTITION BY {side} ORDER BY j ROWS UNBOUNDED PRECEDING)) AS served FROM {name}_seen WHERE src = 'slot'"""),
+        f"{name}_ranked": ([f"{name}_seen", f"{name}_served"], f"""
+ SELECT * EXCLUDE (j, fitting), j AS number FROM {name}_seen WHERE src = 'pool' UNION ALL
+ SELECT * EXCLUDE (j, fitting, served, before), served FROM (
+  SELECT *, lag(served, 1, 0) OVER (PARTITION BY {side} ORDER BY j) AS before FROM {name}_served) WHERE served > before"""),
+        f"{name}_found": ([f"{name}_ranked"], _found_sql(f"{name}_ranked", "block, way")),
+        f"{name}_left": ([source, f"{name}_found"], left_sql(source, f"{name}_found")),
+    }
+
+
 def sizes(n: str, ratios, rule: str) -> tuple[str, str]:
     cut = (lambda x: f"CAST(floor({x}) AS BIGINT)") if rule == "floor" else (
         lambda x: f"CAST(round_even({x}, 0) AS BIGINT)")
@@ -88,6 +143,7 @@ def take_sql(pool: str, wanted: str, keys: list[str], first: str = "") -> str:
 
 SEEDS20 = "(SELECT CAST(unnest(range(20)) AS INTEGER) AS seed)"
 PK = ["protocol", "seed", "split"]
+OWN = ", ".join([*PK, "group_id"])
 RUN = ["protocol", "seed"]
 
 _channel_exprs = {
@@ -229,33 +285,27 @@ CTES: dict[str, tuple[list[str], str]] = {
    SEMI JOIN context c ON c.a = p.a AND c.b = p.b) GROUP BY ALL) t
   ON t.protocol = r.protocol AND t.seed = r.seed AND t.u = n.node_id"""),
     "neg_uniform": (["pool", "wanted"], take_sql("(SELECT * FROM pool WHERE protocol <> 'degree_matched')", "wanted", PK)),
-    "banded": (["pos", "pool", "run_deg"], f"""
- SELECT src, {', '.join(PK)}, group_id, a, b, band, row_number() OVER (
-   PARTITION BY src, {', '.join(PK)}, group_id, band ORDER BY md5(concat_ws('|', {', '.join(PK)}, a, b)), a, b) AS rk FROM (
-  SELECT q.*, floor(ln(CAST(x.degree * y.degree AS DOUBLE) + 1.0) / 0.35) AS band FROM (
+    "measured": (["pos", "pool", "run_deg"], f"""
+ SELECT q.*, CAST(x.degree * y.degree AS BIGINT) AS product, floor(ln(CAST(x.degree * y.degree AS DOUBLE) + 1.0) / {TOLERANCE}) AS band,
+  md5(concat_ws('|', {', '.join('q.' + c for c in PK)}, q.a, q.b)) AS h FROM (
    SELECT 'slot' AS src, {', '.join(PK)}, group_id, a, b FROM pos WHERE protocol = 'degree_matched'
    UNION ALL SELECT 'pool', {', '.join(PK)}, group_id, a, b FROM pool WHERE protocol = 'degree_matched') q
   JOIN run_deg x ON x.protocol = q.protocol AND x.seed = q.seed AND x.node_id = q.a
-  JOIN run_deg y ON y.protocol = q.protocol AND y.seed = q.seed AND y.node_id = q.b)"""),
-    "matched": (["banded"], f"""
- SELECT {', '.join('p.' + c for c in PK)}, p.a, p.b, p.group_id FROM banded p JOIN banded s
- ON p.src = 'pool' AND s.src = 'slot' AND p.rk = s.rk AND p.band = s.band AND {' AND '.join(f'p.{c} = s.{c}' for c in [*PK, 'group_id'])}"""),
-    "missing": (["wanted", "matched"], f"""
- SELECT {', '.join('w.' + c for c in [*PK, 'group_id'])}, w.n - coalesce(g.got, 0) AS n FROM wanted w LEFT JOIN (
-  SELECT {', '.join(PK)}, group_id, count(*) AS got FROM matched GROUP BY ALL) g
- ON {' AND '.join(f'w.{c} = g.{c}' for c in [*PK, 'group_id'])} WHERE w.protocol = 'degree_matched'"""),
-    "near": (["banded"], f"""
- SELECT {', '.join('p.' + c for c in [*PK, 'group_id'])}, p.band, min(abs(p.band - d.band)) AS far
- FROM (SELECT DISTINCT {', '.join(PK)}, group_id, band FROM banded WHERE src = 'pool') p
- JOIN (SELECT {', '.join(PK)}, group_id, band FROM banded GROUP BY ALL
-  HAVING count(*) FILTER (src = 'slot') > count(*) FILTER (src = 'pool')) d
- ON {' AND '.join(f'p.{c} = d.{c}' for c in [*PK, 'group_id'])} GROUP BY ALL"""),
-    "spare": (["banded", "near", "matched"], f"""
- SELECT p.*, n.far FROM (SELECT * FROM banded WHERE src = 'pool') p
- JOIN near n ON n.band = p.band AND {' AND '.join(f'p.{c} = n.{c}' for c in [*PK, 'group_id'])}
- ANTI JOIN matched m ON {' AND '.join(f'p.{c} = m.{c}' for c in [*PK, 'a', 'b'])}"""),
+  JOIN run_deg y ON y.protocol = q.protocol AND y.seed = q.seed AND y.node_id = q.b"""),
+    **cells_sql("equal", "measured", "product"),
+    **cells_sql("band", "equal_left", "band"),
+    **border_sql("even", "band_left", 0),
+    **border_sql("odd", "even_left", 1),
+    "matched": (["equal_found", "band_found", "even_found", "odd_found"], " UNION ALL ".join(
+        f"SELECT *, '{step}' AS step FROM {name}_found" for name, step in (("equal", "equal"), ("band", "band"), ("even", "border"), ("odd", "border")))),
+    "missing": (["odd_left"], f"SELECT {OWN}, count(*) AS n FROM odd_left WHERE src = 'slot' GROUP BY ALL"),
+    "near": (["odd_left"], f"""
+ SELECT p.* EXCLUDE (src), min(abs(p.band - d.band)) AS far FROM (SELECT DISTINCT src, {OWN}, band FROM odd_left) p
+ JOIN (SELECT DISTINCT {OWN}, band FROM odd_left WHERE src = 'slot') d ON p.src = 'pool' AND {same('p', 'd')} GROUP BY ALL"""),
+    "spare": (["odd_left", "near"], f"""
+ SELECT p.* EXCLUDE (src, product, h), n.far FROM odd_left p JOIN near n ON p.src = 'pool' AND n.band = p.band AND {same('p', 'n')}"""),
     "neg_matched": (["matched", "spare", "missing"], f"SELECT {', '.join(PK)}, a, b, group_id FROM matched UNION ALL SELECT * FROM ("
-                    + take_sql("(SELECT * EXCLUDE (rk) FROM spare)", "missing", PK, "far, ") + ")"),
+                    + take_sql("spare", "missing", PK, "far, ") + ")"),
     "split": (["pos", "neg_uniform", "neg_matched"], f"""
  SELECT {', '.join(PK)}, 1 AS label, a, b, group_id FROM pos
  UNION ALL SELECT {', '.join(PK)}, 0, a, b, group_id FROM neg_uniform

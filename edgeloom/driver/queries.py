@@ -804,6 +804,19 @@ def _(x):
     return checksum(SP.degree_matched_negatives(pos, PK, x.nodes, x.physical_pairs, deg), "seed", "split")
 
 
+@query("negative_gaps", sql(["matched", "missing"], """
+SELECT seed, split, step, count(*) AS n, round(max(gap), 6) AS widest, round(sum(gap), 4) AS total FROM matched GROUP BY ALL UNION ALL
+SELECT seed, split, 'none fits', CAST(sum(n) AS BIGINT), NULL, NULL FROM missing GROUP BY ALL"""))
+def _(x):
+    """How near in log degree product each step of the matching comes; no gap passes 0.35, and no free drawn pair fits a positive of 'none fits'."""
+    pos = SP.split_edges_random(x.physical_pairs, SEEDS, protocol="degree_matched")
+    found, slots, _ = SP.degree_matches(pos, PK, x.nodes, x.physical_pairs, SP.holdout_degrees(x.nodes, _context_pairs(x), pos))
+    steps = found.groupBy("seed", "split", "step").agg(n_rows(), F.round(F.max("gap"), 6).alias("widest"), F.round(F.sum("gap"), 4).alias("total"))
+    none = F.lit(None).cast("double")
+    return steps.unionByName(slots.groupBy("seed", "split").agg(n_rows()).select(
+        "seed", "split", F.lit("none fits").alias("step"), "n", none.alias("widest"), none.alias("total")))
+
+
 def _split(x: Inputs) -> DataFrame:
     return SP.protocol_split(x.physical_pairs, x.nodes, _context_pairs(x), SEEDS)
 

@@ -67,6 +67,20 @@ def running_totals(hist: DataFrame, keys: list[str], value: str, measures: list[
     return out.drop("_part", *[f"_before_{m}" for m in measures])
 
 
+def running_lows(df: DataFrame, keys: list[str], value: str, measure: str, *, name: str) -> DataFrame:
+    """Add ``name``: the least ``measure`` of the key's rows with a smaller ``value`` (null: none); one row per key and value.
+
+    Range-sorted and written like ``running_totals``, so no window holds more than a sort partition.
+    """
+    placed = materialize(df.orderBy(*keys, value).withColumn("_part", F.spark_partition_id()))
+    lows = placed.groupBy(*keys, "_part").agg(F.min(measure).alias("_low"))
+    before = Window.partitionBy(*_partition(keys)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = lows.select(*keys, "_part", F.min("_low").over(before).alias("_before"))
+    inside = Window.partitionBy(*keys, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    return (placed.join(offsets, [*keys, "_part"]).withColumn(name, F.least("_before", F.min(measure).over(inside)))
+            .drop("_part", "_before"))
+
+
 def average_ranks(hist: DataFrame, keys: list[str], value: str, weight: str, *, name: str) -> DataFrame:
     """Mean rank of every distinct value when ``weight`` rows share it (ascending)."""
     run = running_totals(hist, keys, value, [weight])

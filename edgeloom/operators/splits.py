@@ -14,6 +14,7 @@ from edgeloom import constants as K
 from edgeloom.functions.identifiers import pair_high, pair_low
 from edgeloom.operators import runs as R
 from edgeloom.operators.graph import require_empty
+from edgeloom.operators.matching import band_of, match_products
 from edgeloom.operators.ranking import hash_rank, key_hash
 from edgeloom.session import materialize
 
@@ -200,41 +201,39 @@ def _take_nearest(pairs: DataFrame, keys: list[str], wanted: DataFrame) -> DataF
     return ranked.filter(F.col("_nearer") + F.col("rank") <= F.col("n")).select(*keys, "a", "b", "group_id")
 
 
-def degree_matched_negatives(positives: DataFrame, keys: list[str], nodes: DataFrame, forbidden: DataFrame,
-                             degree: DataFrame, *, draws: int = 4) -> DataFrame:
-    """One negative per positive with a degree product in the same log band of width 0.35.
+def degree_matches(positives: DataFrame, keys: list[str], nodes: DataFrame, forbidden: DataFrame, degree: DataFrame, *,
+                   draws: int = 4) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Drawn pairs matched one to one to the positives by degree product, positives and drawn pairs left over; see ``match_products``.
 
-    Positives and drawn pairs of a band are numbered in hash order and matched number by number, which
-    is one to one without a sequential memory.  Where bands run dry, the drawn pairs that are left fill in, those in the band nearest to
-    a dry one first.  ``degree`` holds ``protocol, seed, node_id, degree``.  The pool and the
-    matches are read several times, so they are written once instead of being recomputed.
+    ``degree`` holds ``protocol, seed, node_id, degree``; a node without a row counts as 0.
     """
-    wanted = materialize(wanted_negatives(positives, keys))
-    pool = negative_pool(positives, keys, nodes, forbidden, wanted, draws=draws)
-    own = [*keys, "group_id"]
+    pool = negative_pool(positives, keys, nodes, forbidden, materialize(wanted_negatives(positives, keys)), draws=draws)
 
-    def banded(pairs):
+    def measured(pairs):
         def of(end):
             return degree.select(*SPLIT_KEYS, F.col("node_id").alias(end), F.col("degree").alias("_d" + end))
         met = pairs.join(of("a"), [*SPLIT_KEYS, "a"], "left").join(of("b"), [*SPLIT_KEYS, "b"], "left")
         product = F.coalesce("_da", F.lit(0)) * F.coalesce("_db", F.lit(0))
-        band = F.floor(F.log(product.cast("double") + 1.0) / F.lit(K.LOG_DEGREE_TOLERANCE))
-        tagged = met.withColumn("band", band).withColumn("_h", key_hash(*keys, "a", "b")).drop("_da", "_db")
-        return materialize(hash_rank(materialize(tagged), [*own, "band"], "_h", ["a", "b"]))
-
-    slots = banded(positives.select(*keys, "a", "b", "group_id")).select(*own, "band", "rank")
-    drawn = banded(pool)
-    matched = materialize(drawn.join(slots, [*own, "band", "rank"]).select(*keys, "a", "b", "group_id"))
-    got = matched.groupBy(*own).agg(F.count(F.lit(1)).alias("got"))
-    missing = (wanted.join(got, own, "left").select(*own, (F.col("n") - F.coalesce("got", F.lit(0))).alias("n")).filter("n > 0"))
+        return materialize(met.withColumn("product", product.cast("bigint")).withColumn("_h", key_hash(*keys, "a", "b")).drop("_da", "_db"))
+
+    return match_products(measured(positives.select(*keys, "a", "b", "group_id")), measured(pool), [*keys, "group_id"])
+
+
+def degree_matched_negatives(positives: DataFrame, keys: list[str], nodes: DataFrame, forbidden: DataFrame,
+                             degree: DataFrame, *, draws: int = 4) -> DataFrame:
+    """One negative per positive, its log degree product within 0.35 of the positive's wherever a free drawn pair is.
+
+    Positives that no free drawn pair fits get the drawn pairs that are left, those in the band nearest to such a positive first.
+    """
+    own = [*keys, "group_id"]
+    found, slots, spare = degree_matches(positives, keys, nodes, forbidden, degree, draws=draws)
+    missing = slots.groupBy(*own).agg(F.count(F.lit(1)).alias("n"))
     # bands per key and group: a few dozen, whatever the number of pairs
-    size = slots.groupBy(*own, "band").agg(F.max("rank").alias("slots"))
-    held = drawn.groupBy(*own, "band").agg(F.max("rank").alias("drawn"))
-    dry = size.join(held, [*own, "band"], "left").filter(F.col("slots") > F.coalesce("drawn", F.lit(0))).select(*own, F.col("band").alias("_dry"))
-    near = (held.join(dry, own).groupBy(*own, "band").agg(F.min(F.abs(F.col("band") - F.col("_dry"))).alias("far")))
-    spare = (drawn.join(near, [*own, "band"]).join(size, [*own, "band"], "left")
-             .filter(F.col("rank") > F.coalesce("slots", F.lit(0))).select(*own, "a", "b", "_h", "far"))
-    return matched.unionByName(_take_nearest(spare, keys, missing))
+    dry = slots.select(*own, band_of(F.col("product")).alias("_dry")).distinct()
+    spare = spare.withColumn("band", band_of(F.col("product")))
+    near = (spare.select(*own, "band").distinct().join(dry, own).groupBy(*own, "band").agg(F.min(F.abs(F.col("band") - F.col("_dry"))).alias("far")))
+    filled = _take_nearest(spare.join(near, [*own, "band"]).select(*own, "a", "b", "_h", "far"), keys, missing)
+    return found.select(*keys, "a", "b", "group_id").unionByName(filled)
 
 
 def shortfalls(positives: DataFrame, negatives: DataFrame, keys: list[str]) -> DataFrame:
