@@ -1,19 +1,18 @@
 """Scans of the two curated catalogs into flat hit records."""
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from edgeloom import constants as K
 from edgeloom.functions.identifiers import accessions, pair_high, pair_low, resolve_headers, taxon
 from edgeloom.schema import HIT_COLUMNS
+from edgeloom.session import materialize
 
 
-def _cell(parts: Column, index: int | None) -> Column:
-    """Cell text, or null when the row is too short or the column is absent."""
-    return F.lit(None).cast("string") if index is None else F.get(parts, F.lit(index))
+def _cell(parts: Column, index: int | Column) -> Column:
+    """Cell text, or null when the row is too short or the column is absent (null index)."""
+    return F.get(parts, index if isinstance(index, Column) else F.lit(index))
 
 
 def _inside_pairs(records: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -36,7 +35,7 @@ def _cells(lines: DataFrame) -> DataFrame:
     return lines.select(F.split("value", "\t", -1).alias("p"))
 
 
-def _usable(p: Column, needed: int) -> Column:
+def _usable(p: Column, needed: int | Column) -> Column:
     """A comment line or a short row gives no ids and hence no pairs (blank lines are short rows).
 
     The test sits in the projection, not in a filter, so that the split is evaluated once per line.
@@ -44,14 +43,27 @@ def _usable(p: Column, needed: int) -> Column:
     return (F.size(p) >= needed) & ~F.get(p, F.lit(0)).startswith("#")
 
 
-def parse_catalog_a(lines: DataFrame, header: list[str], wanted: DataFrame) -> DataFrame:
-    """Catalog A: tab-separated with a header; short rows are dropped, some columns are optional."""
+FIELDS_A = ("sa", "sb", "ta", "tb", "system", "type", "pub", "through", "oa", "ob")
+
+
+def _places(header: list[str]) -> tuple[dict[str, int | None], int]:
+    """Position of every field of catalog A (None: absent), and how many cells a usable row has."""
     at = resolve_headers(header, K.CATALOG_A_HEADERS, optional=("ta", "tb", "through", "oa", "ob"))
     for one, other in (("ta", "tb"), ("oa", "ob")):     # a pair of columns counts only when complete
         if at[one] is None or at[other] is None:
             at[one] = at[other] = None
-    needed = max(at[k] for k in ("sa", "sb", "system", "type", "pub")) + 1
-    rows, p = _cells(lines), F.col("p")
+    return at, max(at[k] for k in ("sa", "sb", "system", "type", "pub")) + 1
+
+
+def parse_catalog_a(lines: DataFrame, header: list[str], wanted: DataFrame) -> DataFrame:
+    """Catalog A: tab-separated with a header; short rows are dropped, some columns are optional."""
+    at, needed = _places(header)
+    return _records_a(_cells(lines), {k: F.lit(at[k]).cast("int") for k in FIELDS_A}, F.lit(needed), wanted)
+
+
+def _records_a(rows: DataFrame, at: dict[str, Column], needed: Column, wanted: DataFrame) -> DataFrame:
+    """Hit records of rows of cells ``p``; ``at`` gives the place of each field, which may differ from row to row."""
+    p = F.col("p")
 
     def ids(main, second):
         found = F.array_union(accessions(_cell(p, at[main])), accessions(_cell(p, at[second])))
@@ -91,25 +103,37 @@ def parse_catalog_b(lines: DataFrame, wanted: DataFrame) -> DataFrame:
     return _inside_pairs(records, wanted)
 
 
-def _header(spark: SparkSession, path: str) -> list[str]:
-    first = spark.read.text(path).limit(1).collect()
-    return first[0][0].split("\t") if first else []
+def file_headers(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """``file, header``: the first line of every file that has one, from one scan of them all.
+
+    Only a file's first block holds its first line, and rows of a block are numbered in file order.
+    """
+    first = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+                                          F.monotonically_increasing_id().alias("place"))
+    return first.filter(F.col("start") == 0).groupBy("file").agg(F.min_by("value", "place").alias("header"))
 
 
 def read_catalog_a(spark: SparkSession, paths: list[str], wanted: DataFrame) -> DataFrame:
-    """Scan one file per group; files that share a header are read together."""
-    by_header: dict[tuple[str, ...], list[str]] = {}
-    for path in paths:
-        header = tuple(_header(spark, path))
-        if header:
-            by_header.setdefault(header, []).append(path)
-    parts = []
-    for header, files in by_header.items():
-        lines = spark.read.text(files).filter(F.col("value") != "\t".join(header))
-        parts.append(parse_catalog_a(lines, list(header), wanted))
-    if not parts:
+    """Scan files that each have their own header row, whatever the number of files and headers, as one plan.
+
+    The driver sees the different headers only, one row each; every row finds the places of its fields by its file.  A header without a
+    needed column is an error before any row is read; a line equal to its file's header is no record.
+    """
+    headers = materialize(file_headers(spark, paths))
+    kinds = [r["header"] for r in headers.select("header").distinct().orderBy("header").collect()]      # spellings of a header: a few
+    if not kinds:
         raise ValueError("no catalog content")
-    return reduce(DataFrame.unionByName, parts)
+    if len(kinds) == 1:
+        return parse_catalog_a(spark.read.text(paths).filter(F.col("value") != kinds[0]), kinds[0].split("\t"), wanted)
+    known = []
+    for header in kinds:
+        at, needed = _places(header.split("\t"))
+        known.append((header, *(at[k] for k in FIELDS_A), needed))
+    places = spark.createDataFrame(known, "header string, " + ", ".join(f"{k} int" for k in FIELDS_A) + ", needed int")
+    placed = headers.join(places, "header")
+    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("file"))
+    rows = lines.join(placed, "file").filter(F.col("value") != F.col("header")).withColumn("p", F.split("value", "\t", -1))
+    return _records_a(rows, {k: F.col(k) for k in FIELDS_A}, F.col("needed"), wanted)
 
 
 def read_catalog_b(spark: SparkSession, paths: list[str] | str, wanted: DataFrame) -> DataFrame:
