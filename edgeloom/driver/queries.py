@@ -4,6 +4,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +15,7 @@ from edgeloom.driver.oracle_parts import PK, acc, metric_ctes, overlap, sql
 from edgeloom.functions.evidence import dominant_channel, is_tier1, location_overlap
 from edgeloom.functions.identifiers import accessions, digits_sorted, method_ids, publication_ids, taxon
 from edgeloom.functions.vectors import round_metric
+from edgeloom.operators import blocks as BL
 from edgeloom.operators import evidence as E
 from edgeloom.operators import features as FE
 from edgeloom.operators import graph as G
@@ -709,6 +711,48 @@ def _(x):
     return _hits(x).select(F.col("rank").cast("bigint").alias("rank"), "a", "b", "group_id", "probability")
 
 
+_WIDTH = 4
+_OUT, _OUT_BIAS = (1.0, -1.0, 1.5, -0.5), -0.1
+
+
+def _network() -> BL.PairNetwork:
+    """Fixed weights by a stated rule, so that SQL computes the same scores; a fitted perceptron takes the same way."""
+    i, j = np.arange(3 * DIM)[None, :], np.arange(_WIDTH)[:, None]
+    return BL.PairNetwork(((7 * i + 13 * j) % 11 - 5) / 40.0, (np.arange(_WIDTH) - 1) / 4.0, np.array(_OUT), _OUT_BIAS)
+
+
+def _dots(value: str, start: int, name: str) -> str:
+    return ", ".join(f"sum({value} * (((7 * (i + {start}) + 13 * {j}) % 11 - 5) / 40.0::DOUBLE)) AS {name}{j}" for j in range(_WIDTH))
+
+
+def _hidden(one: str, two: str) -> str:
+    return " + ".join(f"{_OUT[j]}::DOUBLE / (1.0::DOUBLE + exp(-({one}.f{j} + {two}.s{j} + d.d{j} + {(j - 1) / 4.0}::DOUBLE)))" for j in range(_WIDTH))
+
+
+_NETWORK = f"""slots AS MATERIALIZED (SELECT node_id, {_dots('v', 0, 'f')}, {_dots('v', DIM, 's')} FROM (
+  SELECT node_id, CAST(unnest(v) AS DOUBLE) AS v, unnest(range({DIM})) AS i FROM vecs) GROUP BY 1),
+ apart AS MATERIALIZED (SELECT a, b, group_id, {_dots('abs(x - y)', 2 * DIM, 'd')} FROM (
+  SELECT c.a, c.b, c.group_id, CAST(unnest(x.v) AS DOUBLE) AS x, CAST(unnest(y.v) AS DOUBLE) AS y, unnest(range({DIM})) AS i
+  FROM cand c JOIN vecs x ON x.node_id = c.a JOIN vecs y ON y.node_id = c.b) GROUP BY ALL),
+ modelled AS MATERIALIZED (SELECT d.a, d.b, d.group_id, round(1.0 / (1.0 + exp(-(({_hidden('x', 'y')} + {_hidden('y', 'x')}) / 2.0 + {_OUT_BIAS}::DOUBLE))), 9) AS p
+  FROM apart d JOIN slots x ON x.node_id = d.a JOIN slots y ON y.node_id = d.b)"""
+
+
+@query("model_hit_list", sql(["cand", "vecs", "context"], """
+SELECT row_number() OVER (ORDER BY p DESC, a, b) AS rank, a, b, group_id, p AS probability FROM modelled ANTI JOIN context USING (a, b)
+ORDER BY p DESC, a, b LIMIT 50""", _NETWORK))
+def _(x):
+    """Best novel candidates of the fixed pair network, scored block against block."""
+    found = H.hit_list(x.nodes, _context_pairs(x), _network(), x.features)
+    return found.select(F.col("rank").cast("bigint").alias("rank"), "a", "b", "group_id", "probability")
+
+
+@query("model_rank_candidates", sql(["cand", "vecs"], "SELECT row_number() OVER (ORDER BY p DESC, a, b) AS rank, a, b, p AS probability FROM modelled", _NETWORK))
+def _(x):
+    """Every candidate pair ranked by the fixed pair network."""
+    return H.rank_candidates(x.nodes, _network(), x.features).select(F.col("rank").cast("bigint").alias("rank"), "a", "b", "probability")
+
+
 @query("display_subgraph", sql(["scores", "context", "slim"], """
 SELECT a, b, 'predicted' AS kind, p AS probability FROM top UNION ALL
 SELECT a, b, 'known', score FROM slim ANTI JOIN top USING (a, b)
