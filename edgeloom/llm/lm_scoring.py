@@ -4,143 +4,182 @@ Tokens are the bytes of the text after a start mark, so both models share one cl
 documents, the target model the documents of the target set.  Probabilities are interpolated from order 1 to ``ORDER``; a score is the mean over a
 document's tokens of (loss under the target - loss under the background): below zero, the text looks more like the target.
 
-Orders 1 and 2 have a counter for every n-gram.  Higher orders are counted by hash in tables of 2^20 to 2^22 slots: short byte n-grams that occur in
-text are mostly fewer and stop growing, and the tables have a proven size whatever the corpus.  Each task counts all its text before anything is shuffled.
+Counts are exact: an n-gram is its own key, never a hash slot, and the table of n-grams grows with the corpus.  Texts lie in blocks of bounded size.  Each
+block counts its n-grams before anything is shuffled, asks once for the losses of those it holds, and sums them over its documents.  The losses of all
+n-grams of the corpus come from joins of the order above with the order below; an n-gram has at most 256 continuations, so no key of these is hot.
 """
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from edgeloom.llm.common import chunks, column_of, id_text, texts_of
+from edgeloom.session import discard, materialize
 
-ORDER = 5
-SLOT_BITS = (8, 16, 20, 21, 22)             # table sizes by order: orders 1 and 2 exact, the others by hash
-WEIGHTS = (0.02, 0.06, 0.14, 0.28, 0.5)     # interpolation weights by order; a context never seen leaves its weight to the lower orders
+ORDER = 6                                        # at most 7: the bytes of an n-gram are one positive bigint
+WEIGHTS = (0.02, 0.04, 0.09, 0.17, 0.28, 0.4)    # interpolation weights by order; a context never seen leaves its weight to the lower orders
 FLOOR = 1.0                 # added count of each byte at order 1
-PAGE_BITS = 12              # counters are shipped in pages of this many slots
-_MIX = np.uint64(0x9E3779B97F4A7C15)
+DAMP = 2.0                  # a context seen s times takes s / (s + DAMP) of its weight
+BLOCK_BYTES = 32 << 20      # text of a block, unless one text alone is longer
+WINDOW = 4 << 20            # bytes whose n-grams are held at once inside a task
+SIDES = ("background", "target")
 
 
-def _grams(data: np.ndarray, order: int) -> np.ndarray:
-    """Slot of the n-gram of ``order`` ending at each byte; before a text come zero bytes."""
-    key = data.astype(np.uint64)
-    for k in range(1, order):
-        key[k:] |= data[:-k].astype(np.uint64) << np.uint64(8 * k)
-    bits = SLOT_BITS[order - 1]
-    if bits >= 8 * order:
-        return key.astype(np.int64)
-    with np.errstate(over="ignore"):
-        key = (key ^ (key >> np.uint64(17))) * _MIX
-    return (key >> np.uint64(64 - bits)).astype(np.int64)
+def in_blocks(docs: DataFrame, limit: int = BLOCK_BYTES) -> DataFrame:
+    """``docs`` with a ``block``: consecutive rows of a partition, about ``limit`` bytes of text.  Write the result before use: blocks follow the order of rows."""
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        block, held = TaskContext.get().partitionId() << 32, 0
+        for part in chunks(batches, limit=min(limit, WINDOW)):
+            size = column_of(part, "text").nbytes
+            if held and held + size > limit:
+                block, held = block + 1, 0
+            held += size
+            yield part.append_column("block", pa.array([block] * part.num_rows, pa.int64()))
+
+    return docs.mapInArrow(run, "doc_id bigint, text string, is_target boolean, block bigint")
 
 
-def _joined(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All bytes with ORDER zero bytes before each text, the text number of each byte, and which bytes are tokens."""
+def grams(texts: list[str], window: int = WINDOW) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For every token the n-gram of ``ORDER`` bytes that ends there, first byte highest, and the number of its text; ``window`` bytes at once."""
     raw = [b"\0" * ORDER + t.encode("utf-8", "surrogatepass") for t in texts]
     data = np.frombuffer(b"".join(raw), np.uint8)
-    sizes = np.array([len(r) for r in raw], np.int64)
-    owner = np.repeat(np.arange(len(raw)), sizes)
-    token = np.arange(len(data)) - np.repeat(np.cumsum(sizes) - sizes, sizes) >= ORDER
-    return data, owner, token
-
-
-def _pages(counts: np.ndarray, order: int) -> Iterator[tuple[int, int, bytes]]:
-    pages = counts.reshape(-1, min(len(counts), 1 << PAGE_BITS))
-    for page in np.flatnonzero(pages.any(axis=1)):
-        yield order, int(page), pages[page].astype("<i8").tobytes()
-
-
-def count_pages(docs: DataFrame) -> DataFrame:
-    """``side, order, page, counts``: summed counters (side 0 background, 1 target), compressed of all texts; ``docs`` is ``text, is_target``."""
-    def count(batches) -> Iterator[pa.RecordBatch]:
-        sums = {(side, n): np.zeros(1 << SLOT_BITS[n - 1], np.uint32) for n in range(1, ORDER + 1) for side in (0, 1)}
-        for part in chunks(batches, limit=2 << 20):
-            data, owner, token = _joined(texts_of(part))
-            wanted = np.array([bool(v) for v in column_of(part, "is_target").to_pylist()], bool)
-            chosen = wanted[owner[token]]
-            for n in range(1, ORDER + 1):
-                slot = _grams(data, n)[token]
-                for side, own in ((0, slot), (1, slot[chosen])):
-                    at, seen = np.unique(own, return_counts=True)
-                    sums[side, n][at] += seen.astype(np.uint32)
-        for n in range(1, ORDER + 1):
-            for side in (0, 1):
-                rows = list(_pages(sums[side, n], n))
-                if rows:
-                    order, page, blob = zip(*rows)
-                    yield pa.RecordBatch.from_arrays([pa.array([side] * len(rows), pa.int32()), pa.array(order, pa.int32()), pa.array(page, pa.int32()),
-                                                      pa.array(blob, pa.binary())], ["side", "order", "page", "counts"])
-
-    def add(batches) -> Iterator[pa.RecordBatch]:
-        """Sums of the pages of a partition, which holds every part of its pages."""
-        sums: dict[tuple[int, int, int], np.ndarray] = {}
-        for batch in batches:
-            for side, order, page, blob in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                own = np.frombuffer(blob, "<i8")
-                sums[side, order, page] = sums[side, order, page] + own if (side, order, page) in sums else own
-        if sums:
-            side, order, page = zip(*sums)
-            yield pa.RecordBatch.from_arrays([pa.array(side, pa.int32()), pa.array(order, pa.int32()), pa.array(page, pa.int32()),
-                                              pa.array([zlib.compress(v.tobytes(), 1) for v in sums.values()], pa.binary())], ["side", "order", "page", "counts"])
-
-    schema = "side int, order int, page int, counts binary"
-    return docs.mapInArrow(count, schema).repartition("side", "order", "page").mapInArrow(add, schema)
-
-
-class Model:
-    """Counters of both sides, by order; at most 2 x 7.4 million numbers of four bytes."""
-
-    def __init__(self, tables: dict[tuple[int, int], np.ndarray]):
-        self.tables = {k: v.astype(np.float32) for k, v in tables.items()}
-        self.total = {side: float(tables[side, 1].sum()) for side in (0, 1)}
-
-    def losses(self, data: np.ndarray, side: int) -> np.ndarray:
-        """-log2 probability of each byte given the ones before it."""
-        slots = [_grams(data, n) for n in range(1, ORDER + 1)]
-        p = (self.tables[side, 1][slots[0]] + FLOOR) / (self.total[side] + 256 * FLOOR)
-        weight = WEIGHTS[0]
-        for n in range(2, ORDER + 1):
-            # the context of a byte is the n-gram of one order less that ends at the byte before it
-            seen = np.concatenate(([np.float32(0)], self.tables[side, n - 1][slots[n - 2][:-1]]))
-            joint = np.minimum(self.tables[side, n][slots[n - 1]], seen)
-            share = WEIGHTS[n - 1] / (weight + WEIGHTS[n - 1]) * seen / (seen + 2.0)
-            p = (1 - share) * p + share * joint / np.maximum(seen, 1)
-            weight += WEIGHTS[n - 1]
-        return -np.log2(p)
-
-
-def fit(docs: DataFrame, target_ids: DataFrame) -> Model:
-    """Both models from all rows of ``docs``; rows whose id is in ``target_ids`` (column ``doc_id``) also count for the target.
-
-    The driver receives summed pages only: at most 1,809 of 32 KB for each side, however large the corpus is.
+    end = np.cumsum([len(r) for r in raw], dtype=np.int64)
+    start = end - [len(r) for r in raw] if raw else end
+    for low in range(0, len(data), window):
+        high = min(low + window, len(data))
+        own = data[max(0, low - ORDER + 1):high].astype(np.int64)
+        key = own.copy()
+        for k in range(1, ORDER):
+            key[k:] |= own[:-k] << (8 * k)
+        owner = np.repeat(np.arange(len(raw)), np.clip(end, low, high) - np.clip(start, low, high))
+        token = np.arange(low, high) >= start[owner] + ORDER
+        yield key[len(key) - (high - low):][token], owner[token]
+
+
+def _summed(key: np.ndarray, n: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, ascending, with the sums of both counts."""
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.empty(0, np.int64)
+    return key[first], np.add.reduceat(n[order], first) if len(first) else n, np.add.reduceat(chosen[order], first) if len(first) else chosen
+
+
+def block_counts(blocks: DataFrame) -> DataFrame:
+    """``block, key, background, target``: how often the n-grams of the highest order stand in a block; a block met by two tasks has two rows a key."""
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        block, held = None, []
+
+        def merged():
+            return _summed(*(np.concatenate(x) for x in zip(*held)))
+
+        def rows():
+            if held:
+                key, n, chosen = merged()
+                for i in range(0, len(key), 1 << 17):
+                    own = slice(i, i + (1 << 17))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key[own]), block)), pa.array(key[own]), pa.array(n[own]), pa.array(chosen[own])],
+                                                     ["block", "key", *SIDES])
+
+        for part in chunks(batches, limit=WINDOW):
+            number = column_of(part, "block").to_numpy()
+            cut = [0, *(np.flatnonzero(np.diff(number)) + 1), len(number)]
+            for i, j in zip(cut, cut[1:]):
+                if number[i] != block:
+                    yield from rows()
+                    block, held = number[i], []
+                own = part.slice(i, j - i)
+                wanted = column_of(own, "is_target").to_numpy(zero_copy_only=False).astype(bool)
+                for key, owner in grams(texts_of(own)):
+                    seen, n = np.unique(key, return_counts=True)
+                    some, m = np.unique(key[wanted[owner]], return_counts=True)
+                    chosen = np.zeros(len(seen), np.int64)
+                    chosen[np.searchsorted(seen, some)] = m
+                    held.append((seen, n.astype(np.int64), chosen))
+                    if len(held) > 3:
+                        held = [merged()]
+        yield from rows()
+
+    return blocks.mapInArrow(run, "block bigint, key bigint, background bigint, target bigint")
+
+
+def _low(key: Column, order: int) -> Column:
+    """The last ``order`` bytes of an n-gram."""
+    return key.bitwiseAND(F.lit((1 << (8 * order)) - 1))
+
+
+def _sums(counts: DataFrame, key: Column) -> DataFrame:
+    return counts.groupBy(key.alias("key")).agg(*[F.sum(s).alias(s) for s in SIDES])
+
+
+def losses(counts: DataFrame) -> DataFrame:
+    """``key, background_loss, target_loss``: -log2 probability of the last byte of every n-gram after the bytes before it, by both models.
+
+    ``counts`` has ``key, background, target`` of the distinct n-grams of the highest order.  The counts of an order are sums of the order above; a context
+    counts the tokens that follow it.
     """
-    wanted = target_ids.select(F.col("doc_id").cast("bigint").alias("doc_id")).dropna().distinct().withColumn("is_target", F.lit(True))
-    # the same join whatever the sizes: the target set grows with the corpus and is not sent to every task
-    marked = id_text(docs).join(wanted.hint("merge"), "doc_id", "left").select("text", F.coalesce("is_target", F.lit(False)).alias("is_target"))
-    tables = {(side, n): np.zeros(1 << SLOT_BITS[n - 1], np.int64) for n in range(1, ORDER + 1) for side in (0, 1)}
-    for row in count_pages(marked).collect():
-        own = np.frombuffer(zlib.decompress(row["counts"]), "<i8")
-        tables[row["side"], row["order"]][row["page"] * len(own):(row["page"] + 1) * len(own)] = own
-    return Model(tables)
-
-
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``doc_id, n_tokens, target_loss, background_loss, score`` of every row, in bits a token; no shuffle.
-
-    A null or empty text has no tokens and score zero.  Repeated rows repeat.
+    by_order = {ORDER: counts}
+    for n in range(ORDER - 1, 0, -1):
+        by_order[n] = materialize(_sums(by_order[n + 1], _low(F.col("key"), n)))
+    total = by_order[1].agg(*[F.coalesce(F.sum(s), F.lit(0)).alias(s) for s in SIDES]).first()
+    p = by_order[1].select("key", *[((F.col(s) + FLOOR) / (total[s] + 256 * FLOOR)).alias(f"{s}_p") for s in SIDES])
+    weight = WEIGHTS[0]
+    for n in range(2, ORDER + 1):
+        context = F.shiftright("key", 8)
+        seen = _sums(by_order[n], context).select(F.col("key").alias("context"), *[F.col(s).alias(f"{s}_seen") for s in SIDES])
+        lower = p.select(F.col("key").alias("lower"), *[f"{s}_p" for s in SIDES])
+        both = by_order[n].withColumns({"context": context, "lower": _low(F.col("key"), n - 1)}).join(seen, "context").join(lower, "lower")
+
+        def mixed(s: str, part: float = WEIGHTS[n - 1] / (weight + WEIGHTS[n - 1])) -> Column:
+            share = F.lit(part) * F.col(f"{s}_seen") / (F.col(f"{s}_seen") + DAMP)
+            own = F.when(F.col(f"{s}_seen") > 0, F.col(s) / F.col(f"{s}_seen")).otherwise(0.0)
+            return (1 - share) * F.col(f"{s}_p") + share * own
+
+        before, p = p, materialize(both.select("key", *[mixed(s).alias(f"{s}_p") for s in SIDES]))
+        discard(before, by_order[n - 1])
+        weight += WEIGHTS[n - 1]
+    return p.select("key", *[(-F.log2(f"{s}_p")).cast("float").alias(f"{s}_loss") for s in SIDES])
+
+
+def score(docs: DataFrame, target_ids: DataFrame, *, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``doc_id, n_tokens, target_loss, background_loss, score`` of every row of ``docs``, in bits a token.
+
+    The background model is trained on all rows, the target model on the rows whose id is in ``target_ids`` (column ``doc_id``); these are scored by a model
+    that has seen them.  A null or empty text has no tokens and score zero.  Repeated rows count and return each time; a null id is no target.
     """
-    def run(batches) -> Iterator[pa.RecordBatch]:
-        for part in chunks(batches, limit=2 << 20):
-            data, owner, token = _joined(texts_of(part))
-            n = np.bincount(owner[token], minlength=part.num_rows)
-            mean = [np.bincount(owner[token], model.losses(data, side)[token], part.num_rows) / np.maximum(n, 1) for side in (1, 0)]
-            yield pa.RecordBatch.from_arrays([column_of(part, "doc_id"), pa.array(n), pa.array(mean[0]), pa.array(mean[1]), pa.array(mean[0] - mean[1])],
-                                             ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
-
-    return id_text(docs).mapInArrow(run, "doc_id bigint, n_tokens bigint, target_loss double, background_loss double, score double")
+    wanted = target_ids.select(F.col("doc_id").cast("bigint").alias("doc_id")).dropna().distinct().withColumn("is_target", F.lit(True))
+    marked = id_text(docs).join(wanted, "doc_id", "left").select("doc_id", "text", F.coalesce("is_target", F.lit(False)).alias("is_target"))
+    blocks = materialize(in_blocks(marked, block_bytes))
+    own = materialize(block_counts(blocks))
+    counts = materialize(_sums(own, F.col("key")))
+    asked = own.join(losses(counts), "key").select("block", "key", "target_loss", "background_loss")
+
+    def inside(block: pa.Table, known: pa.Table) -> pa.Table:
+        key = known.column("key").to_numpy()
+        order = np.argsort(key)
+        key = key[order]
+        loss = [known.column(c).to_numpy()[order].astype(np.float64) for c in ("target_loss", "background_loss")]
+        ids, tokens, sums = [], [], ([], [])
+        for part in chunks(block.to_batches(), limit=WINDOW):
+            n, total = np.zeros(part.num_rows, np.int64), np.zeros((2, part.num_rows))
+            for own, owner in grams(texts_of(part)):
+                seen, at = np.unique(own, return_inverse=True)
+                place = np.searchsorted(key, seen)
+                n += np.bincount(owner, minlength=part.num_rows)
+                for side in (0, 1):
+                    total[side] += np.bincount(owner, loss[side][place][at], part.num_rows)
+            ids.append(column_of(part, "doc_id"))
+            tokens.append(n)
+            for side in (0, 1):
+                sums[side].append(total[side] / np.maximum(n, 1))
+        target, background = (np.concatenate(s) if s else np.empty(0) for s in sums)
+        return pa.table({"doc_id": pa.chunked_array(ids, pa.int64()), "n_tokens": pa.array(np.concatenate(tokens) if tokens else np.empty(0, np.int64)),
+                         "target_loss": pa.array(target), "background_loss": pa.array(background), "score": pa.array(target - background)})
+
+    texts = blocks.select("block", "doc_id", "text")
+    return texts.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(
+        inside, "doc_id bigint, n_tokens bigint, target_loss double, background_loss double, score double")

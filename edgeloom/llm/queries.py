@@ -51,7 +51,7 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target: the documents labelled as good; background: all documents."""
     docs = table(spark, sf_dir, "documents")
     good = table(spark, sf_dir, "labels").filter(F.col("quality") == 1).select("doc_id")
-    return lm_scoring.score(docs, lm_scoring.fit(docs, good))
+    return lm_scoring.score(docs, good)
 
 
 def op10_packing(spark: SparkSession, sf_dir: str, tokenizer: str = public_tokenizers.path("word_bpe_49k.json")) -> DataFrame:

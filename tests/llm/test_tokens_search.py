@@ -1,5 +1,7 @@
 import codecs
+import hashlib
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -7,9 +9,11 @@ import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from edgeloom.llm import bpe_fst, lm_scoring, packing, vafile
+from edgeloom.session import materialize
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -70,6 +74,9 @@ def test_utf8_machine(data):
 def test_bpe_over_tables(spark, docs, odd, library):
     rows = bpe_fst.round_trip(docs(odd), RANKS).collect()
     assert sorted(str((r["doc_id"], r["n_tokens"])) for r in rows) == sorted(str((d, len(library.encode_ordinary(t or "")))) for d, t in odd)
+    ids = [(d, ",".join(map(str, library.encode_ordinary(t or ""))), t or "") for d, t in odd]
+    want = [(d, hashlib.sha256(i.encode()).hexdigest(), hashlib.sha256(t.encode()).hexdigest()) for d, i, t in ids]
+    assert sorted(str((r["doc_id"], r["ids_sha256"], r["decoded_sha256"])) for r in rows) == sorted(map(str, want))
     coded = bpe_fst.encode(docs(odd), RANKS)
     back = bpe_fst.decode(coded, RANKS).collect()
     assert sorted(str((r["doc_id"], r["text"])) for r in back) == sorted(str((d, t or "")) for d, t in odd)
@@ -180,46 +187,89 @@ def test_search_beyond_doubles(spark):
 
 
 # ------------------------------------------------------------------ language models
-def _slow_losses(texts, chosen, text):
-    def counts(which):
-        out = {}
-        for t in which:
-            data = b"\0" * lm_scoring.ORDER + t.encode()
-            for i in range(lm_scoring.ORDER, len(data)):
-                for n in range(1, lm_scoring.ORDER + 1):
-                    g = data[i - n + 1:i + 1]
-                    out[g] = out.get(g, 0) + 1
-        return out
+def _slow_losses(texts, chosen):
+    """Both mean losses of each text, by a dictionary of n-grams and one of contexts for each model."""
+    order, marked = lm_scoring.ORDER, [b"\0" * lm_scoring.ORDER + t.encode() for t in texts]
+    models = []
+    for which in ([d for d, c in zip(marked, chosen) if c], marked):
+        grams, contexts = Counter(), Counter()
+        for d in which:
+            for i in range(order, len(d)):
+                for n in range(1, order + 1):
+                    grams[d[i - n + 1:i + 1]] += 1
+                    contexts[d[i - n + 1:i]] += 1
+        models.append((grams, contexts))
     result = []
-    for which in ([t for t, c in zip(texts, chosen) if c], texts):
-        c, total = counts(which), sum(len(t.encode()) for t in which)
-        data, loss = b"\0" * lm_scoring.ORDER + text.encode(), 0.0
-        for i in range(lm_scoring.ORDER, len(data)):
-            p, weight = (c.get(data[i:i + 1], 0) + 1) / (total + 256), lm_scoring.WEIGHTS[0]
-            for n in range(2, lm_scoring.ORDER + 1):
-                seen, joint = c.get(data[i - n + 1:i], 0), c.get(data[i - n + 1:i + 1], 0)
-                share = lm_scoring.WEIGHTS[n - 1] / (weight + lm_scoring.WEIGHTS[n - 1]) * seen / (seen + 2.0)
-                p = (1 - share) * p + share * min(joint, seen) / max(seen, 1)
-                weight += lm_scoring.WEIGHTS[n - 1]
-            loss -= np.log2(p)
-        result.append(loss / max(1, len(text.encode())))
+    for d in marked:
+        means = []
+        for grams, contexts in models:
+            loss = 0.0
+            for i in range(order, len(d)):
+                p, weight = (grams[d[i:i + 1]] + 1) / (contexts[b""] + 256), lm_scoring.WEIGHTS[0]
+                for n in range(2, order + 1):
+                    seen = contexts[d[i - n + 1:i]]
+                    share = lm_scoring.WEIGHTS[n - 1] / (weight + lm_scoring.WEIGHTS[n - 1]) * seen / (seen + 2.0)
+                    p = (1 - share) * p + share * grams[d[i - n + 1:i + 1]] / max(seen, 1)
+                    weight += lm_scoring.WEIGHTS[n - 1]
+                loss -= np.log2(p)
+            means.append(loss / max(1, len(d) - order))
+        result.append(means)
     return result
 
 
 def test_scores_equal_a_plain_count(spark, docs):
     rows = [(1, "the cat sat on the mat"), (2, "the cat and the hat"), (3, "zzz qqq zzz qqq"), (4, "ein großer Hund"), (5, None), (6, "")]
     target = spark.createDataFrame([(1,), (2,), (2,), (None,), (77,)], "doc_id bigint")
-    model = lm_scoring.fit(docs(rows), target)
-    got = {r["doc_id"]: r for r in lm_scoring.score(docs(rows), model).collect()}
-    texts = [t or "" for _, t in rows]
-    for d, t in rows:
-        want = _slow_losses(texts, [d in (1, 2) for d, _ in rows], t or "")
-        assert np.isclose(got[d]["target_loss"], want[0], atol=1e-4) and np.isclose(got[d]["background_loss"], want[1], atol=1e-4), d
+    got = {r["doc_id"]: r for r in lm_scoring.score(docs(rows), target).collect()}
+    for (d, _), want in zip(rows, _slow_losses([t or "" for _, t in rows], [d in (1, 2) for d, _ in rows])):
+        assert np.isclose(got[d]["target_loss"], want[0], atol=1e-5) and np.isclose(got[d]["background_loss"], want[1], atol=1e-5), d
     assert got[1]["score"] < 0 < got[3]["score"] and got[5]["score"] == got[6]["score"] == 0 and got[5]["n_tokens"] == 0
 
 
+def test_scores_are_exact_however_many_ngrams(spark, docs):
+    # 60,000 random bytes of 62 signs: nearly as many different n-grams, more than any text of words that long; in many blocks
+    draw = np.random.default_rng(5)
+    signs = np.array(list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"))
+    rows = [(i, "".join(draw.choice(signs, 2_000))) for i in range(30)]
+    target = spark.createDataFrame([(i,) for i in range(0, 30, 3)], "doc_id bigint")
+    got = {r["doc_id"]: r for r in lm_scoring.score(docs(rows), target, block_bytes=5_000).collect()}
+    for (d, _), want in zip(rows, _slow_losses([t for _, t in rows], [d % 3 == 0 for d, _ in rows])):
+        assert got[d]["n_tokens"] == 2_000
+        assert np.isclose(got[d]["target_loss"], want[0], atol=1e-5) and np.isclose(got[d]["background_loss"], want[1], atol=1e-5), d
+
+
+def test_ngrams_of_windows_are_those_of_the_text():
+    texts = ["the cat sat on the mat", "", "ein großer Hund", "x" * 50]
+    whole = list(lm_scoring.grams(texts))
+    assert len(whole) == 1
+    for window in (1, 2, 7, 64):
+        parts = list(lm_scoring.grams(texts, window))
+        assert all((np.concatenate([p[i] for p in parts]) == whole[0][i]).all() for i in (0, 1))
+    data = [b"\0" * lm_scoring.ORDER + t.encode() for t in texts]
+    want = [int.from_bytes(d[i - lm_scoring.ORDER + 1:i + 1], "big") for d in data for i in range(lm_scoring.ORDER, len(d))]
+    assert whole[0][0].tolist() == want and list(lm_scoring.grams([])) == []
+
+
+def test_block_counts_are_one_row_a_block_and_ngram(spark, docs):
+    """A hot id or text does not widen a block: blocks follow bytes; and the table of n-grams grows with what the texts hold."""
+    rows = [(1, "a third of all rows has this text and id")] * 300 + [(i, f"other text {i * i}") for i in range(600)]
+    marked = docs(rows).select("doc_id", "text").withColumn("is_target", F.col("doc_id") % 2 == 0)
+    blocks = materialize(lm_scoring.in_blocks(marked, 2_000))
+    assert blocks.count() == 900
+    sizes = blocks.groupBy("block").agg(F.sum(F.octet_length("text")).alias("n")).collect()
+    assert len(sizes) > 10 and max(r["n"] for r in sizes) < 4_000
+    found = lm_scoring.block_counts(blocks).groupBy("key").agg(F.sum("background").alias("n"), F.sum("target").alias("m")).collect()
+    want, chosen = Counter(), Counter()
+    for d, t in rows:
+        raw = b"\0" * lm_scoring.ORDER + t.encode()
+        own = [int.from_bytes(raw[i - lm_scoring.ORDER + 1:i + 1], "big") for i in range(lm_scoring.ORDER, len(raw))]
+        want.update(own)
+        chosen.update(own if d % 2 == 0 else [])
+    assert {r["key"]: (r["n"], r["m"]) for r in found} == {k: (n, chosen[k]) for k, n in want.items()}
+
+
 def test_scoring_odd_rows(spark, docs, odd):
     none = spark.createDataFrame([], "doc_id bigint")
-    rows = lm_scoring.score(docs(odd), lm_scoring.fit(docs(odd), none)).collect()
+    rows = lm_scoring.score(docs(odd), none).collect()
     assert len(rows) == len(odd) and all(np.isfinite(r["score"]) for r in rows)
-    assert lm_scoring.score(docs([]), lm_scoring.fit(docs([]), none)).count() == 0
+    assert lm_scoring.score(docs([]), none).count() == 0
