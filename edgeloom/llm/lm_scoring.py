@@ -31,17 +31,41 @@ SIDES = ("background", "target")
 
 
 def in_blocks(docs: DataFrame, limit: int = BLOCK_BYTES) -> DataFrame:
-    """``docs`` with a ``block``: consecutive rows of a partition, about ``limit`` bytes of text.  Write the result before use: blocks follow the order of rows."""
+    """``block, rows``: consecutive rows of a partition, about ``limit`` bytes of text a block, in compressed pieces (``_unpacked`` reads one).
+
+    Write the result before use: blocks follow the order of rows.
+    """
     def run(batches) -> Iterator[pa.RecordBatch]:
         block, held = TaskContext.get().partitionId() << 32, 0
-        for part in chunks(batches, limit=min(limit, WINDOW)):
-            size = column_of(part, "text").nbytes
+        for part in _gathered(batches, min(limit, WINDOW)):
+            size = part.column("text").nbytes
             if held and held + size > limit:
                 block, held = block + 1, 0
             held += size
-            yield part.append_column("block", pa.array([block] * part.num_rows, pa.int64()))
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_table(part)
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "rows"])
+
+    return docs.mapInArrow(run, "block bigint, rows binary")
+
+
+def _gathered(batches, limit: int) -> Iterator[pa.Table]:
+    """The rows of the batches in pieces of at most ``limit`` bytes of text, unless one text alone is longer."""
+    held, size = [], 0
+    for part in chunks(batches, limit=limit):
+        own = column_of(part, "text").nbytes
+        if held and size + own > limit:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, size = [], 0
+        held.append(part)
+        size += own
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
 
-    return docs.mapInArrow(run, "doc_id bigint, text string, is_target boolean, block bigint")
+def _unpacked(piece: bytes) -> pa.RecordBatch:
+    return pa.ipc.open_stream(piece).read_next_batch()
 
 
 def grams(texts: list[str], window: int = WINDOW) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -85,14 +109,12 @@ def block_counts(blocks: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key[own]), block)), pa.array(key[own]), pa.array(n[own]), pa.array(chosen[own])],
                                                      ["block", "key", *SIDES])
 
-        for part in chunks(batches, limit=WINDOW):
-            number = column_of(part, "block").to_numpy()
-            cut = [0, *(np.flatnonzero(np.diff(number)) + 1), len(number)]
-            for i, j in zip(cut, cut[1:]):
-                if number[i] != block:
+        for batch in batches:
+            for number, piece in zip(column_of(batch, "block").to_pylist(), column_of(batch, "rows")):
+                if number != block:
                     yield from rows()
-                    block, held = number[i], []
-                own = part.slice(i, j - i)
+                    block, held = number, []
+                own = _unpacked(piece.as_py())
                 wanted = column_of(own, "is_target").to_numpy(zero_copy_only=False).astype(bool)
                 for key, owner in grams(texts_of(own)):
                     seen, n = np.unique(key, return_counts=True)
@@ -164,7 +186,8 @@ def score(docs: DataFrame, target_ids: DataFrame, *, block_bytes: int = BLOCK_BY
         key = key[order]
         loss = [known.column(c).to_numpy()[order].astype(np.float64) for c in ("target_loss", "background_loss")]
         ids, tokens, sums = [], [], ([], [])
-        for part in chunks(block.to_batches(), limit=WINDOW):
+        for piece in block.column("rows"):
+            part = _unpacked(piece.as_py())
             n, total = np.zeros(part.num_rows, np.int64), np.zeros((2, part.num_rows))
             for own, owner in grams(texts_of(part)):
                 seen, at = np.unique(own, return_inverse=True)
@@ -180,6 +203,5 @@ def score(docs: DataFrame, target_ids: DataFrame, *, block_bytes: int = BLOCK_BY
         return pa.table({"doc_id": pa.chunked_array(ids, pa.int64()), "n_tokens": pa.array(np.concatenate(tokens) if tokens else np.empty(0, np.int64)),
                          "target_loss": pa.array(target), "background_loss": pa.array(background), "score": pa.array(target - background)})
 
-    texts = blocks.select("block", "doc_id", "text")
-    return texts.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(
+    return blocks.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(
         inside, "doc_id bigint, n_tokens bigint, target_loss double, background_loss double, score double")
