@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from edgeloom import constants as K
 from edgeloom.functions.identifiers import normalize_score, pair_high, pair_low
 from edgeloom.functions.vectors import dot, sigmoid
-from edgeloom.operators.evidence import evidence_by_node, fold_hits, physical_edges
+from edgeloom.operators.evidence import evidence_by_node, fold_flags, fold_hits, physical_edges
 from edgeloom.operators.graph import induced_edges
 from edgeloom.operators.pairs import candidate_pairs, dedupe_edges
 from edgeloom.plans.atlas import build_atlas
@@ -197,6 +197,10 @@ class Inputs:
     def evidence(self) -> DataFrame:
         return fold_hits(self.hits)
 
+    @cached_property
+    def evidence_flags(self) -> DataFrame:
+        return fold_flags(self.hits)
+
     @cached_property
     def physical(self) -> DataFrame:
         return physical_edges(self.evidence, self.nodes)

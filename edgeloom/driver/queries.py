@@ -574,7 +574,7 @@ def _(x):
 
 
 def _counts(x: Inputs) -> DataFrame:
-    return A.class_counts(x.nodes, x.context, x.evidence, x.channels, x.locations)
+    return A.class_counts(x.nodes, x.context, x.evidence_flags, x.channels, x.locations)
 
 
 @query("atlas_stats", sql(["graded"], """

@@ -39,6 +39,18 @@ def fold_hits(hits: DataFrame, *extra_keys: str) -> DataFrame:
     )
 
 
+def fold_flags(hits: DataFrame) -> DataFrame:
+    """The three flags of ``fold_hits`` alone, one row per accession pair: no texts are parsed, kept apart or shuffled."""
+    kind = F.lower(F.trim("system_type"))
+    slim = hits.select(
+        pair_low("acc_a", "acc_b").alias("acc_a"), pair_high("acc_a", "acc_b").alias("acc_b"),
+        ((F.col("source") == "a") & (kind == "physical")).alias("physical"),
+        ((F.col("source") == "a") & (kind == "genetic")).alias("genetic"),
+        (F.col("source") == "b").alias("b"))
+    return slim.groupBy("acc_a", "acc_b").agg(F.bool_or("physical").alias("catalog_a_physical"),
+                                              F.bool_or("genetic").alias("catalog_a_genetic"), F.bool_or("b").alias("catalog_b"))
+
+
 def evidence_by_node(evidence: DataFrame, nodes: DataFrame) -> DataFrame:
     """Accession pairs onto same-group node pairs ``(a, b)``; one accession may name several nodes."""
     left = nodes.select(F.col("accession").alias("acc_a"), F.col("node_id").alias("_l"), F.col("group_id"))

@@ -168,11 +168,9 @@ def rank_absent(atlas: DataFrame) -> DataFrame:
 
 # --- statistics ---------------------------------------------------------------------
 
-def sparse_grades(context: DataFrame, annotated: DataFrame, evidence: DataFrame, channels: DataFrame, *,
-                  quantile: float = K.DEGREE_PRODUCT_QUANTILE) -> DataFrame:
+def sparse_grades(context: DataFrame, annotated: DataFrame, evidence: DataFrame, channels: DataFrame, cutoff: Column) -> DataFrame:
     """Grades of just the candidate pairs that any source mentions (linear in the sources)."""
     found, best, known = _pair_sources(annotated, context, evidence, channels)
-    cutoff = degree_product_cutoff(annotated, quantile).scalar()
     flags = found.select("a", "b", "catalog_a_physical", "catalog_a_genetic", "catalog_b")
     score = best.select("a", "b", "combined", "dominant_channel")
     met = flags.join(score, ["a", "b"], "full_outer").join(known, ["a", "b"], "full_outer")
@@ -186,10 +184,11 @@ def class_counts(nodes: DataFrame, edges: DataFrame, evidence: DataFrame, channe
     """``(group_id, evidence_class, string_absent, n_pairs, n_physical, n_genetic_only)`` over all pairs.
 
     Exact, yet no list of all pairs is made: every pair gets the class of its node profiles, then the
-    pairs that a source mentions are moved from that class to their own.
+    pairs that a source mentions are moved from that class to their own.  Of ``evidence`` only the flags are
+    read (``fold_flags`` suffices).  The cutoff is computed once and written, as both parts need it.
     """
     context, annotated = prepare(nodes, edges, locations)
-    cutoff = degree_product_cutoff(annotated, quantile).scalar()
+    cutoff = materialize(degree_product_cutoff(annotated, quantile)).scalar()
 
     def unmentioned(overlap, product):
         return evidence_class(F.lit(False), F.lit(0.0), F.lit(""), overlap, product, "_cut")
@@ -198,7 +197,7 @@ def class_counts(nodes: DataFrame, edges: DataFrame, evidence: DataFrame, channe
         "group_id", unmentioned(location_overlap("l_buckets", "r_buckets"),
                                 F.col("l_degree") * F.col("r_degree")).alias("evidence_class"),
         F.lit(True).alias("string_absent"), F.col("twice_pairs").alias("t"), F.lit(0).alias("p"), F.lit(0).alias("g"))
-    sparse = sparse_grades(context, annotated, evidence, channels, quantile=quantile)
+    sparse = sparse_grades(context, annotated, evidence, channels, cutoff)
     default = sparse.withColumn("_cut", F.col("degree_product_cutoff")).withColumn(
         "_default", unmentioned("localization_overlap", "degree_product"))
     moves = default.select("group_id", F.explode(F.array(

@@ -48,6 +48,13 @@ def test_fold(hits):
     assert both.assays == ["Dosage Rescue"] and set(both.publications) == {"2222", "5555", "15364"}
 
 
+def test_flags_alone_are_those_of_the_fold(spark, hits):
+    names = ["acc_a", "acc_b", "catalog_a_physical", "catalog_a_genetic", "catalog_b"]
+    flags = E.fold_flags(hits)
+    assert flags.columns == names and sorted(map(tuple, flags.collect())) == sorted(map(tuple, E.fold_hits(hits).select(*names).collect()))
+    assert E.fold_flags(hits.limit(0)).count() == 0
+
+
 def test_physical_edges(hits, nodes):
     rows = {(r.a, r.b): r for r in E.physical_edges(E.fold_hits(hits), nodes).collect()}
     assert set(rows) == {("9606.ACTB", "9606.YAP1"), ("9606.VCL", "9606.YAP1"), ("4932.ACT1", "4932.CBK1")}
@@ -125,6 +132,9 @@ def test_counts_without_pairs_equal_counted_pairs(nodes, edges, sources, q):
              .agg(F.count("*"), F.count_if(F.expr("catalog_a_physical OR catalog_b")), F.count_if("genetic_only")))
     sparse = A.class_counts(nodes, edges, evidence, channels, loc, quantile=q)
     assert sorted(map(tuple, dense.collect())) == sorted(map(tuple, sparse.collect()))
+    flags = evidence.select("acc_a", "acc_b", "catalog_a_physical", "catalog_a_genetic", "catalog_b")
+    slim = A.class_counts(nodes, edges, flags, channels, loc, quantile=q)
+    assert sorted(map(tuple, slim.collect())) == sorted(map(tuple, sparse.collect()))
 
 
 def test_profile_pairs_count_both_roles_once(spark):
