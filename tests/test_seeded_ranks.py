@@ -48,3 +48,25 @@ def test_parts_of_more_seeds_than_a_long_holds(spark):
     got = {(r.seed, r.a, r.b): r.split for r in S.split_node_disjoint(pairs, nodes, seeds).collect()}
     want = {(s, r.a, r.b): parts[s, r.a] for r in pairs.collect() for s in seeds if parts[s, r.a] == parts[s, r.b]}
     assert got == want
+
+
+def test_written_tables_count_for_more_than_their_files(spark, tmp_path):
+    from edgeloom.driver.inputs import Inputs
+    key = "spark.sql.sources.fileCompressionFactor"
+    spark.conf.unset(key)
+    spark.range(1000).write.parquet(str(tmp_path / "t.parquet"))
+    Inputs(spark, str(tmp_path))
+    assert float(spark.conf.get(key)) == 8.0
+    spark.conf.set(key, "3.0")
+    Inputs(spark, str(tmp_path))
+    assert float(spark.conf.get(key)) == 3.0
+    spark.conf.unset(key)
+
+
+def test_hashes_of_taken_pairs_are_made_after_the_shuffle(spark):
+    pool = _pairs(spark).withColumn("seed", F.lit(0))
+    wanted = pool.groupBy("seed", "group_id").agg(F.lit(5).cast("bigint").alias("n"))
+    taken = S._take(pool, ["seed"], wanted)
+    assert taken.groupBy("group_id").count().filter("count <> 5").count() == 0
+    plan = _plan(taken)
+    assert plan.index("Exchange hashpartitioning(seed") > plan.index("md5(")          # printed from the last step down
