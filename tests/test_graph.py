@@ -83,6 +83,18 @@ def test_three_walks(spark, toy):
         assert got.get((a, b), 0) == cube[a, b]
 
 
+@pytest.mark.parametrize("tile_rows", [4096, 2])
+def test_walks_of_all_candidates_equal_walks_pair_by_pair(spark, toy, monkeypatch, tile_rows):
+    monkeypatch.setattr(G, "TILE_ROWS", tile_rows)              # a node in the middle cut into several tiles
+    _, edges, _ = toy
+    roles = ["a", "both", "b", "both", "partner"]
+    nodes = spark.createDataFrame([(i, i // 12, roles[i % 5]) for i in range(16)], "node_id bigint, group_id bigint, role string")
+    adjacency = P.both_ways(edges)
+    want = {(r.a, r.b, r.l3) for r in G.three_walks(P.candidate_pairs(nodes), adjacency).collect()}
+    rows = G.candidate_three_walks(nodes, adjacency).collect()
+    assert want and {(r.a, r.b, r.l3) for r in rows} == want and len(rows) == len(want)
+
+
 def test_path_graph(spark):
     nodes = spark.createDataFrame([(i, 1) for i in range(4)], "node_id bigint, group_id bigint")
     e = edge_frame(spark, [(0, 1), (1, 2), (2, 3)])
