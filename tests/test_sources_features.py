@@ -154,6 +154,23 @@ def test_embedding(spark):
     assert all(r.vector == [1.0, 2.0, 3.0, 4.0] for r in got) and len(got) == 2
 
 
+def test_neighbor_mean_in_many_blocks_with_a_hub(spark, monkeypatch):
+    monkeypatch.setattr(FE, "EDGES_PER_BLOCK", 4)               # node 0 alone fills several blocks
+    pairs = [(0, i) for i in range(1, 30)] + [(i, i + 1) for i in range(1, 28)]
+    adj = both_ways(spark.createDataFrame(pairs, "src bigint, dst bigint"))
+    vectors = spark.createDataFrame([(i, [float(i), 1.0 / (i + 1)]) for i in range(32) if i != 7], "node_id bigint, vector array<float>")
+    value = {r.node_id: r.vector for r in vectors.collect()}
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, []).append(b)
+        near.setdefault(b, []).append(a)
+    got = {r.node_id: r.vector for r in FE.neighbor_mean(vectors, adj, 2).collect()}
+    assert got.keys() == value.keys()
+    for node in value:
+        held = [value[n] for n in near.get(node, []) if n in value]
+        assert got[node] == pytest.approx([sum(v[j] for v in held) / len(held) if held else 0.0 for j in (0, 1)])
+
+
 def test_location_flags(spark):
     nodes = spark.createDataFrame([(1,), (2,), (3,)], "node_id bigint")
     atlas = spark.createDataFrame([(1, 2, "nucleus", "")], "a bigint, b bigint, location_a string, location_b string")
