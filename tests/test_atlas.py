@@ -157,3 +157,13 @@ def test_spearman(spark):
     assert A.spearman(df, "x", "y").first().rho == pytest.approx(pdf.x.rank().corr(pdf.y.rank()))
     assert A.spearman(df, "x", "z").first().rho is None
     assert A.spearman(df.limit(4), "x", "y").first().rho is None
+
+
+def test_graded_records_equal_the_whole_fold(spark, hits, nodes):
+    from edgeloom.operators import evidence as E
+    graded, whole = E.fold_grades(hits), E.fold_hits(hits)
+    keys = ["acc_a", "acc_b", "catalog_a_physical", "catalog_b"]
+    assert sorted(map(tuple, graded.select(*keys).collect())) == sorted(map(tuple, whole.select(*keys).collect()))
+    assert sum(r.n_records for r in graded.collect()) == hits.count() > 0
+    want = {(r.a, r.b, r.tier1) for r in E.physical_edges(whole, nodes).collect()}
+    assert want and {(r.a, r.b, r.tier1) for r in E.physical_grades(graded, nodes).collect()} == want
