@@ -6,9 +6,10 @@ levels of one tree, built from a bounded sample, are a routing table: a node goe
 nodes near a boundary go to both.  A shard goes on splitting the same way inside its task, compares leaves exactly, and returns a
 spanning forest of its links, never all pairs.  Components of the forests are the classes.
 
-That holds for small radii.  ``keep_first`` wants word shingles of Jaccard similarity 0.8 or more, which no radius bounds, as fingerprints count repeats and the
-similarity does not.  It finds its pairs by prefix filter: in one order of all shingles, two sets of that similarity share a shingle among the first fifth of
-each.  Pairs are checked on all shingles, first in stars round one member of a shingle, then all that no link has joined (``similar_classes``).
+That holds for small radii.  ``keep_first`` wants word shingles of Jaccard similarity 0.8 or more, which no radius bounds.  It takes the fingerprints of the sets of
+shingles through the same trees, checks each class against its first member on all shingles (``fingerprint_links``), and then finds the links that lie beyond
+the radius by prefix filter: in one order of all shingles, two sets of that similarity share a shingle among the first fifth of each.  Shingles whose holders
+the fingerprints have joined are done; what is left is checked in stars round one member of a shingle, then all that no link has joined (``similar_classes``).
 
 A shard's work is bounded by distinct fingerprints: however many copies a document has, at most 679,121 (1 + C(64,1) + ... + C(64,4))
 fingerprints lie within distance 4 of any one.
@@ -219,15 +220,22 @@ def _hashes(text: str, n: int) -> np.ndarray:
     return sketch_of(np.frombuffer(b"".join(map(xxhash.xxh64_digest, shingles(text, n), repeat(42))), ">u8").astype(np.uint64))
 
 
+def set_fingerprint(h: np.ndarray) -> int:
+    """64 majority bits over the distinct shingle hashes, as a signed long: repeats do not count, so it follows the similarity of sets."""
+    seen = np.unpackbits(h.astype(">u8").view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * seen > len(h)).view(">i8")[0])
+
+
 def digested(docs: DataFrame, n: int) -> DataFrame:
-    """``doc_id, row, node, worded`` of every row: 128-bit digest of the set of its shingles, and if there are any."""
+    """``doc_id, row, node, worded, fp`` of every row: 128-bit digest of the set of its shingles, if there are any, and the set's fingerprint."""
     def run(batches) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches):
             sets = [_hashes(t, n) for t in texts_of(part)]
             yield pa.RecordBatch.from_arrays([column_of(part, "doc_id"), column_of(part, "row"), pa.array([set_digest(h) for h in sets], pa.binary()),
-                                              pa.array([len(h) > 0 for h in sets])], ["doc_id", "row", "node", "worded"])
+                                              pa.array([len(h) > 0 for h in sets]), pa.array([set_fingerprint(h) for h in sets], pa.int64())],
+                                             ["doc_id", "row", "node", "worded", "fp"])
 
-    return id_text(docs).withColumn("row", F.xxhash64("text")).mapInArrow(run, "doc_id bigint, row bigint, node binary, worded boolean")
+    return id_text(docs).withColumn("row", F.xxhash64("text")).mapInArrow(run, "doc_id bigint, row bigint, node binary, worded boolean, fp bigint")
 
 
 def frequent(texts: DataFrame, n: int) -> np.ndarray:
@@ -332,7 +340,7 @@ def other_pairs(members: DataFrame, similarity: float) -> DataFrame:
     """``a, center``: all pairs of members of a key (``nid, size, key, pos, component, bits``) that may be similar and are in different components."""
     def inside(group: pa.Table) -> pa.Table:
         size, pos, part = (group.column(c).combine_chunks().to_numpy() for c in ("size", "pos", "component"))
-        bits = group.column("bits").combine_chunks().flatten().to_numpy().reshape(-1, BITMAP // 64)
+        bits = group.column("bits").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, BITMAP // 64)     # signed: bits of the absolute value
 
         def work(own):
             found = []
@@ -387,14 +395,31 @@ def similar_links(pairs: DataFrame, texts: DataFrame, n: int, similarity: float)
     return ahead.mapInArrow(run, "src bigint, dst bigint").distinct()
 
 
-def similar_classes(texts: DataFrame, n: int, similarity: float) -> DataFrame:
-    """``nid, component`` of the nodes (``nid, text``) that have a link; no pair of the similarity is lost."""
+def fingerprint_links(nodes: DataFrame, texts: DataFrame, n: int, similarity: float, radius: int = RADIUS) -> tuple[DataFrame, DataFrame]:
+    """Links ``src, dst`` inside the classes that vantage-point trees find for the fingerprints of the ``nodes`` (``nid, fp``), and the judged pairs ``x, y``.
+
+    Every member of a class is judged against its first one on all shingles, so no link rests on fingerprints alone.
+    """
+    nodes = materialize(nodes)
+    linked = materialize(classes(nodes.select("fp").distinct(), radius))
+    family = nodes.join(linked, "fp", "left").select("nid", F.coalesce("component", "fp").alias("family"))
+    center = family.groupBy("family").agg(F.min("nid").alias("center"), F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select("family", "center")
+    pairs = materialize(family.join(center, "family").filter(F.col("nid") != F.col("center")).select(F.col("nid").alias("a"), "center"))
+    discard(nodes, linked)
+    return materialize(similar_links(pairs, texts, n, similarity)), pairs.select(F.col("center").alias("x"), F.col("a").alias("y"))
+
+
+def similar_classes(nodes: DataFrame, texts: DataFrame, n: int, similarity: float) -> DataFrame:
+    """``nid, component`` of the nodes (``nid, fp`` and ``nid, text``) that have a link; no pair of the similarity is lost."""
+    links, judged = fingerprint_links(nodes, texts, n, similarity)
+    joined = materialize(_named(links))
     first = materialize(prefixes(texts, n, similarity, frequent(texts, n)))
     signs = materialize(first.filter("pos = 0").select("nid", "size", "bits"))
     shared = first.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select("key")
-    members = materialize(first.select("nid", "size", "key", "pos").join(shared, "key").withColumn("component", F.col("nid")))
+    members = materialize(first.select("nid", "size", "key", "pos").join(shared, "key"))
     discard(first)
-    links, judged = None, None
+    shared_by, members = members, _open(members, joined)
+    discard(shared_by, joined)
     for turn in range(STARS):
         draw = F.struct(F.xxhash64("nid", F.lit(turn)).alias("draw"), "nid", "size", "pos", "component")
         center = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(draw).alias("c")).filter(F.col("n") > 1).select(
@@ -402,20 +427,13 @@ def similar_classes(texts: DataFrame, n: int, similarity: float) -> DataFrame:
         dealt = materialize(members.join(center, "key"))
         discard(members)
         proposed = star_pairs(dealt, similarity).withColumns({"x": F.least("a", "center"), "y": F.greatest("a", "center")})
-        if judged is not None:
-            proposed = proposed.join(judged, ["x", "y"], "left_anti")
-        proposed = materialize(proposed)
+        proposed = materialize(proposed.join(judged, ["x", "y"], "left_anti"))
         pairs = materialize(near_bitmaps(proposed.select("a", "center"), signs, similarity))
         found = materialize(similar_links(pairs, texts, n, similarity))
         discard(pairs)
-        judged = proposed.select("x", "y") if judged is None else judged.union(proposed.select("x", "y"))
-        links = found if links is None else links.union(found)
+        judged, links = judged.union(proposed.select("x", "y")), links.union(found)
         named = materialize(_named(links))
-        # a key is done with its center, and with all members once they are in one component
-        rest = (dealt.filter(F.col("nid") != F.col("center")).select("nid", "size", "key", "pos").join(named, "nid", "left")
-                .withColumn("component", F.coalesce("component", "nid")))
-        open_ = rest.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter(F.col("x") < F.col("y")).select("key")
-        members = materialize(rest.join(open_, "key"))
+        members = _open(dealt.filter(F.col("nid") != F.col("center")).select("nid", "size", "key", "pos"), named)      # a key is done with its center
         discard(dealt, named)
     pairs = materialize(other_pairs(members.join(signs.select("nid", "bits"), "nid"), similarity))
     discard(members, signs)
@@ -424,6 +442,13 @@ def similar_classes(texts: DataFrame, n: int, similarity: float) -> DataFrame:
     return _named(links.union(found))
 
 
+def _open(members: DataFrame, named: DataFrame) -> DataFrame:
+    """The members with their component, of the keys whose members are not yet all in one."""
+    rest = members.join(named, "nid", "left").withColumn("component", F.coalesce("component", "nid"))
+    open_ = rest.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter(F.col("x") < F.col("y")).select("key")
+    return materialize(rest.join(open_, "key"))
+
+
 def _named(links: DataFrame) -> DataFrame:
     """``nid, component`` of the ends of links."""
     ends = links.select(F.col("src").alias("node_id")).union(links.select(F.col("dst").alias("node_id"))).distinct()
@@ -439,16 +464,20 @@ def keep_first(docs: DataFrame, n: int = 5, similarity: float = 0.8) -> DataFram
     """
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     prints = materialize(digested(docs, n))
-    nodes = prints.groupBy("node").agg(F.min(order).alias("low"), F.max("worded").alias("worded"))
+    nodes = prints.groupBy("node").agg(F.min(order).alias("low"), F.max("worded").alias("worded"), F.min("fp").alias("fp"))
     nodes = materialize(nodes.withColumn("nid", F.monotonically_increasing_id()).drop("node"))
     own = id_text(docs).withColumn("row", F.xxhash64("text"))
     texts = materialize(own.join(nodes.filter("worded").select("nid", F.col("low.doc_id").alias("id"), "low.row"), "row")
                         .filter(F.col("doc_id").eqNullSafe(F.col("id"))).select("nid", "text"))
-    named = similar_classes(texts, n, similarity)
+    discard(prints)
+    named = similar_classes(nodes.filter("worded").select("nid", "fp"), texts, n, similarity)
     stay = (nodes.select("nid", "low").join(named, "nid", "left").groupBy(F.coalesce("component", "nid").alias("component"))
-            .agg(F.min("low").alias("low")).select(F.col("low.doc_id").alias("__id"), F.col("low.row").alias("__row")))
+            .agg(F.min("low").alias("low")).select(F.col("low.none").alias("__none"), F.coalesce("low.doc_id", F.lit(0)).alias("__id"), F.col("low.row").alias("__row")))
     stay = materialize(stay)
-    keyed = docs.withColumns({"__own_id": docs["doc_id"].cast("bigint"), "__own_row": F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))})
-    kept = keyed.join(stay, keyed["__own_id"].eqNullSafe(stay["__id"]) & (keyed["__own_row"] == stay["__row"]), "left_semi")
-    once = Window.partitionBy("__own_id", "__own_row").orderBy(F.xxhash64(F.to_json(F.struct(*docs.columns))))
-    return kept.withColumn("__n", F.row_number().over(once)).filter(F.col("__n") == 1).select(*docs.columns)
+    discard(nodes, texts)
+    key = ["__none", "__id", "__row"]
+    keyed = docs.withColumns({"__none": docs["doc_id"].cast("bigint").isNull(), "__id": F.coalesce(docs["doc_id"].cast("bigint"), F.lit(0)),
+                              "__row": F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))})
+    # the window takes the join's own three columns, so that the texts are shuffled once
+    once = Window.partitionBy(*key).orderBy(F.xxhash64(F.to_json(F.struct(*docs.columns))))
+    return keyed.join(stay, key, "left_semi").withColumn("__n", F.row_number().over(once)).filter(F.col("__n") == 1).select(*docs.columns)

@@ -195,6 +195,39 @@ def test_keep_first_links_equal_sets_nearly_and_texts_of_other_repeats(spark, do
     assert {r["doc_id"] for r in simhash_vptree.keep_first(docs(rows)).collect()} == set(range(0, 40, 2))
 
 
+def test_other_pairs_keep_every_similar_pair(spark):
+    """Bitmaps are signed longs in the tables: their bits are counted as they are, not those of the absolute values."""
+    rng = np.random.default_rng(25)
+    rows, want = [], set()
+    for g in range(40):
+        base = rng.integers(0, 1 << 63, 396).astype(np.uint64)
+        other = np.concatenate((base[40:], rng.integers(0, 1 << 63, 40).astype(np.uint64)))            # similarity 0.816
+        signs = simhash_vptree.bitmaps([np.unique(base), np.unique(other)]).view(np.int64).tolist()
+        rows += [(2 * g + i, 396, g, 40, 2 * g + i, signs[i]) for i in (0, 1)]
+        want.add((2 * g + 1, 2 * g))
+    members = spark.createDataFrame(rows, "nid bigint, size int, key bigint, pos int, component bigint, bits array<bigint>")
+    assert {(r["a"], r["center"]) for r in simhash_vptree.other_pairs(members, 0.8).collect()} == want
+
+
+def test_keep_first_takes_its_nodes_through_the_trees(spark, docs, monkeypatch):
+    """Links within the radius come from fingerprints of the sets of shingles, whatever the texts repeat, and hold at similarity 0.8."""
+    rng = np.random.default_rng(26)
+    rows = []
+    for g in range(30):
+        base, row = [f"w{i}" for i in rng.integers(0, 1_000_000, 300)], [f"r{g}x{i}" for i in range(7)]
+        rows += [(2 * g, " ".join(row * 2 + base)), (2 * g + 1, " ".join(row * 60 + base[:-1] + ["other"]))]
+    prints = [simhash_vptree.set_fingerprint(simhash_vptree._hashes(t, 5)) for _, t in rows]
+    near = {g for g in range(30) if (prints[2 * g] ^ prints[2 * g + 1]).bit_count() <= simhash_vptree.RADIUS and prints[2 * g] * prints[2 * g + 1] >= 0}
+    nodes = spark.createDataFrame([(d, f) for (d, _), f in zip(rows, prints)], "nid bigint, fp bigint")
+    texts = spark.createDataFrame(rows, "nid bigint, text string")
+    links, judged = simhash_vptree.fingerprint_links(nodes, texts, 5, 0.8)
+    assert len(near) > 10 and near <= {r["dst"] // 2 for r in links.collect()}
+    assert all(r["src"] == r["dst"] + 1 and r["dst"] % 2 == 0 for r in links.collect()) and judged.count() >= links.count()
+    seen, classes = [], simhash_vptree.classes
+    monkeypatch.setattr(simhash_vptree, "classes", lambda nodes, *a, **k: seen.append(nodes.count()) or classes(nodes, *a, **k))
+    assert {r["doc_id"] for r in simhash_vptree.keep_first(docs(rows)).collect()} == set(range(0, 60, 2)) and seen == [len(set(prints))]
+
+
 def test_similarity_is_exact_for_texts_of_any_length():
     rng = np.random.default_rng(22)
     for size in (300, 20_000):
