@@ -251,6 +251,33 @@ def test_bitmaps_never_tell_similar_sets_apart():
                 assert apart <= simhash_vptree.most_apart(len(a), len(b), 0.8)
 
 
+def test_wide_bitmaps_tell_long_texts_apart(spark):
+    """Long texts fill a bitmap of 2,048 bits, so that it says nothing; theirs grow with them, and differing widths meet."""
+    rng = np.random.default_rng(27)
+    rows, want = [], set()
+    for g in range(6):
+        base = [f"w{i}" for i in rng.integers(0, 1_000_000, 4000 + 90 * g)]                 # widths of 8,192 and 16,384 bits
+        near = base[:-300] + [f"n{i}" for i in rng.integers(0, 1_000_000, 300)]
+        half = base[:2000] + [f"h{i}" for i in rng.integers(0, 1_000_000, len(base) - 2000)]
+        rows += [(3 * g, " ".join(base)), (3 * g + 1, " ".join(near)), (3 * g + 2, " ".join(half))]
+    texts = spark.createDataFrame(rows, "nid bigint, text string")
+    signs = simhash_vptree.prefixes(texts, 5, 0.8, np.empty(0, np.uint64)).filter("pos = 0").select("nid", "size", "bits")
+    sets = [set(simhash_vptree._hashes(t, 5).tolist()) for _, t in rows]
+    want = {(a, c) for a in range(18) for c in range(a) if len(sets[a] & sets[c]) >= 0.8 * len(sets[a] | sets[c])}
+    pairs = spark.createDataFrame([(a, c) for a in range(18) for c in range(a)], "a bigint, center bigint")
+    assert {(r["a"], r["center"]) for r in simhash_vptree.near_bitmaps(pairs, signs, 0.8).collect()} == want and len(want) == 6
+
+
+def test_only_the_texts_of_judged_pairs_are_shuffled(spark):
+    """Few pairs send their numbers to the texts; before, each round dealt all texts anew."""
+    texts = spark.range(3000).selectExpr("id AS nid", "concat(id, ' a b c d e f g h') AS text")
+    pairs = spark.createDataFrame([(i + 1, i) for i in range(0, 40, 2)], "a bigint, center bigint")
+    links = simhash_vptree.similar_links(pairs, texts, 5, 0.8)
+    plan = links._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan and "BroadcastHashJoin" in links._jdf.queryExecution().executedPlan().toString()
+    assert simhash_vptree.similar_links(pairs, texts, 1, 0.8).count() == 20
+
+
 # ------------------------------------------------------------------ lines
 @pytest.mark.parametrize("n", [0, 1, 2, 1000, 50_000])
 def test_perfect_hash_is_minimal_and_perfect(n):
