@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -95,7 +96,7 @@ def ftrl(examples: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, bits
     order = np.random.default_rng(7)
     for _ in range(epochs):
         for i in order.permutation(len(examples)):
-            slot, value = examples[i]
+            slot, value = examples[i][0], examples[i][1].astype(float)
             zi, ni = z[slot], n[slot]
             wi = np.where(np.abs(zi) <= l1, 0.0, -(zi - np.sign(zi) * l1) / ((beta + np.sqrt(ni)) / alpha + l2))
             p = 1.0 / (1.0 + np.exp(-np.clip(wi @ value, -35, 35)))
@@ -111,6 +112,11 @@ def held_out(id_col="doc_id"):
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(4)) == HELD_OUT_REMAINDER, F.lit(False))
 
 
+def _held(column: pa.ChunkedArray, kind: str) -> list[np.ndarray]:
+    """Each row's numbers where Arrow holds them, without a copy."""
+    return [np.frombuffer(row.as_buffer(), kind) for chunk in column.chunks for row in chunk]
+
+
 def train(docs: DataFrame, labels: DataFrame, *, label_col: str = "quality", train_rows: int = TRAIN_ROWS,
           bits: int = SLOTS_LOG2) -> np.ndarray:
     """Weights learned from at most ``train_rows`` labelled, not held-out documents.
@@ -132,11 +138,10 @@ def train(docs: DataFrame, labels: DataFrame, *, label_col: str = "quality", tra
                 pa.array([v.astype("<f4").tobytes() for v in np.split(value, cut)], pa.binary())], ["doc_id", "label", "slot", "value"])
 
     # the small side has at most train_rows rows of two numbers
-    rows = (id_text(docs).join(F.broadcast(known), "doc_id")
-            .mapInArrow(examples, "doc_id bigint, label int, slot binary, value binary").toPandas()
-            .sort_values(["doc_id", "slot"], ignore_index=True))
-    pairs = [(np.frombuffer(s, "<i4"), np.frombuffer(v, "<f4").astype(float)) for s, v in zip(rows["slot"], rows["value"])]
-    return ftrl(pairs, rows["label"].to_numpy(float), bits)
+    rows = id_text(docs).join(F.broadcast(known), "doc_id").mapInArrow(examples, "doc_id bigint, label int, slot binary, value binary").toArrow()
+    order = pc.sort_indices(rows, sort_keys=[("doc_id", "ascending"), ("slot", "ascending")]).to_numpy()
+    slots, values = _held(rows.column("slot"), "<i4"), _held(rows.column("value"), "<f4")
+    return ftrl([(slots[i], values[i]) for i in order], rows.column("label").to_numpy().astype(float)[order], bits)
 
 
 def score(docs: DataFrame, weights: np.ndarray, *, threshold: float = THRESHOLD) -> DataFrame:

@@ -60,6 +60,16 @@ def test_quality_odd_rows(spark, docs, odd):
     assert not none.any() and quality.score(docs([]), none).count() == 0
 
 
+def test_training_rows_are_held_once(spark, docs, monkeypatch):
+    """The driver reads the features where Arrow holds them; neither pickled rows nor a copy in doubles."""
+    rows = [(i, ("good words here " if i % 2 else "bad !! stuff ,, ") * (i % 5 + 1)) for i in range(60)]
+    marked, seen, fit = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id bigint, quality int"), [], quality.ftrl
+    monkeypatch.setattr(quality, "ftrl", lambda examples, labels, bits: seen.extend(examples) or fit(examples, labels, bits))
+    weights = quality.train(docs(rows), marked)
+    assert seen and all(v.dtype == np.float32 and not v.flags.owndata and not s.flags.owndata for s, v in seen)
+    assert np.array_equal(weights, fit([(s, v.astype(float)) for s, v in seen], np.array([i % 2 for i in range(60) if zlib.crc32(str(i).encode()) % 4 != 2], float)))
+
+
 def test_ftrl_is_sparse_and_finds_the_slot():
     one = np.array([1.0])
     data = [(np.array([3]), one), (np.array([5]), one)] * 50
