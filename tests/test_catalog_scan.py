@@ -78,3 +78,19 @@ def test_missing_column_and_no_content(spark, nodes, tmp_path):
         CA.read_catalog_a(spark, [*paths, str(bad)], nodes)
     with pytest.raises(ValueError, match="no catalog content"):
         CA.read_catalog_a(spark, [paths[-2]], nodes)
+
+
+def test_landed_catalogs_are_compressed(spark, monkeypatch):
+    """Two catalogs as plain text take several times the disk of the tables they are rendered from."""
+    import glob
+
+    from edgeloom.driver import queries as Q
+    paths, named = [], Q._written
+
+    def kept(x, name):
+        paths.append(named(x, name))
+        return paths[-1]
+    monkeypatch.setattr(Q, "_written", kept)
+    assert Q.QUERIES["catalog_files"](spark, "/root/testdata/sf0.001").count() > 0
+    files = [f for p in paths for f in glob.glob(p.removeprefix("file:") + "/part-*")]
+    assert len(paths) == 3 and files and all(f.endswith(".gz") for f in files)
