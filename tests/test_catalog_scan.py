@@ -94,3 +94,16 @@ def test_landed_catalogs_are_compressed(spark, monkeypatch):
     assert Q.QUERIES["catalog_files"](spark, "/root/testdata/sf0.001").count() > 0
     files = [f for p in paths for f in glob.glob(p.removeprefix("file:") + "/part-*")]
     assert len(paths) == 3 and files and all(f.endswith(".gz") for f in files)
+
+
+def test_records_of_one_type_are_told_inside_the_parse(spark):
+    """A filter was moved below the dealing of the lines, each of which was made anew for every test in it."""
+    from pyspark.sql import functions as F
+
+    from edgeloom.driver import inputs as I
+    x = I.Inputs(spark, "/root/testdata/sf0.001")
+    want = x.hits_a.filter(F.lower(F.trim("system_type")) == "physical")
+    got = CA.parse_catalog_a(x.catalog_a_lines, I.HEADER_A, x.nodes, kind="physical")
+    assert got.count() > 0 and got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    plan = got._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert not [line for line in plan if "Filter" in line and "concat_ws" in line]
